@@ -56,14 +56,14 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     owners = found.groupBy("chunk").agg(F.min("_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select(F.md5("chunk").alias("digest"), "owner")
     owners = owners.groupBy("digest").agg(F.min("owner").alias("owner"), F.count("*").alias("n")).where("n = 1").select("digest", "owner")
     owners = stored(owners, "owners")
-    later = found.select("_id", "start", "stop", "digest", "again").join(owners, "digest").where("again OR _id > owner")
+    later = found.select("_id", "start", "stop", "digest", "again").join(owners.hint("merge"), "digest").where("again OR _id > owner")
     return later.groupBy("_id").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the text cut, and columns n_lines, n_removed (lines)."""
     gone = stored(removals(df, id_col, text_col), "gone")
-    joined = df.join(gone, df[id_col] == gone["_id"], "left").drop("_id")
+    joined = df.join(gone.hint("merge"), df[id_col] == gone["_id"], "left").drop("_id")
     lines = F.split(text_col, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.exists("gone", lambda g: (g["start"] <= i) & (i <= g["stop"]))), "\n")
     n_removed = F.aggregate("gone", F.lit(0), lambda n, g: n + g["stop"] - g["start"] + 1)
