@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellgrove.llm import bpe, line_dedup, near_dedup, substring_dedup, token_counts
+from cellgrove.llm import bpe, decontaminate, language, line_dedup, near_dedup, neighbours, pii, quality, substring_dedup, token_counts
 from cellgrove.llm.common import documents
 
 
@@ -19,10 +19,18 @@ def op1_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_language_id(spark, sf_dir):
+    return language.identify(documents(spark, sf_dir, "pages"), documents(spark, sf_dir))
+
+
 def op3_near_dedup(spark, sf_dir):
     return near_dedup.classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(documents(spark, sf_dir, "embeddings"), "id % 20 = 0", 20)
+
+
 def op5_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(documents(spark, sf_dir))
 
@@ -31,13 +39,31 @@ def op6_bpe(spark, sf_dir):
     return bpe.encode_digest(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op7_quality(spark, sf_dir):
+    """The documents that pass."""
+    out = quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+    return out.where("kept").select("doc_id", "lang", "n_words", "log_ppl", "limit", "kept")
+
+
+def op8_pii(spark, sf_dir):
+    return pii.report(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op10_decontamination(spark, sf_dir):
+    """The leaked items of each document."""
+    return decontaminate.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op3_near_dedup, op5_substring_dedup, op6_bpe, op9_token_counts)}
+    every = (op1_line_dedup, op2_language_id, op3_near_dedup, op4_nearest_neighbours, op5_substring_dedup,
+             op6_bpe, op7_quality, op8_pii, op9_token_counts, op10_decontamination)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql():
+    """What SQL can express; the rest is tested against brute force in tests/llm."""
     return {"op1_line_dedup": line_dedup.SQL}

@@ -3,13 +3,22 @@ from __future__ import annotations
 
 import uuid
 
-from cellgrove.llm import bpe, line_dedup, near_dedup
-from cellgrove.llm.common import documents, shared_dir
+from pyspark.sql import functions as F
+
+from cellgrove.llm import bpe, decontaminate, line_dedup, near_dedup, quality
+from cellgrove.llm.common import documents, shared_dir, stored
 from cellgrove.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_stage(spark, docs, sf_dir):
+    """Documents that the classifier rejects go."""
+    verdicts = quality.classify(docs, documents(spark, sf_dir, "labels"))
+    bad = stored(verdicts.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad")).distinct(), "rejected")
+    return docs.select(*COLUMNS).join(bad.hint("merge"), F.col("doc_id") == F.col("_bad"), "left_anti")
+
+
 def line_stage(spark, docs, sf_dir):
     """Later copies of multi-line chunks go; a text of which nothing visible is left goes with them."""
     cut = line_dedup.dedup_lines(docs.select(*COLUMNS))
@@ -22,14 +31,21 @@ def near_stage(spark, docs, sf_dir):
     return near_dedup.deduplicate(docs.select(*COLUMNS))
 
 
+def leak_stage(spark, docs, sf_dir):
+    """Documents that leak a benchmark item go."""
+    return decontaminate.decontaminate(docs.select(*COLUMNS), documents(spark, sf_dir, "benchmark"))
+
+
 def bpe_stage(spark, docs, sf_dir):
     """Tokens of what is left, and the text that they decode to."""
     return bpe.encode_digest(docs, tokenizer("word_bpe_49k.json"))
 
 
 STAGES = [
+    ("quality", quality_stage),
     ("line_dedup", line_stage),
     ("near_dedup", near_stage),
+    ("decontamination", leak_stage),
     ("bpe", bpe_stage),
 ]
 
@@ -45,5 +61,5 @@ def run(spark, sf_dir):
     return docs
 
 
-#: Stages with models, MinHash and merges have no SQL form.
+#: Perplexity, MinHash and merges have no SQL form.
 ORACLE_SQL = None
