@@ -118,7 +118,7 @@ def estimate(a: str, b: str):
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the limit; the texts are fetched for these only."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stored(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    texts = stored(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
     one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
@@ -161,10 +161,12 @@ def classes(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str
     placed = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).select("band", "id", "component")
     placed = stored(placed, "placed")
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    open_ = stored(placed.join(split, "band").join(reps.select("id", "sig"), "id"), "open")
-    left = open_.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sa"))
-    right = open_.select("band", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sb"))
-    across = left.join(right, (left["band"] == right["band"]) & (F.col("ca") < F.col("cb")) & (estimate("sa", "sb") >= percent / 100 - SLACK)).select("a", "b").distinct()
+    open_ = stored(placed.join(split, "band").join(reps.select("id", "sig", "bands"), "id"), "open")
+    left = open_.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sa"), F.col("bands").alias("ba"))
+    right = open_.select(F.col("band").alias("other"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sb"), F.col("bands").alias("bb"))
+    # a pair that shares several bands counts in the least of them only
+    first = F.col("band") == F.array_min(F.array_intersect("ba", "bb"))
+    across = left.join(right, (F.col("band") == F.col("other")) & (F.col("ca") < F.col("cb")) & (estimate("sa", "sb") >= percent / 100 - SLACK) & first).select("a", "b").distinct()
     across = stored(across, "across")
     if across.limit(1).count():
         more = stored(confirmed(across, docs, k, percent), "links")
