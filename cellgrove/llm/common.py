@@ -35,6 +35,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that a broadcast may hold (about 100 MB); beyond it the join is shuffled.
+BROADCAST_IDS = 4_000_000
+
+
+def picked(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``df`` with (left_semi) or without (left_anti) the ids of a stored one-column table of the same name."""
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return df.join(side, ids.columns[0], how)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES):
     """(first row, rows) of runs of about ``most`` bytes; a longer text stands alone."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)

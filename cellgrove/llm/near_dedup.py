@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.common import Words, connected_components, mix, plain, signed, slices, stored
+from cellgrove.llm.common import Words, connected_components, mix, picked, plain, signed, slices, stored
 
 PERMUTATIONS, BITS = 512, 2
 #: Bands are made of the first BANDS * ROWS minima; the estimate uses all.
@@ -118,7 +118,7 @@ def estimate(a: str, b: str):
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the limit; the texts are fetched for these only."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stored(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    texts = stored(picked(docs, stored(ids, "wanted")).dropDuplicates(["doc_id", "text"]), "texts")
     one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
@@ -182,5 +182,5 @@ def classes(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str
 
 def deduplicate(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` (doc_id, text, ...) that stay: one of each group, the least doc_id."""
-    stay = classes(df, k, percent).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return df.join(stay, df["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    gone = classes(df, k, percent).where("NOT kept").select("doc_id").distinct()
+    return picked(df, stored(gone, "gone"), "left_anti")
