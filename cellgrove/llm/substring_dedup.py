@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.common import Words, plain, signed, slices, stored
+from cellgrove.llm.common import Words, picked, plain, signed, slices, stored
 
 WIDTH, KMER = 13, 5
 
@@ -137,8 +137,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = KMER) -> DataFrame:
     """(doc_id, starts): the windows of each distinct text that belong to a smaller doc_id."""
     pairs = minimizer_rows(docs, width, k)
     shared = stored(pairs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "minimizers")
-    wanted = pairs.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    flagged = docs.join(wanted, "doc_id")
+    wanted = pairs.join(shared.hint("merge"), "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    flagged = docs.join(wanted.hint("merge"), "doc_id")
     runs = stored(run_rows(flagged, width, k), "runs")
     # equal runs compact to one path with its least source
     paths = stored(runs.groupBy("key", "run_a", "run_b", "n").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("edges").alias("edges")), "paths")
@@ -160,7 +160,7 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, k: int = KMER, id_col: str
     first = usable.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     copied = stored(first.where("copies > 1").select("text_a", "text_b", "first"), "copies")
     later = stored(usable.join(copied, ["text_a", "text_b"]).where("doc_id > first").select("doc_id", "text_a", "text_b").distinct(), "later")
-    alone = docs.join(later.select("doc_id"), "doc_id", "left_anti").where("doc_id IS NOT NULL")
+    alone = picked(docs, later.select("doc_id"), "left_anti").where("doc_id IS NOT NULL")
     starts = stored(repeats(alone, width, k), "starts")
 
     def cut(batches):
@@ -183,7 +183,7 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, k: int = KMER, id_col: str
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([ids.slice(at, m), pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["doc_id", "gone", "sha", "text_a", "text_b"])
 
-    changed = docs.join(starts, "doc_id").mapInArrow(cut, "doc_id long, gone long, sha string, text_a long, text_b long").dropDuplicates(["doc_id", "text_a", "text_b"])
+    changed = picked(docs, starts.select("doc_id")).join(starts.hint("merge"), "doc_id").mapInArrow(cut, "doc_id long, gone long, sha string, text_a long, text_b long").dropDuplicates(["doc_id", "text_a", "text_b"])
     empty = hashlib.sha256(b"").hexdigest()
     changed = changed.unionByName(later.select("doc_id", F.lit(None).cast("long").alias("gone"), F.lit(empty).alias("sha"), "text_a", "text_b"))
     out = facts.join(changed, ["doc_id", "text_a", "text_b"], "left")
