@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.common import stored
+from cellgrove.llm.common import picked, stored
 
 WIDTH, COVER, LITERALS = 8, 0.5, 6
 BROADCAST_WINDOWS = 1_000_000
@@ -73,7 +73,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, cover: float =
     hits = hits.join(sizes, "item_id").where(F.col("n_windows") >= cover * F.col("n_item"))
     hits = stored(hits, "hits")
     item_tokens = items.select("item_id", tokens(F.col("text")).alias("ti"))
-    doc_tokens = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("td"))
+    doc_tokens = picked(docs, stored(hits.select("doc_id").distinct(), "hit-documents")).select("doc_id", tokens(F.col("text")).alias("td"))
     both = hits.join(item_tokens, "item_id").join(doc_tokens, "doc_id")
     span = F.transform(F.sequence("lo", F.col("hi") + width - 1), lambda i: F.struct(F.get("ti", i).alias("i"), F.get("td", i + F.col("shift")).alias("d")))
     both = both.select("doc_id", "item_id", "n_windows", span.alias("span"))
@@ -91,5 +91,4 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, cover: float =
 
 def decontaminate(df: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``df`` (doc_id, text, ...) that leak no item."""
-    found = stored(leaks(df, items).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    return df.join(found, df["doc_id"] == found["_leaked"], "left_anti")
+    return picked(df, stored(leaks(df, items).select("doc_id").distinct(), "leaked"), "left_anti")

@@ -3,10 +3,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
-
 from cellgrove.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from cellgrove.llm.common import documents, shared_dir, stored
+from cellgrove.llm.common import documents, picked, shared_dir, stored
 from cellgrove.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -15,8 +13,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_stage(spark, docs, sf_dir):
     """Documents that the classifier rejects go."""
     verdicts = quality.classify(docs, documents(spark, sf_dir, "labels"))
-    bad = stored(verdicts.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad")).distinct(), "rejected")
-    return docs.select(*COLUMNS).join(bad.hint("merge"), F.col("doc_id") == F.col("_bad"), "left_anti")
+    bad = stored(verdicts.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "rejected")
+    return picked(docs, bad, "left_anti").select(*COLUMNS)
 
 
 def line_stage(spark, docs, sf_dir):
