@@ -19,7 +19,7 @@ def prune(shares: DataFrame, group: str, sample: str, columns, keep: int = 3) ->
             worst = left.index[min(range(len(spread)), key=lambda i: spread[i])]
             gone.append(worst)
             left = left.drop(index=worst)
-        return pd.DataFrame({group: pdf[group].iloc[0], sample: gone, "step": range(1, len(gone) + 1)})
+        return pd.DataFrame([(pdf[group].iloc[0], s, i) for i, s in enumerate(gone, 1)], columns=[group, sample, "step"])
 
     kinds = {c: shares.schema[c].dataType.simpleString() for c in (group, sample)}
     return shares.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {sample} {kinds[sample]}, step int")
