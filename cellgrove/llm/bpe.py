@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from cellgrove.llm.common import plain, slices
 
 #: Words remembered by a worker; beyond it, new words are encoded but not kept.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def byte_symbols() -> list[str]:
