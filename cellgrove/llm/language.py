@@ -30,6 +30,8 @@ LANGUAGES, BINS = 64, 1 << 14
 #: Weight of one trigram's evidence (neighbours are not independent), and the most that text may weigh in all.
 TEMPER, MOST = 0.2, 200.0
 SUFFIX_WEIGHT, HOST_WEIGHT = 20.0, 10.0
+#: Pages of a language that are taken to declare it, and each other code, before any is seen.
+HONEST, OTHERWISE = 5.0, 0.5
 
 
 def trigrams(texts: pa.Array):
@@ -123,7 +125,7 @@ def identify(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url
     # P(declared | language), at most (languages + 2) rows
     codes = f.groupBy("declared").agg(*sums).select("declared", array("code_sum"))
     totals = f.agg(*sums).select(array("lang_sum"))
-    codes = codes.join(F.broadcast(totals)).select("declared", F.transform("code_sum", lambda x, i: F.ln((x + 1.0) / (F.get("lang_sum", i) + len(langs) + 2))).alias("says"))
+    codes = codes.join(F.broadcast(totals)).select("declared", F.transform("code_sum", lambda x, i: F.ln((x + F.when(F.col("declared") == F.get(F.array(*map(F.lit, langs)), i), HONEST).otherwise(OTHERWISE)) / (F.get("lang_sum", i) + HONEST + OTHERWISE * (len(langs) + 1)))).alias("says"))
     g = f.join(hosts, "host").join(F.broadcast(codes.limit(len(langs) + 2)), "declared")
     rest = F.transform("host_sum", lambda x, i: F.greatest(x - F.get("share", i), F.lit(0.0)))
     g = g.withColumn("others", rest)
