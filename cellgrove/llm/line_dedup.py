@@ -62,16 +62,16 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the text cut, and columns n_lines, n_removed (lines)."""
-    gone = stored(removals(df, id_col, text_col), "gone")
-    joined = df.join(gone.hint("merge"), df[id_col] == gone["_id"], "left").drop("_id")
+    gone = stored(removals(df, id_col, text_col), "gone").select(F.col("_id").alias("__of"), F.col("gone").alias("__gone"))
+    joined = df.join(gone.hint("merge"), F.col(id_col) == F.col("__of"), "left").drop("__of")
     lines = F.split(text_col, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.exists("gone", lambda g: (g["start"] <= i) & (i <= g["stop"]))), "\n")
-    n_removed = F.aggregate("gone", F.lit(0), lambda n, g: n + g["stop"] - g["start"] + 1)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.exists("__gone", lambda g: (g["start"] <= i) & (i <= g["stop"]))), "\n")
+    n_removed = F.aggregate("__gone", F.lit(0), lambda n, g: n + g["stop"] - g["start"] + 1)
     return joined.withColumns({
         "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long"),
-        "n_removed": F.when(F.col("gone").isNull(), 0).otherwise(n_removed).cast("long"),
-        text_col: F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept),
-    }).drop("gone")
+        "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(n_removed).cast("long"),
+        text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept),
+    }).drop("__gone")
 
 
 #: The same rows in DuckDB.
