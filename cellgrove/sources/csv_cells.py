@@ -44,7 +44,7 @@ def path_keys(path) -> dict:
 def manifest(spark: SparkSession, folder: str, glob: str = "*.csv", skip: str = "/_archive/") -> DataFrame:
     """(path, header and the keys of the path) of every file below ``folder``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
-    path = F.url_decode("path")
+    path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
     head = F.regexp_replace(F.split(F.decode(F.substring("content", 1, 1 << 16), "UTF-8"), "\n").getItem(0), "[\\r\\ufeff]", "")
     return files.where(~F.contains(path, F.lit(skip))).select(path.alias("path"), head.alias("header")).withColumns(path_keys(F.col("path")))
 
@@ -77,7 +77,7 @@ def read_cells(spark: SparkSession, folder: str, experiment: str, first_n: int |
             return F.when(~F.isnan(v), v)
         cols = [number(c).alias(a) for a, c in where.items()] + [number(kind).alias("cell_type")]
         cols += [(number(c) if c in names else F.lit(None).cast("double")).alias(a) for a, c in CHANNELS.items()]
-        parts.append(raw.select(F.url_decode("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_row"), *cols))
+        parts.append(raw.select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.monotonically_increasing_id().alias("_row"), *cols))
     if not parts:
         raise ValueError(f"no readable cell table below {folder}")
     cells = reduce(DataFrame.unionByName, parts).withColumns(path_keys(F.col("path")))
