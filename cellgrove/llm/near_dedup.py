@@ -2,18 +2,19 @@
 
 1. One Arrow pass makes each document's word shingles, their minima under
    ``PERMUTATIONS`` permutations, a hash of every band of ``ROWS`` minima, and a
-   signature that keeps the low ``BITS`` bits of every minimum, packed in longs.
+   signature that keeps ``BITS`` bits of every mixed minimum, packed in longs.
 2. Documents with equal shingle sets form one class (grouped by two sums over
    the set, never paired); the least doc_id stands for it.
 3. Bands give candidates.  Each member of a band bucket meets the least member
    only; Jaccard similarity is estimated from equal packed slots by bit counts,
-   corrected for chance collisions, and clear misses go.  The rest are confirmed
-   on full shingle sets, and components are formed.
+   corrected for chance collisions, and clear misses go.  Pairs of sizes that
+   cannot reach the limit go too; a set under ``SMALL`` shingles needs no estimate.
+   The rest are confirmed on full shingle sets, and components are formed.
 4. A bucket that still holds several components has every pair across them
    estimated and confirmed, so no link between classes is lost.
 
-At similarity 0.75 one pair in 200,000 shares no band, and one in 2,000 has an
-estimate lower by ``SLACK``; both fall fast above 0.75.
+At similarity 0.75 one pair in 200,000 shares no band, and about one in a million
+has an estimate lower by ``SLACK``; both fall fast above 0.75.
 
 Defined cases: null or empty texts, or texts without words, have an empty set
 and are linked with nothing; fewer words than a shingle: the whole sequence is
@@ -34,8 +35,10 @@ PERMUTATIONS, BITS = 512, 2
 #: Bands are made of the first BANDS * ROWS minima; the estimate uses all.
 BANDS, ROWS = 32, 4
 LONGS = PERMUTATIONS * BITS // 64
-#: How far below the limit an estimate may lie before a candidate is given up: over three standard deviations.
-SLACK = 0.075
+#: How far below the limit an estimate may lie before a candidate is given up: over 4.7 standard deviations.
+SLACK = 0.11
+#: A pair with a set of fewer shingles is confirmed without an estimate.
+SMALL = 30
 SHINGLE, PERCENT = 5, 75
 
 
@@ -73,6 +76,17 @@ def minima(values: np.ndarray, by: np.ndarray, block: int = 256) -> np.ndarray:
     return least
 
 
+def packed(least: np.ndarray) -> np.ndarray:
+    """``BITS`` bits of every minimum, mixed with a salt of its permutation: products keep low bits, so unmixed ones collide alike in all."""
+    salt = mix(np.arange(1001, 1001 + PERMUTATIONS, dtype=np.uint64))
+    shift = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
+    out = np.zeros((len(least), LONGS), np.uint64)
+    for i in range(0, len(least), 256):
+        bits = mix(least[i:i + 256].astype(np.uint64) + salt) & np.uint64((1 << BITS) - 1)
+        out[i:i + 256] = (bits.reshape(-1, LONGS, 64 // BITS) << shift).sum(axis=2)
+    return out
+
+
 def signatures(df: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands, sig): one row per row of ``df``."""
     def run(batches):
@@ -80,7 +94,6 @@ def signatures(df: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col
             salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
             weight = mix(np.arange(101, 101 + ROWS, dtype=np.uint64))
             by = multipliers()
-            shift = (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))
             for b in batches:
                 texts, ids = plain(b.column(1)), b.column(0)
                 for at, m in slices(texts):
@@ -89,7 +102,7 @@ def signatures(df: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col
                     sums = np.array([[s.sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()] for s in sets], np.uint64).reshape(len(sets), 2)
                     least = np.array([minima(s, by) for s in sets], np.uint32).reshape(len(sets), PERMUTATIONS).astype(np.uint64)
                     bands = mix((least[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS) * weight).sum(axis=2) + salt)
-                    sig = ((least & np.uint64((1 << BITS) - 1)).reshape(-1, LONGS, 64 // BITS) << shift).sum(axis=2).astype(np.uint64)
+                    sig = packed(least)
                     rows = np.arange(len(sets) + 1, dtype=np.int32)
                     yield pa.RecordBatch.from_arrays([
                         ids.slice(at, m).cast(pa.int64()), pa.array(n), pa.array(signed(sums[:, 0])), pa.array(signed(sums[:, 1])),
@@ -145,28 +158,29 @@ def classes(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str
     sigs = stored(signatures(docs, k), "signatures")
     real = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = stored(real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = real.select("doc_id", "set_a", "set_b", "bands", "sig").join(
+    reps = real.select("doc_id", "n_shingles", "set_a", "set_b", "bands", "sig").join(
         same.withColumnRenamed("class_id", "doc_id"), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])
-    reps = stored(reps.select(F.col("doc_id").alias("id"), "bands", "sig"), "representatives")
+    reps = stored(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig"), "representatives")
     members = reps.select("id", F.explode("bands").alias("band"))
     buckets = stored(members.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub"), "buckets")
     members = stored(members.join(buckets, "band"), "members")
-    sig = lambda name: reps.select(F.col("id").alias(name), F.col("sig").alias(f"s{name}"))
-    near = F.col("e") >= percent / 100 - SLACK
+    sig = lambda name: reps.select(F.col("id").alias(name), F.col("sig").alias(f"s{name}"), F.col("n").alias(f"n{name}"))
+    few, many = F.least("na", "nb"), F.greatest("na", "nb")
+    near = (100 * few >= percent * many) & ((few < SMALL) | (estimate("sa", "sb") >= percent / 100 - SLACK))
     stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(sig("b"), "b").join(sig("a"), "a").withColumn("e", estimate("sa", "sb")).where(near).select("a", "b")
+    stars = stars.join(sig("b"), "b").join(sig("a"), "a").where(near).select("a", "b")
     links = stored(confirmed(stored(stars, "stars"), docs, k, percent), "links")
     found = stored(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
     # buckets that still hold several components: every pair across them
     placed = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).select("band", "id", "component")
     placed = stored(placed, "placed")
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    open_ = stored(placed.join(split, "band").join(reps.select("id", "sig", "bands"), "id"), "open")
-    left = open_.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sa"), F.col("bands").alias("ba"))
-    right = open_.select(F.col("band").alias("other"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sb"), F.col("bands").alias("bb"))
+    open_ = stored(placed.join(split, "band").join(reps.select("id", "n", "sig", "bands"), "id"), "open")
+    left = open_.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("bands").alias("ba"))
+    right = open_.select(F.col("band").alias("other"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("bands").alias("bb"))
     # a pair that shares several bands counts in the least of them only
     first = F.col("band") == F.array_min(F.array_intersect("ba", "bb"))
-    across = left.join(right, (F.col("band") == F.col("other")) & (F.col("ca") < F.col("cb")) & (estimate("sa", "sb") >= percent / 100 - SLACK) & first).select("a", "b").distinct()
+    across = left.join(right, (F.col("band") == F.col("other")) & (F.col("ca") < F.col("cb")) & near & first).select("a", "b").distinct()
     across = stored(across, "across")
     if across.limit(1).count():
         more = stored(confirmed(across, docs, k, percent), "links")

@@ -92,6 +92,18 @@ def test_near_dedup_chain(spark):
     assert {r["component_id"] for r in got} == {1} and brute_components(rows)[8][1] == 1
 
 
+def test_near_dedup_of_short_pairs_at_the_limit(spark):
+    # every pair shares exactly three quarters of its shingles
+    rows, expected = [], {}
+    for n in (4, 8, 12, 20, 40):
+        for k in range(150):
+            i, w = len(rows), [f"p{n}_{k}_{j}" for j in range(n + 4)]
+            rows += [(i, " ".join(w)), (i + 1, " ".join(w[:len(w) - n // 4]))]
+            expected.update({i: i, i + 1: i})
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == expected
+
+
 def brute_repeats(rows):
     own, out = {}, {}
     for i, t in sorted(r for r in rows if r[0] is not None):
