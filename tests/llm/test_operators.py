@@ -229,6 +229,13 @@ def test_quality(spark):
     assert sum(r["kept"] for r in quality.classify(docs, labels.limit(0)).collect()) == len(got) - 2
 
 
+def test_quality_rejects_marked_documents(spark):
+    # fluent documents that are labelled bad or toxic, and one whose label contradicts itself
+    docs = spark.createDataFrame([(i, words(i, 80, 60), "en") for i in range(44)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(41)] + [(40, 0, 0), (41, 0, 0), (42, 1, 1)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"] for r in quality.classify(docs, labels).collect() if not r["kept"]} == {40, 41, 42}
+
+
 def test_quality_equals_a_plain_model(spark):
     """Perplexities of the joins against the formulas written out."""
     texts = [(i, words(i, 30, 12)) for i in range(12)]
