@@ -139,16 +139,33 @@ def test_bpe_equals_the_library(spark):
 
     path = tokenizer("word_bpe_49k.json")
     t, rows = Tokenizer.from_file(path), list(enumerate(odd_texts()))
-    out = {r["doc_id"]: r for r in bpe.encode(spark.createDataFrame(rows, DOCS), path).collect()}
+    encoded = bpe.encode(spark.createDataFrame(rows, DOCS), path)
+    out = {r["doc_id"]: r for r in encoded.join(bpe.decode(encoded, path).withColumnRenamed("text", "decoded"), "doc_id").collect()}
+    both = {r["doc_id"]: r for r in bpe.round_trip(spark.createDataFrame(rows, DOCS), path).collect()}
     dig = {r["doc_id"]: r for r in bpe.encode_digest(spark.createDataFrame(rows, DOCS), path).collect()}
     own = bpe.Encoder(path)
     for i, x in rows:
         ids = t.encode(x or "", add_special_tokens=False).ids
         back = t.decode(ids, skip_special_tokens=False)
-        assert out[i]["ids"] == ids and out[i]["decoded"] == back == own.decode(ids)
+        assert out[i]["ids"] == both[i]["ids"] == ids and out[i]["decoded"] == both[i]["decoded"] == back == own.decode(ids)
         assert dig[i]["n_tokens"] == len(ids) and dig[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert dig[i]["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()
-    assert bpe.encode_digest(empty(spark), path).count() == 0
+    assert bpe.encode_digest(empty(spark), path).count() == 0 and bpe.round_trip(empty(spark), path).count() == 0
+    assert bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), path).first()["text"] == ""
+
+
+def test_bpe_forgets_and_refuses(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    monkeypatch.setattr(bpe, "GENERATION", 7)  # words leave the memory while texts are encoded
+    own, library = bpe.Encoder(path), Tokenizer.from_file(path)
+    long_text = words(9, 60000, 30000) + " " + "é" * 5000 + "".join(map(chr, range(32, 700)))
+    for x in [*odd_texts(), long_text]:
+        assert bpe.numbers(own.encode(x or "")).tolist() == library.encode(x or "", add_special_tokens=False).ids
+    assert len(own.words) <= 7 and len(own.words.older) <= 7
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.Encoder(tokenizer("byte_bpe_50k.json"))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
