@@ -3,12 +3,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on; bounds a task's Python memory.
 SLICE_BYTES = 1 << 20
@@ -19,12 +19,30 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="cellgrove-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/{_under[-1]}" if _under else found.rstrip("/")
+
+
+_under: list[str] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession):
+    """Tables stored inside the block go to one folder, which is deleted at its end; write results before."""
+    _under.append(f"tables-{uuid.uuid4().hex}")
+    path = shared_dir(spark)
+    try:
+        yield path
+    finally:
+        _under.pop()
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -72,21 +90,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _sign_values(at: np.ndarray) -> np.ndarray:
+    """A number for every (place in the word, byte), given as place * 256 + byte."""
+    return mix((at.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x6A09E667F3BCC909))
 
 
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts, hashed without a Python loop.
 
-    A word's hash is a polynomial of its bytes modulo 2**64, from prefix sums,
-    then mixed.  ``doc`` is the row in the slice that each word belongs to.
+    A word's hash is the sum of one mixed number for each byte at its place in
+    the word (tabulation, so no algebra of bytes makes two words meet), mixed
+    with the length.  ``doc`` is the row in the slice that each word belongs to.
+    Hashes only find candidates: callers confirm on the words.
     """
 
-    BASE = 0x9E3779B97F4A7C15
-    _cache: dict = {}
+    #: Places of a word whose numbers are looked up; later ones are computed.
+    PLACES = 64
+    _table = None
 
     def __init__(self, texts: pa.Array, lower: bool = False):
         offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
@@ -101,27 +121,26 @@ class Words:
         before[1:] = word[:-1]
         after = np.zeros(n, bool)
         after[:-1] = word[1:]
-        self.start = np.flatnonzero(word & (~before | edge[:n]))
+        begins = word & (~before | edge[:n])
+        self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(word & (~after | edge[1:])) + 1
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
         self.count = np.bincount(self.doc, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.count)]).astype(np.int64)
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + 32, data)
-        self.data = data
-        powers, inverse = self._tables(n)
+        if Words._table is None:
+            Words._table = _sign_values(np.arange(self.PLACES * 256))
+        place = np.arange(n, dtype=np.int32)
+        place -= np.maximum.accumulate(np.where(begins, place, 0))
+        at = (place << 8) + data
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-        length = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + length * np.uint64(0xD1B54A32D192ED03))
-
-    @classmethod
-    def _tables(cls, n: int):
-        have = cls._cache.get("powers")
-        if have is None or len(have[0]) < n + 1:
-            size = max(n + 1, 2 * SLICE_BYTES)
-            cls._cache["powers"] = have = (_powers(cls.BASE, size), _powers(pow(cls.BASE, -1, 1 << 64), size))
-        return have
+        far = np.flatnonzero(place >= self.PLACES)
+        value = Words._table.take(at, mode="clip")
+        if len(far):
+            value[far] = _sign_values((place[far].astype(np.int64) << 8) + data[far])
+        np.cumsum(value, out=sums[1:])
+        self.hash = mix(sums[self.end] - sums[self.start] + (self.end - self.start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
     def runs(self, k: int, salt: int = 1) -> np.ndarray:
         """Hash of the ``k`` words from each word on; it is meaningful where ``fits(k)``."""
@@ -144,20 +163,22 @@ def signed(x: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst); component: the least node.
 
-    Alternating large-star and small-star rounds on DataFrames.  Each round is
-    written to the shared folder, so lost executors cost one round and nothing
-    but a count and a checksum reaches the driver.  Minima are pre-aggregated
-    and hubs reach a join only, which adaptive execution can split.
+    Alternating large-star and small-star rounds on DataFrames, until every edge
+    joins a node to the centre of its star.  Each round is written to the shared
+    folder, so lost executors cost one round and nothing but counts reaches the
+    driver.  Minima are pre-aggregated and hubs reach a join only, which adaptive
+    execution can split.
     """
-    def sign(e):
-        r = e.agg(F.count("*").alias("n"), F.sum((F.xxhash64("src", "dst") % 1000003)).alias("s")).first()
-        return r["n"], r["s"]
+    def stars(e):
+        """Whether every node but the centres has one edge, to a centre."""
+        if e.groupBy("src").count().where("count > 1").limit(1).count():
+            return False
+        return not e.select(F.col("dst").alias("src")).distinct().join(e.select("src"), "src", "left_semi").limit(1).count()
 
     e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     e = stored(e, "edges")
-    last = sign(e)
     for _ in range(most_rounds):
-        if not last[0]:
+        if stars(e):
             break
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = stored(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")), "least")
@@ -168,15 +189,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(least, "src")
         small = joined.where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(least.select("src", F.col("m").alias("dst")))
         e = stored(small.where("src <> dst").distinct(), "edges")
-        now = sign(e)
-        if now == last:
-            break
-        last = now
     else:
         raise RuntimeError("components did not settle")
     nodes = e.groupBy("src").agg(F.min("dst").alias("component")).select(F.col("src").alias("node"), "component")
     return nodes.unionByName(e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
-
-
-def long_schema(*fields: tuple[str, str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])

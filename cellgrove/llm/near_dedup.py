@@ -3,18 +3,21 @@
 1. One Arrow pass makes each document's word shingles, their minima under
    ``PERMUTATIONS`` permutations, a hash of every band of ``ROWS`` minima, and a
    signature that keeps ``BITS`` bits of every mixed minimum, packed in longs.
-2. Documents with equal shingle sets form one class (grouped by two sums over
-   the set, never paired); the least doc_id stands for it.
+2. Documents of equal word sequences (SHA-256) form one class, grouped, never
+   paired; the least doc_id stands for it.
 3. Bands give candidates.  Each member of a band bucket meets the least member
    only; Jaccard similarity is estimated from equal packed slots by bit counts,
    corrected for chance collisions, and clear misses go.  Pairs of sizes that
    cannot reach the limit go too; a set under ``SMALL`` shingles needs no estimate.
-   The rest are confirmed on full shingle sets, and components are formed.
-4. A bucket that still holds several components has every pair across them
-   estimated and confirmed, so no link between classes is lost.
+   The rest are confirmed on the shingles' words, not on hashes, and components
+   are formed.
+4. A bucket that still holds several components has the pairs across them
+   estimated, in blocks of ``BLOCK`` members so that no task holds a bucket, and
+   confirmed likewise, so no link between classes is lost.  Members of one
+   component are not paired again.
 
-At similarity 0.75 one pair in 200,000 shares no band, and about one in a million
-has an estimate lower by ``SLACK``; both fall fast above 0.75.
+At similarity 0.75 one pair in 3,700,000 shares no band, and about one in a
+billion has an estimate lower by ``SLACK``; both fall fast above 0.75.
 
 Defined cases: null or empty texts, or texts without words, have an empty set
 and are linked with nothing; fewer words than a shingle: the whole sequence is
@@ -24,6 +27,8 @@ gives an empty result.
 """
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,13 +38,37 @@ from cellgrove.llm.common import Words, connected_components, mix, picked, plain
 
 PERMUTATIONS, BITS = 512, 2
 #: Bands are made of the first BANDS * ROWS minima; the estimate uses all.
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 4
 LONGS = PERMUTATIONS * BITS // 64
-#: How far below the limit an estimate may lie before a candidate is given up: over 4.7 standard deviations.
-SLACK = 0.11
+#: How far below the limit an estimate may lie before a candidate is given up: six standard deviations.
+SLACK = 0.14
 #: A pair with a set of fewer shingles is confirmed without an estimate.
 SMALL = 30
 SHINGLE, PERCENT = 5, 75
+#: Words of a text beyond which shingles are compared as ranks, not as tuples.
+LONG = 200_000
+#: Members of a bucket that are compared at a time.
+BLOCK = 2000
+
+
+def words_of(text: str) -> list[bytes]:
+    """The words of a text, A-Z lower-cased."""
+    return text.encode().lower().split()
+
+
+def exact_set(words: list[bytes], k: int) -> set:
+    """The distinct shingles of a word sequence, as word tuples."""
+    return set(zip(*(words[i:] for i in range(k)))) if len(words) >= k else {tuple(words)} if words else set()
+
+
+def exact_ranks(a: list[bytes], b: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for two sequences of ``k`` words or more, as numbers that are equal where shingles are: little memory for very long texts."""
+    ids: dict[bytes, int] = {}
+    word = np.array([ids.setdefault(w, len(ids)) for w in a + b], np.int64)
+    rank = word
+    for j in range(1, k):
+        rank = np.unique(rank[:-1] * len(ids) + word[j:], return_inverse=True)[1]
+    return np.unique(rank[:len(a) - k + 1]), np.unique(rank[len(a):])
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -88,7 +117,7 @@ def packed(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands, sig): one row per row of ``df``."""
+    """(doc_id, n_shingles, text_a, text_b, bands, sig): one row per row of ``df``; text_a and text_b are of the word sequence's SHA-256."""
     def run(batches):
         with np.errstate(over="ignore"):
             salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -99,18 +128,18 @@ def signatures(df: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col
                 for at, m in slices(texts):
                     sets = shingle_sets(texts.slice(at, m), k)
                     n = np.array([len(s) for s in sets], np.int64)
-                    sums = np.array([[s.sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()] for s in sets], np.uint64).reshape(len(sets), 2)
+                    sums = np.array([np.frombuffer(hashlib.sha256(b" ".join(words_of(x))).digest()[:16], "<i8") for x in texts.slice(at, m).to_pylist()], np.int64).reshape(len(sets), 2)
                     least = np.array([minima(s, by) for s in sets], np.uint32).reshape(len(sets), PERMUTATIONS).astype(np.uint64)
                     bands = mix((least[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS) * weight).sum(axis=2) + salt)
                     sig = packed(least)
                     rows = np.arange(len(sets) + 1, dtype=np.int32)
                     yield pa.RecordBatch.from_arrays([
-                        ids.slice(at, m).cast(pa.int64()), pa.array(n), pa.array(signed(sums[:, 0])), pa.array(signed(sums[:, 1])),
+                        ids.slice(at, m).cast(pa.int64()), pa.array(n), pa.array(np.ascontiguousarray(sums[:, 0])), pa.array(np.ascontiguousarray(sums[:, 1])),
                         pa.ListArray.from_arrays(pa.array(rows * np.int32(BANDS)), pa.array(signed(bands).ravel())),
                         pa.ListArray.from_arrays(pa.array(rows * np.int32(LONGS)), pa.array(signed(sig).ravel())),
-                    ], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"])
+                    ], ["doc_id", "n_shingles", "text_a", "text_b", "bands", "sig"])
 
-    return df.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig array<long>")
+    return df.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, text_a long, text_b long, bands array<long>, sig array<long>")
 
 
 def estimate(a: str, b: str):
@@ -131,64 +160,77 @@ def estimate(a: str, b: str):
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the limit; the texts are fetched for these only."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stored(picked(docs, stored(ids, "wanted")).dropDuplicates(["doc_id", "text"]), "texts")
+    texts = stored(picked(docs, stored(ids, "wanted")).distinct(), "texts")
     one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def check(batches):
+        last, words, own = None, [], set()
         for batch in batches:
-            ta, tb = plain(batch.column(2)), plain(batch.column(3))
-            for at, m in slices(tb):
-                hubs = ta.slice(at, m).dictionary_encode()
-                names, hub_sets = plain(hubs.dictionary), []
-                for x, y in slices(names):
-                    hub_sets += shingle_sets(names.slice(x, y), k)
-                keep = np.zeros(m, bool)
-                for i, (h, own) in enumerate(zip(hubs.indices.to_pylist(), shingle_sets(tb.slice(at, m), k))):
-                    both = len(np.intersect1d(hub_sets[h], own, assume_unique=True))
-                    keep[i] = both > 0 and 100 * both >= percent * (len(hub_sets[h]) + len(own) - both)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, m), batch.column(1).slice(at, m)], ["a", "b"]).filter(pa.array(keep))
+            keep = []
+            for hub, text in zip(batch.column(2), batch.column(3)):
+                hub, other = hub.as_py(), words_of(text.as_py())
+                if hub != last:  # rows of one hub follow each other
+                    last, words = hub, words_of(hub)
+                    own = exact_set(words, k) if len(words) <= LONG else None
+                if own is not None and len(other) <= LONG:
+                    found = exact_set(other, k)
+                    sizes, both = len(own) + len(found), len(own & found)
+                else:
+                    found = exact_ranks(words, other, k) if min(len(words), len(other)) >= k else (np.zeros(0), np.zeros(0))
+                    sizes, both = len(found[0]) + len(found[1]), len(np.intersect1d(*found, assume_unique=True))
+                keep.append(both > 0 and 100 * both >= percent * (sizes - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return two.mapInArrow(check, "a long, b long").distinct()
 
 
+def across_components(members: DataFrame, found: DataFrame, reps: DataFrame, near) -> DataFrame:
+    """Pairs (a, b) of one bucket, but of several components, that may be near."""
+    placed = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).select("band", "id", "component")
+    placed = stored(placed, "placed")
+    split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    split = split.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    open_ = placed.join(split, "band").join(reps.select("id", "n", "sig", "bands"), "id")
+    open_ = stored(open_.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "open")
+    # block pairs (i, j), i <= j: a block meets itself and every other once
+    every = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    left = open_.select("band", F.col("own").alias("i"), every(F.col("own"), F.col("blocks") - 1).alias("j"), *(F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "sig", "bands")))
+    right = open_.select(F.col("band").alias("of"), every(F.lit(0), F.col("own")).alias("i2"), F.col("own").alias("j2"), *(F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "sig", "bands")))
+    # inside a block a pair is met in both orders, across blocks in one; one that shares several bands counts in the least of them
+    once = F.when(F.col("i") == F.col("j"), F.col("component_a") < F.col("component_b")).otherwise(F.col("component_a") != F.col("component_b"))
+    first = F.col("band") == F.array_min(F.array_intersect("bands_a", "bands_b"))
+    met = left.join(right, (F.col("band") == F.col("of")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & once & near & first)
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def classes(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept), one row per row of ``df``."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sigs = stored(signatures(docs, k), "signatures")
     real = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = stored(real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = real.select("doc_id", "n_shingles", "set_a", "set_b", "bands", "sig").join(
-        same.withColumnRenamed("class_id", "doc_id"), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])
+    same = stored(real.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("class_id")), "classes")
+    reps = real.select("doc_id", "n_shingles", "text_a", "text_b", "bands", "sig").join(
+        same.withColumnRenamed("class_id", "doc_id"), ["doc_id", "text_a", "text_b"], "left_semi").dropDuplicates(["doc_id", "text_a", "text_b"])
     reps = stored(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig"), "representatives")
     members = reps.select("id", F.explode("bands").alias("band"))
     buckets = stored(members.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub"), "buckets")
     members = stored(members.join(buckets, "band"), "members")
-    sig = lambda name: reps.select(F.col("id").alias(name), F.col("sig").alias(f"s{name}"), F.col("n").alias(f"n{name}"))
-    few, many = F.least("na", "nb"), F.greatest("na", "nb")
-    near = (100 * few >= percent * many) & ((few < SMALL) | (estimate("sa", "sb") >= percent / 100 - SLACK))
+    sig = lambda name: reps.select(F.col("id").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n").alias(f"n_{name}"))
+    few, many = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    near = (100 * few >= percent * many) & ((few < SMALL) | (estimate("sig_a", "sig_b") >= percent / 100 - SLACK))
     stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(sig("b"), "b").join(sig("a"), "a").where(near).select("a", "b")
     links = stored(confirmed(stored(stars, "stars"), docs, k, percent), "links")
     found = stored(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
-    # buckets that still hold several components: every pair across them
-    placed = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).select("band", "id", "component")
-    placed = stored(placed, "placed")
-    split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    open_ = stored(placed.join(split, "band").join(reps.select("id", "n", "sig", "bands"), "id"), "open")
-    left = open_.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("bands").alias("ba"))
-    right = open_.select(F.col("band").alias("other"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("bands").alias("bb"))
-    # a pair that shares several bands counts in the least of them only
-    first = F.col("band") == F.array_min(F.array_intersect("ba", "bb"))
-    across = left.join(right, (F.col("band") == F.col("other")) & (F.col("ca") < F.col("cb")) & near & first).select("a", "b").distinct()
-    across = stored(across, "across")
+    across = stored(across_components(members, found, reps, near), "across")
     if across.limit(1).count():
         more = stored(confirmed(across, docs, k, percent), "links")
         found = stored(connected_components(links.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
     of_set = same.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    of_set = stored(of_set.select("set_a", "set_b", "class_id", F.coalesce("component", "class_id").alias("component_id")), "membership")
-    shown = sigs.select("doc_id", "n_shingles", "set_a", "set_b")
-    placed = shown.where("n_shingles > 0 AND doc_id IS NOT NULL").join(of_set, ["set_a", "set_b"])
+    of_set = stored(of_set.select("text_a", "text_b", "class_id", F.coalesce("component", "class_id").alias("component_id")), "membership")
+    shown = sigs.select("doc_id", "n_shingles", "text_a", "text_b")
+    placed = shown.where("n_shingles > 0 AND doc_id IS NOT NULL").join(of_set, ["text_a", "text_b"])
     alone = shown.where("n_shingles = 0 OR doc_id IS NULL").select("*", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     out = placed.select("doc_id", "n_shingles", "class_id", "component_id").unionByName(alone.select("doc_id", "n_shingles", "class_id", "component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -198,3 +240,24 @@ def deduplicate(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Data
     """The rows of ``df`` (doc_id, text, ...) that stay: one of each group, the least doc_id."""
     gone = classes(df, k, percent).where("NOT kept").select("doc_id").distinct()
     return picked(df, stored(gone, "gone"), "left_anti")
+
+
+#: The same rows in DuckDB, by comparing every pair of documents that share a shingle.
+SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d WHERE len(words) >= 5),
+s AS (SELECT DISTINCT doc_id, shingle FROM (
+        SELECT doc_id, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle, lead(word, 4) OVER o AS last
+        FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE last IS NOT NULL
+      UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM d WHERE len(words) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON reach.other = ways.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(least.component_id, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.doc_id = d.doc_id
+"""

@@ -66,4 +66,4 @@ def queries():
 
 def oracle_sql():
     """What SQL can express; the rest is tested against brute force in tests/llm."""
-    return {"op1_line_dedup": line_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op3_near_dedup": near_dedup.SQL}

@@ -104,6 +104,32 @@ def test_near_dedup_of_short_pairs_at_the_limit(spark):
     assert got == expected
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_near_dedup_compares_words(spark):
+    # words that polynomial hashes of bytes take for equal
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    rows = [(1, f"x y z {one}"), (2, f"x y z {two}"), (3, f"x y z {one}")]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_near_dedup_in_blocks(spark, monkeypatch):
+    # one template, many fillings: buckets hold many documents that are not near, in blocks of three
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "LONG", 70)
+    r, base, rows = random.Random(6), words(30, 90, 10 ** 6).split(), []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.choice((1, 2, 6))):
+            w[r.randrange(90)] = f"f{r.randrange(10 ** 6)}"
+        rows.append((i, " ".join(w[:r.choice((60, 90))])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) > 3
+
+
 def brute_repeats(rows):
     own, out = {}, {}
     for i, t in sorted(r for r in rows if r[0] is not None):
@@ -337,10 +363,11 @@ def test_language_on_held_out_documents(spark):
     assert out > 0.97
 
 
-def test_line_dedup_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_equals_sql(spark, name):
     from oracle import connection, difference
 
-    assert difference(queries()["op1_line_dedup"](spark, SF), oracle_sql()["op1_line_dedup"], connection(SF)) == ""
+    assert difference(queries()[name](spark, SF), oracle_sql()[name], connection(SF)) == ""
 
 
 def test_queries_run_on_whole_tables(spark):
