@@ -58,9 +58,9 @@ BROADCAST_IDS = 4_000_000
 
 
 def picked(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """``df`` with (left_semi) or without (left_anti) the ids of a stored one-column table of the same name."""
+    """``df`` with (left_semi) or without (left_anti) the rows of a stored table of ids, by its columns."""
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
-    return df.join(side, ids.columns[0], how)
+    return df.join(side, ids.columns, how)
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES):

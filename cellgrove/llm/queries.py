@@ -32,7 +32,8 @@ def op4_nearest_neighbours(spark, sf_dir):
 
 
 def op5_substring_dedup(spark, sf_dir):
-    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+    out = substring_dedup.remove_repeats(documents(spark, sf_dir), hashed=True)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op6_bpe(spark, sf_dir):
@@ -66,4 +67,4 @@ def queries():
 
 def oracle_sql():
     """What SQL can express; the rest is tested against brute force in tests/llm."""
-    return {"op1_line_dedup": line_dedup.SQL, "op3_near_dedup": near_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op3_near_dedup": near_dedup.SQL, "op5_substring_dedup": substring_dedup.SQL}

@@ -1,28 +1,32 @@
 """Substring dedup by De Bruijn compaction.
 
-Edges are the windows of ``WIDTH`` consecutive words.  A window belongs to the
-least doc_id in which it starts; every later document loses the words that such
-a window covers.
+Nodes are runs of ``WIDTH - 1`` words, edges the windows of ``WIDTH`` consecutive
+words.  A window belongs to the least doc_id in which it starts; every later
+document loses the words that such a window covers.
 
 1. Exact copies collapse first: of equal texts only the least doc_id enters the
    graph, the others lose every window.
-2. Windows are cut into runs by their minimizer, the ``KMER``-word node of least
-   hash that a window holds.  Equal windows have equal minimizers, so a
-   minimizer in one document only cannot lie in a repeat; those runs stop here.
-   Minimizers are counted with map-side minima, so a frequent one is no hot key.
-3. A run whose minimizer is shared is a nonbranching path of edges.  Equal runs,
-   wherever they stand, compact to one row by grouping, with their least source.
-   Only distinct runs are spread into edges, to find the owner of each edge.
-4. Runs get their edges' owners by joins, and each document its repeated windows
-   as source coordinates.  Adjacent windows close up to long spans, which are cut
-   from the text.
-
-Words are compared by hash: an edge by its minimizer and a hash of all its words,
-128 bits together, a run by three 64-bit hashes and its length.
+2. Which edges can repeat: windows are cut into runs by their minimizer, the
+   ``KMER``-word string of least hash that a window holds.  Equal windows have
+   equal minimizers, so a minimizer in one document only cannot lie in a repeat;
+   those runs stop here.  Minimizers are counted with map-side minima, so a
+   frequent one is no hot key.  Equal runs, wherever they stand, become one row.
+3. The graph: edges that start in several documents, each with its source, the
+   least (document, place) where it starts.  Nodes get their in- and out-degrees
+   by grouping.  An edge continues the one before it if a join at their node
+   finds both degrees one and neighbouring sources; such chains compact to paths,
+   each an interval of one source document.
+4. Runs meet the paths they walk through, as (place in the run, source document,
+   source place, length).
+5. Verification: the words at the source coordinates and those of the later
+   document are compared by BLAKE2b digests of either.  Hashes only propose;
+   where a digest differs, the windows concerned are grouped anew by their words.
+6. Verified spans close up and are cut from the text.
 
 Defined cases: null or empty texts have no words; rows with a null id lose
-nothing; of rows that share an id none counts as earlier than another; other
-columns are ignored; an empty table gives an empty result.
+nothing; of rows that share an id none counts as earlier than another, and each
+loses its own repeats; other columns are ignored; an empty table gives an empty
+result; texts of any length are read whole.
 """
 from __future__ import annotations
 
@@ -31,11 +35,13 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellgrove.llm.common import Words, picked, plain, signed, slices, stored
 
 WIDTH, KMER = 13, 5
+KEY = ["doc_id", "tid"]
 
 
 def minimizers(w: Words, width: int, k: int):
@@ -61,19 +67,37 @@ def runs_of(w: Words, width: int, k: int):
     return first, end - first, key[first]
 
 
-def text_facts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, text_a, text_b, kept_sha256 of the whole) of each row."""
+def edge_hashes(w: Words, width: int) -> np.ndarray:
+    return w.runs(width, salt=7)
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode().split()
+
+
+def digest(words: list[bytes]) -> tuple[int, int]:
+    """128 bits of the BLAKE2b digest of words joined by blanks."""
+    found = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)
+
+
+def text_facts(docs: DataFrame, hashed: bool) -> DataFrame:
+    """(doc_id, tid, n_words, text_a, text_b, whole) of each row; whole: the words joined by blanks, or its SHA-256."""
     def run(batches):
         for b in batches:
-            texts, ids = plain(b.column(1)), b.column(0)
+            texts = plain(b.column(2))
             for at, m in slices(texts):
-                part = texts.slice(at, m)
-                words = [x.encode().split() for x in part.to_pylist()]
-                sums = [hashlib.sha256(b" ".join(x)) for x in words]
+                words = [words_of(x) for x in texts.slice(at, m).to_pylist()]
+                joined = [b" ".join(x) for x in words]
+                sums = [hashlib.sha256(x) for x in joined]
                 ab = np.array([np.frombuffer(s.digest()[:16], "<i8") for s in sums], np.int64).reshape(m, 2)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, m), pa.array([len(x) for x in words], pa.int64()), pa.array(np.ascontiguousarray(ab[:, 0])), pa.array(np.ascontiguousarray(ab[:, 1])), pa.array([s.hexdigest() for s in sums])], ["doc_id", "n_words", "text_a", "text_b", "whole_sha256"])
+                whole = [s.hexdigest() for s in sums] if hashed else [x.decode() for x in joined]
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0).slice(at, m), b.column(1).slice(at, m), pa.array([len(x) for x in words], pa.int64()),
+                    pa.array(np.ascontiguousarray(ab[:, 0])), pa.array(np.ascontiguousarray(ab[:, 1])), pa.array(whole, pa.string()),
+                ], [*KEY, "n_words", "text_a", "text_b", "whole"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, text_a long, text_b long, whole_sha256 string")
+    return docs.select(*KEY, "text").mapInArrow(run, "doc_id long, tid long, n_words long, text_a long, text_b long, whole string")
 
 
 def minimizer_rows(docs: DataFrame, width: int, k: int) -> DataFrame:
@@ -92,15 +116,15 @@ def minimizer_rows(docs: DataFrame, width: int, k: int) -> DataFrame:
                     new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
                     yield pa.RecordBatch.from_arrays([pa.array(signed(key[new])), pa.array(ids[at + doc[new]])], ["key", "doc_id"])
 
-    return docs.mapInArrow(run, "key long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
 
 
 def run_rows(flagged: DataFrame, width: int, k: int) -> DataFrame:
-    """(doc_id, start, n, key, run_a, run_b, edges) of the runs whose minimizer is shared; edges are the windows' hashes."""
+    """(doc_id, tid, start, n, run_a, run_b, edges, nodes) of the runs whose minimizer is shared; n edges, n + 1 nodes."""
     def run(batches):
         with np.errstate(over="ignore"):
             for b in batches:
-                texts, ids, keys = plain(b.column(1)), np.asarray(b.column(0)), b.column(2)
+                texts, ids, tids, keys = plain(b.column(2)), np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(3)
                 for at, m in slices(texts):
                     w = Words(texts.slice(at, m))
                     first, n, key = runs_of(w, width, k)
@@ -111,80 +135,205 @@ def run_rows(flagged: DataFrame, width: int, k: int) -> DataFrame:
                     owner = np.repeat(np.arange(m, dtype=np.uint64), np.asarray(pa.compute.list_value_length(wanted)))
                     tag = np.uint64(0x9E3779B97F4A7C15)
                     hit = np.isin(key + doc.astype(np.uint64) * tag, flat + owner * tag)
-                    first, n, key, doc = first[hit], n[hit], key[hit], doc[hit]
-                    edge = w.runs(width, salt=7)
+                    first, n, doc = first[hit], n[hit], doc[hit]
                     offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                     index = np.repeat(first - offsets[:-1], n) + np.arange(offsets[-1])
-                    e = edge[index]
+                    e = edge_hashes(w, width)[index]
                     turn = (index - np.repeat(first, n)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
                     if len(n):
-                        run_a = np.add.reduceat(e * turn, offsets[:-1]) + key
+                        run_a = np.add.reduceat(e * turn, offsets[:-1])
                         run_b = np.add.reduceat((e ^ (e >> np.uint64(29))) * (turn * np.uint64(0xBF58476D1CE4E5B9)), offsets[:-1]) + n.astype(np.uint64)
                     else:
                         run_a = run_b = np.zeros(0, np.uint64)
+                    node_offsets = np.concatenate([[0], np.cumsum(n + 1)]).astype(np.int32)
+                    nodes = w.runs(width - 1, salt=9)[np.repeat(first - node_offsets[:-1], n + 1) + np.arange(node_offsets[-1])]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(ids[at + doc]), pa.array((first - w.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)),
-                        pa.array(signed(key)), pa.array(signed(run_a)), pa.array(signed(run_b)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(e))),
-                    ], ["doc_id", "start", "n", "key", "run_a", "run_b", "edges"])
+                        pa.array(ids[at + doc]), pa.array(tids[at + doc]), pa.array((first - w.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                        pa.array(signed(run_a)), pa.array(signed(run_b)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(e))), pa.ListArray.from_arrays(pa.array(node_offsets), pa.array(signed(nodes))),
+                    ], [*KEY, "start", "n", "run_a", "run_b", "edges", "nodes"])
 
     import pyarrow.compute  # noqa: F401
 
-    return flagged.select("doc_id", "text", "keys").mapInArrow(run, "doc_id long, start int, n int, key long, run_a long, run_b long, edges array<long>")
+    return flagged.select(*KEY, "text", "keys").mapInArrow(run, "doc_id long, tid long, start int, n int, run_a long, run_b long, edges array<long>, nodes array<long>")
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, k: int = KMER) -> DataFrame:
-    """(doc_id, starts): the windows of each distinct text that belong to a smaller doc_id."""
+def shared_runs(docs: DataFrame, width: int, k: int) -> DataFrame:
+    """The runs of ``run_rows`` that may lie in a repeat, stored."""
     pairs = minimizer_rows(docs, width, k)
     shared = stored(pairs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "minimizers")
     wanted = pairs.join(shared.hint("merge"), "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    flagged = docs.join(wanted.hint("merge"), "doc_id")
-    runs = stored(run_rows(flagged, width, k), "runs")
-    # equal runs compact to one path with its least source
-    paths = stored(runs.groupBy("key", "run_a", "run_b", "n").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("edges").alias("edges")), "paths")
-    edges = paths.select("key", "run_a", "run_b", "lo", "hi", F.posexplode("edges").alias("i", "edge"))
-    owned = edges.groupBy("key", "edge").agg(F.min("lo").alias("owner"), F.max("hi").alias("last")).where("owner < last")
-    owned = stored(owned.select("key", "edge", "owner"), "edges")
-    owners = edges.join(owned, ["key", "edge"]).groupBy("key", "run_a", "run_b").agg(F.collect_list(F.struct("i", "owner")).alias("owners"))
-    owners = stored(owners.where(F.size("owners") > 0), "owners")
-    placed = runs.select("doc_id", "start", "key", "run_a", "run_b").join(owners, ["key", "run_a", "run_b"])
-    starts = placed.select("doc_id", "start", F.filter("owners", lambda o: o["owner"] < F.col("doc_id")).alias("owners")).where(F.size("owners") > 0)
-    return starts.groupBy("doc_id").agg(F.flatten(F.collect_list(F.expr("transform(owners, o -> start + o.i)"))).alias("starts"))
-
-
-def remove_repeats(df: DataFrame, width: int = WIDTH, k: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256), one row per row of ``df``."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    facts = stored(text_facts(docs), "facts")
+    return stored(run_rows(docs.join(wanted.hint("merge"), "doc_id"), width, k), "runs")
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """(edge, source, place, head): each edge's path, which starts at ``head`` of its source.
+
+    ``edges``: (edge, source, place, prefix, suffix), one row per distinct edge.
+    """
+    into = edges.groupBy(F.col("suffix").alias("prefix")).agg(F.count("*").alias("n_in"), F.min("source").alias("in_source"), F.min("place").alias("in_place"))
+    out = edges.groupBy("prefix").agg(F.count("*").alias("n_out"))
+    nodes = into.join(out, "prefix").where("n_in = 1 AND n_out = 1").select("prefix", "in_source", "in_place")
+    # where a node does not branch, its one edge in may be the step before in the same source
+    chained = edges.join(nodes, "prefix", "left")
+    chained = chained.withColumn("goes_on", F.coalesce((F.col("in_source") == F.col("source")) & (F.col("in_place") + 1 == F.col("place")), F.lit(False)))
+    before = W.partitionBy("source").orderBy("place")
+    return chained.select("edge", "source", "place", F.last(F.when(~F.col("goes_on"), F.col("place")), True).over(before).alias("head"))
+
+
+def proposed(runs: DataFrame) -> DataFrame:
+    """(run_a, run_b, n, i, length, source, place): what the edges of each distinct run repeat, by hash."""
+    pieces = stored(runs.groupBy("run_a", "run_b", "n").agg(
+        F.min(F.struct("doc_id", "start")).alias("lo"), F.max("doc_id").alias("hi"), F.first("edges").alias("edges"), F.first("nodes").alias("nodes")), "pieces")
+    zipped = F.arrays_zip("edges", F.slice("nodes", 1, F.col("n")).alias("prefix"), F.slice("nodes", 2, F.col("n")).alias("suffix"))
+    edges = pieces.select("run_a", "run_b", "n", "lo", "hi", F.posexplode(zipped).alias("i", "e"))
+    edges = edges.select("run_a", "run_b", "n", "i", "hi", F.struct(F.col("lo.doc_id").alias("source"), (F.col("lo.start") + F.col("i")).alias("place")).alias("at"), F.col("e.edges").alias("edge"), "e.prefix", "e.suffix")
+    owned = edges.groupBy("edge").agg(F.min("at").alias("at"), F.max("hi").alias("last"), F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"))
+    owned = stored(owned.where("at.source < last").select("edge", "at.source", "at.place", "prefix", "suffix"), "edges")
+    paths = stored(compacted(owned), "paths")
+    walked = edges.select("run_a", "run_b", "n", "i", "hi", "edge").join(paths, "edge").where("source < hi")
+    found = walked.groupBy("run_a", "run_b", "n", "source", "head", (F.col("place") - F.col("i")).alias("shift")).agg(F.min("i").alias("i"), F.count("*").cast("int").alias("length"))
+    return stored(found.select("run_a", "run_b", "n", "i", "length", "source", (F.col("shift") + F.col("i")).alias("place")), "proposed")
+
+
+def source_digests(asked: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(source, place, length, da, db): digests of the words at the source coordinates.
+
+    A source is asked for ``length`` up to a run's windows at each of its places, so its list is bounded by its text.
+    """
+    def run(batches):
+        for b in batches:
+            rows = []
+            for source, tid, text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                words = words_of(text.as_py())
+                rows += [(source, a["place"], a["length"], *digest(words[a["place"]:a["place"] + a["length"] + width - 1])) for a in asks]
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["source", "place", "length", "da", "db"])
+
+    lists = asked.groupBy(F.col("source").alias("doc_id")).agg(F.collect_list(F.struct("place", "length")).alias("asks"))
+    at = docs.select(*KEY, "text").join(lists.hint("merge"), "doc_id").select(*KEY, "text", "asks")
+    return at.mapInArrow(run, "source long, place int, length int, da long, db long").distinct()
+
+
+def repeats(docs: DataFrame, width: int = WIDTH, k: int = KMER) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tid, spans of struct<start, length, proofs>) of each distinct text, to be verified; and the runs."""
+    runs = shared_runs(docs, width, k)
+    found = proposed(runs)
+    proofs = source_digests(found.select("source", "place", "length").distinct(), docs, width)
+    # rows that share an id may hold several texts at one place: any of them proves
+    proofs = stored(proofs.groupBy("source", "place", "length").agg(F.collect_list(F.struct("da", "db")).alias("proofs")), "proofs")
+    walks = found.join(proofs, ["source", "place", "length"]).groupBy("run_a", "run_b", "n").agg(F.collect_list(F.struct("i", "length", "source", "proofs")).alias("walk"))
+    walks = stored(walks, "walks")
+    placed = runs.select(*KEY, "start", "run_a", "run_b", "n").join(walks, ["run_a", "run_b", "n"])
+    placed = placed.select(*KEY, "start", F.filter("walk", lambda x: x["source"] < F.col("doc_id")).alias("walk")).where(F.size("walk") > 0)
+    spans = placed.groupBy(*KEY).agg(F.flatten(F.collect_list(F.expr("transform(walk, x -> struct(start + x.i AS start, x.length AS length, x.proofs AS proofs))"))).alias("spans"))
+    return stored(spans, "spans"), runs
+
+
+def verified(docs: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """(doc_id, tid, starts, odd): windows whose words equal those at the source, and hashes of windows where they do not."""
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for b in batches:
+                starts, odd = [], []
+                for text, own in zip(b.column(2), b.column(3).to_pylist()):
+                    words, good, bad = words_of(text.as_py()), [], []
+                    for s in own:
+                        at, n = s["start"], s["length"]
+                        proof = digest(words[at:at + n + width - 1])
+                        (good if any((p["da"], p["db"]) == proof for p in s["proofs"]) else bad).extend(range(at, at + n))
+                    starts.append(sorted(good))
+                    hashes = signed(edge_hashes(Words(pa.array([text.as_py()], pa.string())), width)) if bad else []
+                    odd.append([int(hashes[x]) for x in bad if x < len(hashes)])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(odd, pa.list_(pa.int64()))], [*KEY, "starts", "odd"])
+
+    joined = picked(docs, spans.select(*KEY)).join(spans.hint("merge"), KEY).select(*KEY, "text", "spans")
+    return joined.mapInArrow(run, "doc_id long, tid long, starts array<int>, odd array<long>").dropDuplicates(KEY)
+
+
+def by_words(docs: DataFrame, runs: DataFrame, odd: DataFrame, width: int) -> DataFrame:
+    """(doc_id, tid, starts): the repeated windows among those with the given edge hashes, grouped by their words."""
+    at = runs.select(*KEY, "start", F.posexplode("edges").alias("i", "edge")).join(odd, "edge", "left_semi")
+    at = at.groupBy(*KEY).agg(F.collect_set(F.col("start") + F.col("i")).alias("starts"))
+
+    def run(batches):
+        for b in batches:
+            for doc, tid, text, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                words = words_of(text.as_py())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([doc] * len(starts), pa.int64()), pa.array([tid] * len(starts), pa.int64()), pa.array(starts, pa.int32()),
+                    pa.array([b" ".join(words[s:s + width]).decode() for s in starts], pa.string())], [*KEY, "start", "words"])
+
+    windows = stored(docs.select(*KEY, "text").join(at, KEY).select(*KEY, "text", "starts").mapInArrow(run, "doc_id long, tid long, start int, words string").distinct(), "windows")
+    owners = windows.groupBy("words").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+    return windows.join(owners, "words").where("owner < doc_id").groupBy(*KEY).agg(F.collect_set("start").alias("starts"))
+
+
+def remove_repeats(df: DataFrame, width: int = WIDTH, k: int = KMER, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, removed, text), one row per row of ``df``.
+
+    removed: the cut ranges as array<struct<start, stop>> of word numbers; text: the
+    words that are left, joined by blanks.  ``hashed`` gives kept_sha256, the
+    SHA-256 of that text, in its place.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
+    facts = stored(text_facts(docs, hashed), "facts")
     usable = facts.where("doc_id IS NOT NULL").where(F.col("n_words") >= width)
     first = usable.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     copied = stored(first.where("copies > 1").select("text_a", "text_b", "first"), "copies")
-    later = stored(usable.join(copied, ["text_a", "text_b"]).where("doc_id > first").select("doc_id", "text_a", "text_b").distinct(), "later")
-    alone = picked(docs, later.select("doc_id"), "left_anti").where("doc_id IS NOT NULL")
-    starts = stored(repeats(alone, width, k), "starts")
+    later = stored(usable.join(copied, ["text_a", "text_b"]).where("doc_id > first").select(*KEY).distinct(), "later")
+    alone = picked(docs.where("doc_id IS NOT NULL"), later, "left_anti")
+    spans, runs = repeats(alone, width, k)
+    proved = stored(verified(alone, spans, width), "verified")
+    starts = proved.where(F.size("starts") > 0).select(*KEY, "starts")
+    odd = stored(proved.select(F.explode("odd").alias("edge")).distinct(), "odd")
+    if odd.limit(1).count():
+        starts = starts.unionByName(by_words(alone, runs, odd, width)).groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+        starts = stored(starts, "starts")
 
     def cut(batches):
         for b in batches:
-            texts, ids, marks = plain(b.column(1)), b.column(0), b.column(2)
-            for at, m in slices(texts):
-                out = []
-                for x, s in zip(texts.slice(at, m).to_pylist(), marks.slice(at, m)):
-                    words = x.encode().split()
-                    change = np.zeros(len(words) + width + 1, np.int64)
-                    s = np.asarray(s.values)
-                    s = s[s + width <= len(words)]
-                    np.add.at(change, s, 1)
-                    np.add.at(change, s + width, -1)
-                    gone = np.cumsum(change)[:len(words)] > 0
-                    kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                    whole = hashlib.sha256(b" ".join(words)).digest()
-                    ab = np.frombuffer(whole[:16], "<i8")
-                    out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), int(ab[0]), int(ab[1])))
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, m), pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["doc_id", "gone", "sha", "text_a", "text_b"])
-
-    changed = picked(docs, starts.select("doc_id")).join(starts.hint("merge"), "doc_id").mapInArrow(cut, "doc_id long, gone long, sha string, text_a long, text_b long").dropDuplicates(["doc_id", "text_a", "text_b"])
-    empty = hashlib.sha256(b"").hexdigest()
-    changed = changed.unionByName(later.select("doc_id", F.lit(None).cast("long").alias("gone"), F.lit(empty).alias("sha"), "text_a", "text_b"))
-    out = facts.join(changed, ["doc_id", "text_a", "text_b"], "left")
-    return out.select("doc_id", "n_words", F.when(F.col("sha").isNull(), 0).otherwise(F.coalesce("gone", "n_words")).cast("long").alias("n_removed"), F.coalesce("sha", "whole_sha256").alias("kept_sha256"))
+            gone_n, ranges, kept = [], [], []
+            for text, own in zip(b.column(2), b.column(3)):
+                words, own = words_of(text.as_py()), np.asarray(own.values)
+                change = np.zeros(len(words) + 1, np.int64)
+                np.add.at(change, own, 1)
+                np.add.at(change, own + width, -1)
+                gone = np.cumsum(change)[:len(words)] > 0
+                left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+                gone_n.append(int(gone.sum()))
+                ranges.append([{"start": int(s), "stop": int(e)} for s, e in edges.reshape(-1, 2)])
+                kept.append(hashlib.sha256(left).hexdigest() if hashed else left.decode())
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), b.column(1), pa.array(gone_n, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.string()),
+            ], [*KEY, "gone", "ranges", "kept"])
+
+    changed = picked(alone, starts.select(*KEY)).join(starts.hint("merge"), KEY).select(*KEY, "text", "starts")
+    changed = changed.mapInArrow(cut, "doc_id long, tid long, gone long, ranges array<struct<start:long,stop:long>>, kept string").dropDuplicates(KEY)
+    nothing = F.lit(hashlib.sha256(b"").hexdigest() if hashed else "")
+    changed = changed.unionByName(later.select(*KEY, F.lit(None).cast("long").alias("gone"), F.lit(None).cast("array<struct<start:long,stop:long>>").alias("ranges"), nothing.alias("kept")))
+    out = facts.join(changed, KEY, "left")
+    hit, n = F.col("kept").isNotNull(), F.col("n_words")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("stop")))
+    return out.select(
+        "doc_id", "n_words", F.when(hit, F.coalesce("gone", n)).otherwise(0).cast("long").alias("n_removed"),
+        F.when(hit, F.coalesce("ranges", whole)).otherwise(F.array().cast("array<struct<start:long,stop:long>>")).alias("removed"),
+        F.coalesce("kept", "whole").alias("kept_sha256" if hashed else "text"))
+
+
+#: The digests of the same rows in DuckDB, every window grouped by its words.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+x AS (SELECT doc_id, i, word, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o, lead(word, 5) OVER o, lead(word, 6) OVER o,
+             lead(word, 7) OVER o, lead(word, 8) OVER o, lead(word, 9) OVER o, lead(word, 10) OVER o, lead(word, 11) OVER o, lead(word, 12) OVER o) AS run, lead(word, 12) OVER o IS NOT NULL AS fits
+      FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+owner AS (SELECT run, min(doc_id) AS owner FROM x WHERE fits GROUP BY run HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT x.doc_id, x.i, x.word, coalesce(x.fits AND owner.owner < x.doc_id, false) AS hit FROM x LEFT JOIN owner ON owner.run = x.run),
+gone AS (SELECT doc_id, i, word, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM hit),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS text FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(kept.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

@@ -144,14 +144,51 @@ def brute_repeats(rows):
 
 def test_substring_dedup(spark):
     rows = [(i, t) for i, t in corpus()]
-    got = substring_dedup.remove_repeats(frame(spark)).collect()
+    got = substring_dedup.remove_repeats(frame(spark), hashed=True).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got if r["doc_id"] is not None} == brute_repeats(rows)
     assert len(got) == len(rows) and [r["n_removed"] for r in got if r["doc_id"] is None] == [0]
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
+    texts = {r["doc_id"]: r for r in substring_dedup.remove_repeats(frame(spark)).collect()}
+    assert all(hashlib.sha256(texts[r["doc_id"]]["text"].encode()).hexdigest() == r["kept_sha256"] for r in got)
+    assert texts[2]["removed"] == [(0, 120)] and texts[1]["removed"] == [] and sum(r["stop"] - r["start"] for r in texts[10]["removed"]) == texts[10]["n_removed"] > 0
     r = random.Random(4)
     few = [(i, " ".join(f"w{r.randrange(2)}" for _ in range(r.randrange(60)))) for i in range(40)]  # windows overlap in every way
-    got = substring_dedup.remove_repeats(spark.createDataFrame(few, DOCS)).collect()
-    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got} == brute_repeats(few)
+    few += [(i + 40, " ".join(f"v{r.randrange(30)}" for _ in range(20)) + " " + few[i % 7][1]) for i in range(20)]
+    def check():
+        got = substring_dedup.remove_repeats(spark.createDataFrame(few, DOCS), hashed=True).collect()
+        assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got} == brute_repeats(few)
+    check()
+
+
+def test_substring_dedup_verifies_words(spark):
+    # words that polynomial hashes of bytes take for equal
+    one, two, start = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a"), words(40, 12)
+    rows = [(1, f"{start} {one}"), (2, f"{start} {two}"), (3, f"x {start} {one} y")]
+    got = {x["doc_id"]: x["n_removed"] for x in substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_substring_dedup_when_hashes_meet(spark):
+    # the same runs with edge hashes of a few bits: what the digests refuse is grouped by words
+    r = random.Random(8)
+    rows = [(i, words(r.randrange(30), 40, 50)) for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("tid", F.xxhash64("text"))
+    runs = substring_dedup.shared_runs(df, 13, 5)
+    odd = runs.select(F.explode("edges").alias("edge")).distinct()
+    starts = {x["doc_id"]: x["starts"] for x in substring_dedup.by_words(df, runs, odd, 13).collect()}
+    covered = {i: len({j for s in own for j in range(s, s + 13)}) for i, own in starts.items()}
+    assert covered == {i: n for i, (_, n, _) in brute_repeats(rows).items() if n}
+    spans, _ = substring_dedup.repeats(df, 13, 5)
+    wrong = spans.withColumn("spans", F.transform("spans", lambda x: F.struct((x["start"] + F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0)).alias("start"), x["length"], x["proofs"])))
+    for x in substring_dedup.verified(df, wrong, 13).collect():
+        assert (not x["starts"]) == (x["doc_id"] % 2 == 0) == bool(x["odd"])
+
+
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    a, b = words(50, 60, 10 ** 6), words(51, 60, 10 ** 6)
+    rows = [(1, a), (5, a), (5, "p q r " + b), (7, b), (7, "s " + a), (7, b)]
+    got = sorted((r["doc_id"], r["text"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == sorted([(1, a), (5, ""), (5, "p q r " + b), (7, ""), (7, "s"), (7, "")])
 
 
 def odd_texts():
