@@ -379,6 +379,37 @@ def test_neighbours(spark):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("kind", ["clusters", "noise"])
+def test_neighbours_of_many_vectors_in_many_blocks(spark, monkeypatch, kind, tmp_path):
+    monkeypatch.setattr(neighbours, "BLOCK", 150)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((20000, 24))
+    if kind == "clusters":  # a third of the rows in one tight group, lengths that differ
+        x = rng.standard_normal((400, 24))[rng.integers(0, 400, 20000)] + 0.25 * x
+        x[::3] = x[1] + 0.01 * rng.standard_normal((len(x[::3]), 24))
+        x *= rng.uniform(0.8, 1.2, (20000, 1))
+    x = x.astype(np.float32)
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": pa.array(range(20000), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    asked, old = [], neighbours.blocks_of
+    def watched(leaves):
+        found = old(leaves)
+        asked.append(found[1].agg(F.max(F.col("block")), F.max("parts")).first())
+        return found
+    monkeypatch.setattr(neighbours, "blocks_of", watched)
+    got = neighbours.nearest(spark.read.parquet(str(tmp_path)), "id % 200 = 0", 20).toPandas()
+    assert asked[0][0] > 0 and (kind == "noise" or asked[0][1] > 1)
+    x, q = x.astype(float), np.arange(0, 20000, 200)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    top = np.argsort(-s, axis=1, kind="stable")[:, :20]
+    pairs = set(zip(got["query_id"], got["vec_id"]))
+    assert len(got) == 2000 and sum((i, t) in pairs for i, row in zip(q, top) for t in row) >= 0.9 * top.size
+    assert all(abs(r.score - x[r.query_id] @ x[r.vec_id]) < 1e-12 * max(1, abs(r.score)) * 100 for r in got.itertuples())
+
+
 def test_language(spark):
     text = {"en": "the cat and the dog went with them to the house that they had", "de": "der hund und die katze gingen mit ihnen in das haus das sie hatten", "fr": "le chat et le chien sont venus avec eux dans la maison que nous avons"}
     labelled = spark.createDataFrame([(i, t, l) for l, t in text.items() for i in range(5)] + [(9, None, "en"), (10, "x", None)], "doc_id long, text string, lang string")
