@@ -53,6 +53,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """``df``, a stored table that ends a lineage of large shuffles: their files go once the driver's collector has run."""
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 #: Ids that a broadcast may hold (about 100 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 4_000_000
 

@@ -38,10 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellgrove.llm.common import Words, picked, plain, signed, slices, stored
+from cellgrove.llm.common import Words, picked, plain, released, signed, slices, stored
 
 WIDTH, KMER = 13, 5
 KEY = ["doc_id", "tid"]
+RANGES = "array<struct<start:bigint,stop:bigint>>"
 
 
 def minimizers(w: Words, width: int, k: int):
@@ -163,7 +164,7 @@ def shared_runs(docs: DataFrame, width: int, k: int) -> DataFrame:
     pairs = minimizer_rows(docs, width, k)
     shared = stored(pairs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "minimizers")
     wanted = pairs.join(shared.hint("merge"), "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    return stored(run_rows(docs.join(wanted.hint("merge"), "doc_id"), width, k), "runs")
+    return released(stored(run_rows(docs.join(wanted.hint("merge"), "doc_id"), width, k), "runs"))
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -171,29 +172,33 @@ def compacted(edges: DataFrame) -> DataFrame:
 
     ``edges``: (edge, source, place, prefix, suffix), one row per distinct edge.
     """
-    into = edges.groupBy(F.col("suffix").alias("prefix")).agg(F.count("*").alias("n_in"), F.min("source").alias("in_source"), F.min("place").alias("in_place"))
-    out = edges.groupBy("prefix").agg(F.count("*").alias("n_out"))
-    nodes = into.join(out, "prefix").where("n_in = 1 AND n_out = 1").select("prefix", "in_source", "in_place")
-    # where a node does not branch, its one edge in may be the step before in the same source
-    chained = edges.join(nodes, "prefix", "left")
-    chained = chained.withColumn("goes_on", F.coalesce((F.col("in_source") == F.col("source")) & (F.col("in_place") + 1 == F.col("place")), F.lit(False)))
-    before = W.partitionBy("source").orderBy("place")
-    return chained.select("edge", "source", "place", F.last(F.when(~F.col("goes_on"), F.col("place")), True).over(before).alias("head"))
+    ends = edges.select(F.col("suffix").alias("node"), "source", "place", F.lit(1).alias("into")).unionByName(edges.select(F.col("prefix").alias("node"), "source", "place", F.lit(0).alias("into")))
+    only = lambda c, into: F.max(F.when(F.col("into") == into, F.col(c)))
+    nodes = ends.groupBy("node").agg(
+        F.sum("into").alias("n_in"), F.count("*").alias("n"), *(only(c, into).alias(f"{c}_{into}") for c in ("source", "place") for into in (0, 1)))
+    # a node that does not branch joins its edge in to its edge out if they follow each other in one source
+    joined = nodes.where("n_in = 1 AND n = 2 AND source_0 = source_1 AND place_0 = place_1 + 1").select(F.col("source_0").alias("source"), F.col("place_0").alias("place"))
+    marked = edges.select("edge", "source", "place", F.lit(1).alias("real")).unionByName(joined.select(F.lit(None).cast("long").alias("edge"), "source", "place", F.lit(0).alias("real")))
+    # in a source, a mark stands just before the edge that goes on
+    order = W.partitionBy("source").orderBy("place", "real")
+    begins = (F.col("real") == 1) & ~F.coalesce((F.lag("real").over(order) == 0) & (F.lag("place").over(order) == F.col("place")), F.lit(False))
+    marked = marked.withColumn("begin", F.when(begins, F.col("place")))
+    return marked.withColumn("head", F.last("begin", True).over(order)).where("real = 1").select("edge", "source", "place", "head")
 
 
 def proposed(runs: DataFrame) -> DataFrame:
-    """(run_a, run_b, n, i, length, source, place): what the edges of each distinct run repeat, by hash."""
-    pieces = stored(runs.groupBy("run_a", "run_b", "n").agg(
+    """(piece, i, length, source, place): what the edges of each distinct run repeat, by hash."""
+    pieces = stored(runs.groupBy("run_a", "run_b").agg(
         F.min(F.struct("doc_id", "start")).alias("lo"), F.max("doc_id").alias("hi"), F.first("edges").alias("edges"), F.first("nodes").alias("nodes")), "pieces")
-    zipped = F.arrays_zip("edges", F.slice("nodes", 1, F.col("n")).alias("prefix"), F.slice("nodes", 2, F.col("n")).alias("suffix"))
-    edges = pieces.select("run_a", "run_b", "n", "lo", "hi", F.posexplode(zipped).alias("i", "e"))
-    edges = edges.select("run_a", "run_b", "n", "i", "hi", F.struct(F.col("lo.doc_id").alias("source"), (F.col("lo.start") + F.col("i")).alias("place")).alias("at"), F.col("e.edges").alias("edge"), "e.prefix", "e.suffix")
+    zipped = F.arrays_zip("edges", F.slice("nodes", F.lit(1), F.size("edges")).alias("prefix"), F.slice("nodes", F.lit(2), F.size("edges")).alias("suffix"))
+    edges = pieces.select(F.xxhash64("run_a", "run_b").alias("piece"), "lo", "hi", F.posexplode(zipped).alias("i", "e"))
+    edges = edges.select("piece", "i", "hi", F.struct(F.col("lo.doc_id").alias("source"), (F.col("lo.start") + F.col("i")).alias("place")).alias("at"), F.col("e.edges").alias("edge"), "e.prefix", "e.suffix")
     owned = edges.groupBy("edge").agg(F.min("at").alias("at"), F.max("hi").alias("last"), F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"))
-    owned = stored(owned.where("at.source < last").select("edge", "at.source", "at.place", "prefix", "suffix"), "edges")
+    owned = released(stored(owned.where("at.source < last").select("edge", "at.source", "at.place", "prefix", "suffix"), "edges"))
     paths = stored(compacted(owned), "paths")
-    walked = edges.select("run_a", "run_b", "n", "i", "hi", "edge").join(paths, "edge").where("source < hi")
-    found = walked.groupBy("run_a", "run_b", "n", "source", "head", (F.col("place") - F.col("i")).alias("shift")).agg(F.min("i").alias("i"), F.count("*").cast("int").alias("length"))
-    return stored(found.select("run_a", "run_b", "n", "i", "length", "source", (F.col("shift") + F.col("i")).alias("place")), "proposed")
+    walked = edges.select("piece", "i", "hi", "edge").join(paths, "edge").where("source < hi")
+    found = walked.groupBy("piece", "source", "head", (F.col("place") - F.col("i")).alias("shift")).agg(F.min("i").alias("i"), F.count("*").cast("int").alias("length"))
+    return released(stored(found.select("piece", "i", "length", "source", (F.col("shift") + F.col("i")).alias("place")), "proposed"))
 
 
 def source_digests(asked: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -204,69 +209,87 @@ def source_digests(asked: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for source, tid, text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+            for source, text, asks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 words = words_of(text.as_py())
                 rows += [(source, a["place"], a["length"], *digest(words[a["place"]:a["place"] + a["length"] + width - 1])) for a in asks]
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["source", "place", "length", "da", "db"])
 
-    lists = asked.groupBy(F.col("source").alias("doc_id")).agg(F.collect_list(F.struct("place", "length")).alias("asks"))
-    at = docs.select(*KEY, "text").join(lists.hint("merge"), "doc_id").select(*KEY, "text", "asks")
-    return at.mapInArrow(run, "source long, place int, length int, da long, db long").distinct()
+    lists = stored(asked.groupBy(F.col("source").alias("doc_id")).agg(F.collect_set(F.struct("place", "length")).alias("asks")), "asked")
+    at = picked(docs.select("doc_id", "text"), lists.select("doc_id")).join(lists.hint("merge"), "doc_id").select("doc_id", "text", "asks")
+    return at.mapInArrow(run, "source long, place int, length int, da long, db long")
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, k: int = KMER) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, tid, spans of struct<start, length, proofs>) of each distinct text, to be verified; and the runs."""
+    """(doc_id, tid, spans of struct<start, length, da, db>) of each distinct text, to be verified; and the runs."""
     runs = shared_runs(docs, width, k)
     found = proposed(runs)
-    proofs = source_digests(found.select("source", "place", "length").distinct(), docs, width)
-    # rows that share an id may hold several texts at one place: any of them proves
-    proofs = stored(proofs.groupBy("source", "place", "length").agg(F.collect_list(F.struct("da", "db")).alias("proofs")), "proofs")
-    walks = found.join(proofs, ["source", "place", "length"]).groupBy("run_a", "run_b", "n").agg(F.collect_list(F.struct("i", "length", "source", "proofs")).alias("walk"))
-    walks = stored(walks, "walks")
-    placed = runs.select(*KEY, "start", "run_a", "run_b", "n").join(walks, ["run_a", "run_b", "n"])
+    # of a source id that several rows share, each text gives a proof; one that fits is enough
+    proofs = source_digests(found, docs, width)
+    walks = found.join(proofs, ["source", "place", "length"]).groupBy("piece").agg(F.collect_list(F.struct("i", "length", "source", "da", "db")).alias("walk"))
+    walks = released(stored(walks, "walks"))
+    placed = runs.select(*KEY, "start", F.xxhash64("run_a", "run_b").alias("piece")).join(walks, "piece")
     placed = placed.select(*KEY, "start", F.filter("walk", lambda x: x["source"] < F.col("doc_id")).alias("walk")).where(F.size("walk") > 0)
-    spans = placed.groupBy(*KEY).agg(F.flatten(F.collect_list(F.expr("transform(walk, x -> struct(start + x.i AS start, x.length AS length, x.proofs AS proofs))"))).alias("spans"))
+    spans = placed.groupBy(*KEY).agg(F.flatten(F.collect_list(F.expr("transform(walk, x -> struct(start + x.i AS start, x.length AS length, x.da AS da, x.db AS db))"))).alias("spans"))
     return stored(spans, "spans"), runs
 
 
-def verified(docs: DataFrame, spans: DataFrame, width: int) -> DataFrame:
-    """(doc_id, tid, starts, odd): windows whose words equal those at the source, and hashes of windows where they do not."""
+def proved(words: list[bytes], spans: list[dict], width: int) -> tuple[list[int], list[int]]:
+    """Windows whose words are those at the source, and windows of spans that no proof fits."""
+    good, bad = set(), set()
+    for s in spans:
+        at, n = s["start"], s["length"]
+        (good if digest(words[at:at + n + width - 1]) == (s["da"], s["db"]) else bad).update(range(at, at + n))
+    return sorted(good), sorted(bad - good)
+
+
+def cut(docs: DataFrame, spans: DataFrame, width: int, hashed: bool) -> DataFrame:
+    """(doc_id, tid, gone, ranges, kept, odd): verified spans cut from each text; odd: edge hashes of windows that failed."""
     def run(batches):
         with np.errstate(over="ignore"):
             for b in batches:
-                starts, odd = [], []
+                out: list = [[] for _ in range(4)]
                 for text, own in zip(b.column(2), b.column(3).to_pylist()):
-                    words, good, bad = words_of(text.as_py()), [], []
-                    for s in own:
-                        at, n = s["start"], s["length"]
-                        proof = digest(words[at:at + n + width - 1])
-                        (good if any((p["da"], p["db"]) == proof for p in s["proofs"]) else bad).extend(range(at, at + n))
-                    starts.append(sorted(good))
-                    hashes = signed(edge_hashes(Words(pa.array([text.as_py()], pa.string())), width)) if bad else []
-                    odd.append([int(hashes[x]) for x in bad if x < len(hashes)])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(odd, pa.list_(pa.int64()))], [*KEY, "starts", "odd"])
+                    text = text.as_py()
+                    words = words_of(text)
+                    good, bad = proved(words, own, width)
+                    at = np.array(good, np.int64)
+                    change = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(change, at, 1)
+                    np.add.at(change, at + width, -1)
+                    gone = np.cumsum(change)[:len(words)] > 0
+                    left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
+                    hashes = signed(edge_hashes(Words(pa.array([text], pa.string())), width)) if bad else []
+                    row = (int(gone.sum()), [{"start": int(s), "stop": int(e)} for s, e in edges], hashlib.sha256(left).hexdigest() if hashed else left.decode(),
+                           [int(hashes[x]) for x in bad if x < len(hashes)])
+                    for column, value in zip(out, row):
+                        column.append(value)
+                kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, out, kinds)], [*KEY, "gone", "ranges", "kept", "odd"])
 
     joined = picked(docs, spans.select(*KEY)).join(spans.hint("merge"), KEY).select(*KEY, "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, tid long, starts array<int>, odd array<long>").dropDuplicates(KEY)
+    return joined.mapInArrow(run, f"doc_id long, tid long, gone long, ranges {RANGES}, kept string, odd array<long>").dropDuplicates(KEY)
 
 
 def by_words(docs: DataFrame, runs: DataFrame, odd: DataFrame, width: int) -> DataFrame:
-    """(doc_id, tid, starts): the repeated windows among those with the given edge hashes, grouped by their words."""
+    """(doc_id, tid, spans): the repeated windows among those with the given edge hashes, grouped by their words; each has its own digest."""
     at = runs.select(*KEY, "start", F.posexplode("edges").alias("i", "edge")).join(odd, "edge", "left_semi")
     at = at.groupBy(*KEY).agg(F.collect_set(F.col("start") + F.col("i")).alias("starts"))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
 
     def run(batches):
         for b in batches:
             for doc, tid, text, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
                 words = words_of(text.as_py())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([doc] * len(starts), pa.int64()), pa.array([tid] * len(starts), pa.int64()), pa.array(starts, pa.int32()),
-                    pa.array([b" ".join(words[s:s + width]).decode() for s in starts], pa.string())], [*KEY, "start", "words"])
+                rows = [(doc, tid, x, b" ".join(words[x:x + width]).decode(), *digest(words[x:x + width])) for x in starts]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [*KEY, "start", "words", "da", "db"])
 
-    windows = stored(docs.select(*KEY, "text").join(at, KEY).select(*KEY, "text", "starts").mapInArrow(run, "doc_id long, tid long, start int, words string").distinct(), "windows")
+    windows = docs.select(*KEY, "text").join(at, KEY).select(*KEY, "text", "starts").mapInArrow(run, "doc_id long, tid long, start int, words string, da long, db long")
+    windows = stored(windows.distinct(), "windows")
     owners = windows.groupBy("words").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
-    return windows.join(owners, "words").where("owner < doc_id").groupBy(*KEY).agg(F.collect_set("start").alias("starts"))
+    hit = windows.join(owners, "words").where("owner < doc_id")
+    return hit.groupBy(*KEY).agg(F.collect_list(F.struct("start", F.lit(1).alias("length"), "da", "db")).alias("spans"))
 
 
 def remove_repeats(df: DataFrame, width: int = WIDTH, k: int = KMER, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
@@ -285,41 +308,20 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, k: int = KMER, id_col: str
     later = stored(usable.join(copied, ["text_a", "text_b"]).where("doc_id > first").select(*KEY).distinct(), "later")
     alone = picked(docs.where("doc_id IS NOT NULL"), later, "left_anti")
     spans, runs = repeats(alone, width, k)
-    proved = stored(verified(alone, spans, width), "verified")
-    starts = proved.where(F.size("starts") > 0).select(*KEY, "starts")
-    odd = stored(proved.select(F.explode("odd").alias("edge")).distinct(), "odd")
+    changed = stored(cut(alone, spans, width, hashed), "changed")
+    odd = stored(changed.select(F.explode("odd").alias("edge")).distinct(), "odd")
     if odd.limit(1).count():
-        starts = starts.unionByName(by_words(alone, runs, odd, width)).groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-        starts = stored(starts, "starts")
-
-    def cut(batches):
-        for b in batches:
-            gone_n, ranges, kept = [], [], []
-            for text, own in zip(b.column(2), b.column(3)):
-                words, own = words_of(text.as_py()), np.asarray(own.values)
-                change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, own, 1)
-                np.add.at(change, own + width, -1)
-                gone = np.cumsum(change)[:len(words)] > 0
-                left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                gone_n.append(int(gone.sum()))
-                ranges.append([{"start": int(s), "stop": int(e)} for s, e in edges.reshape(-1, 2)])
-                kept.append(hashlib.sha256(left).hexdigest() if hashed else left.decode())
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array(gone_n, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.string()),
-            ], [*KEY, "gone", "ranges", "kept"])
-
-    changed = picked(alone, starts.select(*KEY)).join(starts.hint("merge"), KEY).select(*KEY, "text", "starts")
-    changed = changed.mapInArrow(cut, "doc_id long, tid long, gone long, ranges array<struct<start:long,stop:long>>, kept string").dropDuplicates(KEY)
+        spans = spans.unionByName(by_words(alone, runs, odd, width)).groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        changed = stored(cut(alone, stored(spans, "spans"), width, hashed), "changed")
+    changed = changed.where("gone > 0").select(*KEY, "gone", "ranges", "kept")
     nothing = F.lit(hashlib.sha256(b"").hexdigest() if hashed else "")
-    changed = changed.unionByName(later.select(*KEY, F.lit(None).cast("long").alias("gone"), F.lit(None).cast("array<struct<start:long,stop:long>>").alias("ranges"), nothing.alias("kept")))
+    changed = changed.unionByName(later.select(*KEY, F.lit(None).cast("long").alias("gone"), F.lit(None).cast(RANGES).alias("ranges"), nothing.alias("kept")))
     out = facts.join(changed, KEY, "left")
     hit, n = F.col("kept").isNotNull(), F.col("n_words")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("stop")))
     return out.select(
         "doc_id", "n_words", F.when(hit, F.coalesce("gone", n)).otherwise(0).cast("long").alias("n_removed"),
-        F.when(hit, F.coalesce("ranges", whole)).otherwise(F.array().cast("array<struct<start:long,stop:long>>")).alias("removed"),
+        F.when(hit, F.coalesce("ranges", whole)).otherwise(F.array().cast(RANGES)).alias("removed"),
         F.coalesce("kept", "whole").alias("kept_sha256" if hashed else "text"))
 
 

@@ -54,6 +54,19 @@ def test_line_dedup(spark):
         assert all(x in all_ for x in left if x)
 
 
+def test_line_dedup_of_long_texts_and_clashing_columns(spark):
+    import time
+
+    block = [f"line {i} {i * i % 97}" for i in range(60000)]
+    rows = [(1, "\n".join(block)), (2, "\n".join(["start", *block, *block[:500]])), (3, "alone\ntext")]
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(7) for c in ("n_lines", "N_removed", "__gone", "__of", "extra")})
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert time.time() - began < 60
+    assert got[1]["n_removed"] == 0 and got[2]["n_lines"] == 60501 and got[2]["n_removed"] > 60400 and got[2]["text"].startswith("start")
+    assert got[3]["text"] == "alone\ntext" and (got[3]["extra"], got[3]["__gone"], got[3]["__of"], got[3]["n_lines"]) == (7, 7, 7, 2)
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
@@ -168,20 +181,27 @@ def test_substring_dedup_verifies_words(spark):
     assert got == {1: 0, 2: 0, 3: 13}
 
 
-def test_substring_dedup_when_hashes_meet(spark):
-    # the same runs with edge hashes of a few bits: what the digests refuse is grouped by words
+def test_substring_dedup_when_hashes_meet(spark, monkeypatch):
+    # every proposal is moved, so no proof fits: all windows are then grouped by their words
     r = random.Random(8)
-    rows = [(i, words(r.randrange(30), 40, 50)) for i in range(60)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("tid", F.xxhash64("text"))
-    runs = substring_dedup.shared_runs(df, 13, 5)
-    odd = runs.select(F.explode("edges").alias("edge")).distinct()
-    starts = {x["doc_id"]: x["starts"] for x in substring_dedup.by_words(df, runs, odd, 13).collect()}
-    covered = {i: len({j for s in own for j in range(s, s + 13)}) for i, own in starts.items()}
-    assert covered == {i: n for i, (_, n, _) in brute_repeats(rows).items() if n}
-    spans, _ = substring_dedup.repeats(df, 13, 5)
-    wrong = spans.withColumn("spans", F.transform("spans", lambda x: F.struct((x["start"] + F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0)).alias("start"), x["length"], x["proofs"])))
-    for x in substring_dedup.verified(df, wrong, 13).collect():
-        assert (not x["starts"]) == (x["doc_id"] % 2 == 0) == bool(x["odd"])
+    rows = [(i, words(r.randrange(30), 40, 50) + " " + words(60 + i, 5)) for i in range(60)]
+    df, old, fell_back = spark.createDataFrame(rows, DOCS), substring_dedup.repeats, []
+    def moved(docs, width, k):
+        spans, runs = old(docs, width, k)
+        wrong = F.transform("spans", lambda x: F.struct(x["start"], x["length"], F.when(F.col("doc_id") % 3 > 0, x["da"] + 1).otherwise(x["da"]).alias("da"), x["db"]))
+        return spans.withColumn("spans", wrong), runs
+    plain = substring_dedup.by_words
+    monkeypatch.setattr(substring_dedup, "repeats", moved)
+    monkeypatch.setattr(substring_dedup, "by_words", lambda *a: fell_back.append(1) or plain(*a))
+    got = substring_dedup.remove_repeats(df, hashed=True).collect()
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got} == brute_repeats(rows) and fell_back
+
+
+def test_substring_dedup_compacts_paths(spark):
+    # sources 1 and 2; an edge that two lead to starts a new path
+    e = [(10, 1, 0, 100, 101), (11, 1, 1, 101, 102), (12, 1, 2, 102, 103), (13, 1, 4, 104, 105), (20, 2, 7, 200, 102)]
+    got = {r["edge"]: r["head"] for r in substring_dedup.compacted(spark.createDataFrame(e, "edge long, source long, place int, prefix long, suffix long")).collect()}
+    assert got == {10: 0, 11: 0, 12: 2, 13: 4, 20: 7}
 
 
 def test_substring_dedup_of_rows_that_share_an_id(spark):
