@@ -14,10 +14,14 @@
 Defined cases: null texts stay null and empty texts stay empty; one-line texts
 and chunks without a visible character stay; rows with a null id lose nothing;
 rows that share an id are one document, of which neither row is earlier; other
-columns pass through; an empty table gives an empty result.
+columns pass through, but columns named n_lines or n_removed are replaced; a text
+of any number of lines costs time in proportion (but for sorting its chunks); an
+empty table gives an empty result.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +49,10 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     c = c.select("_id", "_lines", "_ends", begin.alias("_starts"))
     c = c.select("_id", "_starts", "_ends", F.transform("_starts", lambda s, i: F.array_join(F.slice("_lines", s + 1, F.get("_ends", i) - s + 1), "\n")).alias("_texts"))
     c = c.withColumn("_digests", F.transform("_texts", lambda t: F.md5(t)))
-    again = F.transform("_digests", lambda d, i: F.array_position("_digests", d) <= i)
-    c = c.select("_id", F.inline(F.arrays_zip(F.col("_starts").alias("start"), F.col("_ends").alias("stop"), F.col("_texts").alias("chunk"), F.col("_digests").alias("digest"), again.alias("again"))))
+    # in the order of digests, then places, a repeated chunk follows its first time
+    c = c.select("_id", F.array_sort(F.arrays_zip(F.col("_digests").alias("digest"), F.col("_starts").alias("start"), F.col("_ends").alias("stop"), F.col("_texts").alias("chunk"))).alias("_sorted"))
+    again = F.transform("_sorted", lambda x, i: x["digest"].eqNullSafe(F.get("_sorted", i - 1)["digest"]))
+    c = c.select("_id", F.inline(F.arrays_zip(F.col("_sorted").alias("x"), again.alias("again")))).select("_id", "x.*", "again")
     return c.where("stop > start").where(F.col("chunk").rlike(r"\S"))
 
 
@@ -62,16 +68,23 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the text cut, and columns n_lines, n_removed (lines)."""
-    gone = stored(removals(df, id_col, text_col), "gone").select(F.col("_id").alias("__of"), F.col("gone").alias("__gone"))
-    joined = df.join(gone.hint("merge"), F.col(id_col) == F.col("__of"), "left").drop("__of")
-    lines = F.split(text_col, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.exists("__gone", lambda g: (g["start"] <= i) & (i <= g["stop"]))), "\n")
-    n_removed = F.aggregate("__gone", F.lit(0), lambda n, g: n + g["stop"] - g["start"] + 1)
+    of, gone = (f"_{name}_{uuid.uuid4().hex}" for name in ("of", "gone"))
+    found = stored(removals(df, id_col, text_col), "gone").select(F.col("_id").alias(of), F.array_sort("gone").alias(gone))
+    joined = df.join(found.hint("merge"), F.col(id_col) == F.col(of), "left").drop(of)
+    n = F.size(gone)
+    # what is left lies between the ranges, which are in order and apart
+    def between(lines, j):
+        begin = F.when(j == 0, 0).otherwise(F.get(gone, j - 1)["stop"] + 1)
+        return F.slice(lines, begin + 1, F.when(j == n, F.size(lines)).otherwise(F.get(gone, j)["start"]) - begin)
+    # the outer transform splits a text once, not once for each range
+    pieces = F.transform(F.array(F.split(text_col, "\n", -1)), lambda lines: F.flatten(F.transform(F.sequence(F.lit(0), n), lambda j: between(lines, j))))
+    kept = F.array_join(F.get(pieces, F.lit(0)), "\n")
+    n_removed = F.aggregate(gone, F.lit(0), lambda n, g: n + g["stop"] - g["start"] + 1)
     return joined.withColumns({
         "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long"),
-        "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(n_removed).cast("long"),
-        text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept),
-    }).drop("__gone")
+        "n_removed": F.when(F.col(gone).isNull(), 0).otherwise(n_removed).cast("long"),
+        text_col: F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept),
+    }).drop(gone)
 
 
 #: The same rows in DuckDB.

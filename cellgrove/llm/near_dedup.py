@@ -5,19 +5,21 @@
    signature that keeps ``BITS`` bits of every mixed minimum, packed in longs.
 2. Documents of equal word sequences (SHA-256) form one class, grouped, never
    paired; the least doc_id stands for it.
-3. Bands give candidates.  Each member of a band bucket meets the least member
+3. Bands give candidates.  Each member of a band bucket meets the bucket's hub
    only; Jaccard similarity is estimated from equal packed slots by bit counts,
    corrected for chance collisions, and clear misses go.  Pairs of sizes that
-   cannot reach the limit go too; a set under ``SMALL`` shingles needs no estimate.
-   The rest are confirmed on the shingles' words, not on hashes, and components
+   cannot reach the limit go too; pairs of sets of up to ``SMALL`` shingles are
+   judged on all their hashes instead.  The rest are confirmed on the shingles' words, not on hashes, and components
    are formed.
 4. A bucket that still holds several components has the pairs across them
    estimated, in blocks of ``BLOCK`` members so that no task holds a bucket, and
    confirmed likewise, so no link between classes is lost.  Members of one
-   component are not paired again.
+   component are not paired again.  In buckets of over ``CROWD`` members a pair's
+   intersection is also bounded by the bits in which bitmaps of the two sets
+   differ, which rules out most pairs of far-edited copies and no true link.
 
 At similarity 0.75 one pair in 3,700,000 shares no band, and about one in a
-billion has an estimate lower by ``SLACK``; both fall fast above 0.75.
+million has an estimate lower by ``SLACK``; both fall fast above 0.75.
 
 Defined cases: null or empty texts, or texts without words, have an empty set
 and are linked with nothing; fewer words than a shingle: the whole sequence is
@@ -40,15 +42,19 @@ PERMUTATIONS, BITS = 512, 2
 #: Bands are made of the first BANDS * ROWS minima; the estimate uses all.
 BANDS, ROWS = 40, 4
 LONGS = PERMUTATIONS * BITS // 64
-#: How far below the limit an estimate may lie before a candidate is given up: six standard deviations.
-SLACK = 0.14
-#: A pair with a set of fewer shingles is confirmed without an estimate.
-SMALL = 30
+#: How far below the limit an estimate may lie before a candidate is given up: 4.7 standard deviations.
+SLACK = 0.11
+#: Sets of so many shingles at most travel whole (as hashes); their pairs need no estimate.
+SMALL = 48
 SHINGLE, PERCENT = 5, 75
+#: What a representative shows of its set when pairs are judged.
+CARRIED = ("n", "sig", "small")
 #: Words of a text beyond which shingles are compared as ranks, not as tuples.
 LONG = 200_000
-#: Members of a bucket that are compared at a time.
-BLOCK = 2000
+#: Members of a bucket that are compared at a time; members beyond which a bucket's pairs are bounded first.
+BLOCK, CROWD = 2000, 64
+#: Longs of a bitmap.
+WORDS = 32
 
 
 def words_of(text: str) -> list[bytes]:
@@ -117,7 +123,10 @@ def packed(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, text_a, text_b, bands, sig): one row per row of ``df``; text_a and text_b are of the word sequence's SHA-256."""
+    """(doc_id, n_shingles, text_a, text_b, bands, sig, small): one row per row of ``df``.
+
+    text_a and text_b are of the word sequence's SHA-256; small has the shingle hashes of a set that is not large.
+    """
     def run(batches):
         with np.errstate(over="ignore"):
             salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -137,9 +146,10 @@ def signatures(df: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col
                         ids.slice(at, m).cast(pa.int64()), pa.array(n), pa.array(np.ascontiguousarray(sums[:, 0])), pa.array(np.ascontiguousarray(sums[:, 1])),
                         pa.ListArray.from_arrays(pa.array(rows * np.int32(BANDS)), pa.array(signed(bands).ravel())),
                         pa.ListArray.from_arrays(pa.array(rows * np.int32(LONGS)), pa.array(signed(sig).ravel())),
-                    ], ["doc_id", "n_shingles", "text_a", "text_b", "bands", "sig"])
+                        pa.array([signed(x) if len(x) <= SMALL else None for x in sets], pa.list_(pa.int64())),
+                    ], ["doc_id", "n_shingles", "text_a", "text_b", "bands", "sig", "small"])
 
-    return df.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, text_a long, text_b long, bands array<long>, sig array<long>")
+    return df.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, text_a long, text_b long, bands array<long>, sig array<long>, small array<long>")
 
 
 def estimate(a: str, b: str):
@@ -185,22 +195,71 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return two.mapInArrow(check, "a long, b long").distinct()
 
 
-def across_components(members: DataFrame, found: DataFrame, reps: DataFrame, near) -> DataFrame:
-    """Pairs (a, b) of one bucket, but of several components, that may be near."""
+def may_be_near(percent: int):
+    """Whether the sets of a pair, in columns that end in _a and _b, may reach the limit."""
+    few, many = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    shared = F.size(F.array_intersect("small_a", "small_b"))
+    whole = F.col("small_a").isNotNull() & F.col("small_b").isNotNull()
+    by_set = 100 * shared >= percent * (few + many - shared)
+    return (100 * few >= percent * many) & F.when(whole, by_set).otherwise(estimate("sig_a", "sig_b") >= percent / 100 - SLACK)
+
+
+def bucketed(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(band, id) of every member of a bucket of two or more, and (band, hub) of each bucket.
+
+    The hub is the member whose buckets are the fullest: in a group of edited copies that is the text they were made from.
+    """
+    members = reps.select("id", F.explode("bands").alias("band"))
+    sizes = stored(members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    members = stored(members.join(sizes, "band"), "members")
+    weights = stored(members.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
+    hubs = members.join(weights, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("best"))
+    return members.select("band", "id"), stored(hubs.select("band", (-F.col("best.id")).alias("hub")), "buckets")
+
+
+def bitmaps(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, bits): a bitmap of each text's shingle hashes; not for ids that stand at several texts."""
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for b in batches:
+                texts, own = plain(b.column(1)), b.column(0)
+                for at, m in slices(texts):
+                    bits = np.zeros((m, 64 * WORDS), np.uint8)
+                    for row, found in zip(bits, shingle_sets(texts.slice(at, m), k)):
+                        row[(found % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+                    flat = np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
+                    yield pa.RecordBatch.from_arrays([own.slice(at, m), pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * np.int32(WORDS)), pa.array(flat))], ["id", "bits"])
+
+    texts = picked(docs, ids.select(F.col("id").alias("doc_id"))).distinct()
+    rows = texts.select("doc_id", "text").mapInArrow(run, "id long, bits array<long>")
+    return stored(rows.groupBy("id").agg(F.count("*").alias("texts"), F.first("bits").alias("bits")).where("texts = 1").select("id", "bits"), "bitmaps")
+
+
+def across_components(members: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket, but of several components, that may be near.
+
+    In a crowded bucket pairs are bounded first: every bit in which two bitmaps differ stands for a shingle that only one of them has.
+    """
     placed = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).select("band", "id", "component")
     placed = stored(placed, "placed")
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    split = split.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    open_ = placed.join(split, "band").join(reps.select("id", "n", "sig", "bands"), "id")
+    split = stored(split.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), (F.col("size") > CROWD).alias("crowded")), "split")
+    open_ = stored(placed.join(split, "band"), "open-members")
+    maps = bitmaps(docs, stored(open_.where("crowded").select("id").distinct(), "crowded"), k)
+    open_ = open_.join(reps.select("id", *CARRIED, "bands"), "id").join(maps, "id", "left").withColumn("bits", F.when(F.col("crowded"), F.col("bits")))
     open_ = stored(open_.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "open")
     # block pairs (i, j), i <= j: a block meets itself and every other once
     every = lambda lo, hi: F.explode(F.sequence(lo, hi))
-    left = open_.select("band", F.col("own").alias("i"), every(F.col("own"), F.col("blocks") - 1).alias("j"), *(F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "sig", "bands")))
-    right = open_.select(F.col("band").alias("of"), every(F.lit(0), F.col("own")).alias("i2"), F.col("own").alias("j2"), *(F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "sig", "bands")))
+    shown = ("id", "component", "bits", *CARRIED, "bands")
+    left = open_.select("band", F.col("own").alias("i"), every(F.col("own"), F.col("blocks") - 1).alias("j"), *(F.col(c).alias(f"{c}_a") for c in shown))
+    right = open_.select(F.col("band").alias("of"), every(F.lit(0), F.col("own")).alias("i2"), F.col("own").alias("j2"), *(F.col(c).alias(f"{c}_b") for c in shown))
     # inside a block a pair is met in both orders, across blocks in one; one that shares several bands counts in the least of them
     once = F.when(F.col("i") == F.col("j"), F.col("component_a") < F.col("component_b")).otherwise(F.col("component_a") != F.col("component_b"))
+    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(1, WORDS)), F.bit_count(F.col("bits_a")[0].bitwiseXOR(F.col("bits_b")[0])))
+    both = F.col("n_a") + F.col("n_b")
+    bound = F.col("bits_a").isNull() | F.col("bits_b").isNull() | (100 * (both - apart) >= percent * (both + apart))
     first = F.col("band") == F.array_min(F.array_intersect("bands_a", "bands_b"))
-    met = left.join(right, (F.col("band") == F.col("of")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & once & near & first)
+    met = left.join(right, (F.col("band") == F.col("of")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & once & may_be_near(percent) & bound & first)
     return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
@@ -210,20 +269,17 @@ def classes(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str
     sigs = stored(signatures(docs, k), "signatures")
     real = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = stored(real.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = real.select("doc_id", "n_shingles", "text_a", "text_b", "bands", "sig").join(
+    reps = real.select("doc_id", "n_shingles", "text_a", "text_b", *CARRIED[1:], "bands").join(
         same.withColumnRenamed("class_id", "doc_id"), ["doc_id", "text_a", "text_b"], "left_semi").dropDuplicates(["doc_id", "text_a", "text_b"])
-    reps = stored(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig"), "representatives")
-    members = reps.select("id", F.explode("bands").alias("band"))
-    buckets = stored(members.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub"), "buckets")
-    members = stored(members.join(buckets, "band"), "members")
-    sig = lambda name: reps.select(F.col("id").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n").alias(f"n_{name}"))
-    few, many = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    near = (100 * few >= percent * many) & ((few < SMALL) | (estimate("sig_a", "sig_b") >= percent / 100 - SLACK))
-    stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(sig("b"), "b").join(sig("a"), "a").where(near).select("a", "b")
+    reps = stored(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", *CARRIED[1:]), "representatives")
+    members, buckets = bucketed(reps)
+    near = may_be_near(percent)
+    stars = members.join(buckets, "band").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    side = lambda of: reps.select(F.col("id").alias(of), *(F.col(c).alias(f"{c}_{of}") for c in CARRIED))
+    stars = stars.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b")
     links = stored(confirmed(stored(stars, "stars"), docs, k, percent), "links")
     found = stored(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
-    across = stored(across_components(members, found, reps, near), "across")
+    across = stored(across_components(members, found, reps, docs, k, percent), "across")
     if across.limit(1).count():
         more = stored(confirmed(across, docs, k, percent), "links")
         found = stored(connected_components(links.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")

@@ -133,6 +133,7 @@ def test_near_dedup_in_blocks(spark, monkeypatch):
     # one template, many fillings: buckets hold many documents that are not near, in blocks of three
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     monkeypatch.setattr(near_dedup, "LONG", 70)
+    monkeypatch.setattr(near_dedup, "CROWD", 4)
     r, base, rows = random.Random(6), words(30, 90, 10 ** 6).split(), []
     for i in range(60):
         w = list(base)
