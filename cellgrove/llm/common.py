@@ -45,20 +45,23 @@ def intermediates(spark: SparkSession):
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Spark's own setting: shuffle files go as soon as the execution that made them is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends there."""
+    """``df`` written once to the shared folder and read back: lineage ends there, and its shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(df: DataFrame) -> DataFrame:
-    """``df``, a stored table that ends a lineage of large shuffles: their files go once the driver's collector has run."""
-    df.sparkSession._jvm.System.gc()
-    return df
-
-
 #: Ids that a broadcast may hold (about 100 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 4_000_000
 

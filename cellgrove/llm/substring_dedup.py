@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellgrove.llm.common import Words, picked, plain, released, signed, slices, stored
+from cellgrove.llm.common import Words, picked, plain, signed, slices, stored
 
 WIDTH, KMER = 13, 5
 KEY = ["doc_id", "tid"]
@@ -164,7 +164,7 @@ def shared_runs(docs: DataFrame, width: int, k: int) -> DataFrame:
     pairs = minimizer_rows(docs, width, k)
     shared = stored(pairs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "minimizers")
     wanted = pairs.join(shared.hint("merge"), "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    return released(stored(run_rows(docs.join(wanted.hint("merge"), "doc_id"), width, k), "runs"))
+    return stored(run_rows(docs.join(wanted.hint("merge"), "doc_id"), width, k), "runs")
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -194,11 +194,11 @@ def proposed(runs: DataFrame) -> DataFrame:
     edges = pieces.select(F.xxhash64("run_a", "run_b").alias("piece"), "lo", "hi", F.posexplode(zipped).alias("i", "e"))
     edges = edges.select("piece", "i", "hi", F.struct(F.col("lo.doc_id").alias("source"), (F.col("lo.start") + F.col("i")).alias("place")).alias("at"), F.col("e.edges").alias("edge"), "e.prefix", "e.suffix")
     owned = edges.groupBy("edge").agg(F.min("at").alias("at"), F.max("hi").alias("last"), F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"))
-    owned = released(stored(owned.where("at.source < last").select("edge", "at.source", "at.place", "prefix", "suffix"), "edges"))
+    owned = stored(owned.where("at.source < last").select("edge", "at.source", "at.place", "prefix", "suffix"), "edges")
     paths = stored(compacted(owned), "paths")
     walked = edges.select("piece", "i", "hi", "edge").join(paths, "edge").where("source < hi")
     found = walked.groupBy("piece", "source", "head", (F.col("place") - F.col("i")).alias("shift")).agg(F.min("i").alias("i"), F.count("*").cast("int").alias("length"))
-    return released(stored(found.select("piece", "i", "length", "source", (F.col("shift") + F.col("i")).alias("place")), "proposed"))
+    return stored(found.select("piece", "i", "length", "source", (F.col("shift") + F.col("i")).alias("place")), "proposed")
 
 
 def source_digests(asked: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -227,7 +227,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = KMER) -> tuple[DataFra
     # of a source id that several rows share, each text gives a proof; one that fits is enough
     proofs = source_digests(found, docs, width)
     walks = found.join(proofs, ["source", "place", "length"]).groupBy("piece").agg(F.collect_list(F.struct("i", "length", "source", "da", "db")).alias("walk"))
-    walks = released(stored(walks, "walks"))
+    walks = stored(walks, "walks")
     placed = runs.select(*KEY, "start", F.xxhash64("run_a", "run_b").alias("piece")).join(walks, "piece")
     placed = placed.select(*KEY, "start", F.filter("walk", lambda x: x["source"] < F.col("doc_id")).alias("walk")).where(F.size("walk") > 0)
     spans = placed.groupBy(*KEY).agg(F.flatten(F.collect_list(F.expr("transform(walk, x -> struct(start + x.i AS start, x.length AS length, x.da AS da, x.db AS db))"))).alias("spans"))
