@@ -1,23 +1,31 @@
 """Benchmark decontamination by templates, built-in SQL functions only.
 
-1. Numbers, names (capitalised words inside a sentence) and units after a number
-   become typed placeholders that keep their value; everything else is lower-cased
-   and split at anything but letters.
-2. Every window of ``WIDTH`` template tokens is hashed, placeholders by type only.
-   The benchmark's windows meet those of the documents in a hash join.  The
-   benchmark side is broadcast only if its counted windows stay under
-   ``BROADCAST_WINDOWS``; beyond that it is an ordinary shuffled join.
-3. Hits are counted by (document, item, offset between the two).  An offset that
-   covers ``COVER`` of an item's windows is a candidate.
-4. Slot consistency: over the covered part, one value of the item must always
-   stand for one value of the document and the other way round.  Equal values
-   are a verbatim leak, others a re-parameterised one; inconsistent slots, or
-   fewer than ``LITERALS`` literal tokens, are no leak.
-
-Defined cases: null or empty texts and items leak nothing; items with fewer
-tokens than a window are matched by nothing; rows with a null id are ignored;
-repeated rows count once; other columns are ignored; an empty table on either
-side gives an empty result.
+1. Numbers, numbers with a unit, and names (capitalised words) become typed
+   placeholders that keep their value; placeholders next to each other are one, so
+   a name of two words fills the same slot as a name of one, and a table of
+   numbers is one token.  Everything else is lower-cased and split at anything but
+   letters.
+2. Every window of ``WIDTH`` template tokens is hashed, placeholders by type only;
+   half of a window or more is literal.  An item of fewer tokens is looked for in
+   plain lower-case words instead, in windows of its own length (``WIDTH`` at most),
+   and only verbatim.  The benchmark's windows meet those of
+   the documents in a hash join.  The benchmark side is broadcast only if its
+   counted windows stay under ``BROADCAST_WINDOWS``; beyond that it is an ordinary
+   shuffled join.
+3. Hits are gathered by (document, item) at one offset, and also in bands of
+   ``DRIFT`` offsets, twice so that offsets up to half a band apart share one: words
+   that were put in or left out move what follows.  A group that covers ``COVER`` of
+   an item's windows is a candidate.
+4. Slot consistency: over the tokens of the windows that were hit, one value of the
+   item must always stand for one value of the document and the other way round.
+   Equal values are a verbatim leak, others a re-parameterised one; inconsistent
+   slots are no leak, nor are other values with fewer than ``LITERALS`` literal
+   tokens.
+
+Defined cases: null or empty texts and items leak nothing; items without a token
+are matched by nothing; rows with a null id are ignored; repeated rows count once;
+rows that share an id are judged each for itself; other columns are ignored; texts
+of any length are read whole; an empty table on either side gives an empty result.
 """
 from __future__ import annotations
 
@@ -26,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cellgrove.llm.common import picked, stored
 
-WIDTH, COVER, LITERALS = 8, 0.5, 6
+WIDTH, COVER, LITERALS, DRIFT = 8, 0.5, 6, 16
 BROADCAST_WINDOWS = 1_000_000
 #: Units that count as such after a number (fixed values).
 UNITS = (
@@ -37,55 +45,73 @@ UNITS = (
 
 
 def tokens(text):
-    """Template tokens of a text column; #n.., #a.. and #u.. are placeholders with their values."""
+    """Template tokens of a text column; #a.. (names), #n.. (numbers) and #q.. (with a unit) are placeholders with their values."""
     t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{L}\p{N},;:] .)\p{Ll}+(?!\p{L})", " #a$0 ")
-    number = F.regexp_replace(F.regexp_replace(t, r"(?<=[0-9])[.,](?=[0-9])", "_"), r"[0-9][0-9_]*", " #n$0 ")
-    number = F.regexp_replace(number, r"(#n[0-9_]+ +)(" + "|".join(UNITS) + r")(?!\p{L})", "$1#u$2")
-    t = F.lower(F.when(F.rlike(t, F.lit("[0-9]")), number).otherwise(t))
+    t = F.regexp_replace(t, r"\p{Lu}(?<!\p{L}\p{Lu})\p{Ll}+(?!\p{L})", " #a$0~ ")
+    number = F.regexp_replace(F.regexp_replace(t, r"(?<=[0-9])[.,](?=[0-9])", "_"), r"[0-9][0-9_]*", " #n$0~ ")
+    number = F.regexp_replace(number, r"#n([0-9_]+)~ +(" + "|".join(UNITS) + r")(?!\p{L})", "#q$1_$2~")
+    t = F.when(F.rlike(t, F.lit("[0-9]")), number).otherwise(t)
+    # one placeholder's end, no token between, the next one's start
+    t = F.lower(F.regexp_replace(t, r"~[^\p{L}#0-9_~]*#[anq]", "_"))
     return F.filter(F.split(t, r"[^\p{L}#0-9_]+"), lambda x: x != "")
 
 
+def plain_words(text):
+    """Lower-case words and numbers, without placeholders."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}0-9]+"), lambda x: x != "")
+
+
 def kinds(name: str):
     """The tokens with placeholders reduced to their type."""
     return F.transform(name, lambda x: F.when(F.startswith(x, F.lit("#")), F.substring(x, 1, 2)).otherwise(x))
 
 
-def windows(df: DataFrame, name: str, text: str, width: int) -> DataFrame:
-    """(name, at, h): hash of each window of template tokens."""
-    t = df.where(F.col(name).isNotNull()).select(F.col(name), tokens(F.col(text)).alias("_t")).where(F.size("_t") >= width)
-    t = t.select(name, kinds("_t").alias("_k"))
+def windows(df: DataFrame, keys: list[str], words, width: int, typed: bool) -> DataFrame:
+    """(keys, width, typed, at, h): hash of each window of ``words``, placeholders by type."""
+    t = df.select(*keys, words.alias("_t")).where(F.size("_t") >= width)
+    t = t.select(*keys, (kinds("_t") if typed else F.col("_t")).alias("_k"))
     starts = F.sequence(F.lit(1), F.size("_k") - width + 1)
-    return t.select(name, F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("_k", i, width)))).alias("at", "h"))
+    return t.select(*keys, F.lit(width).alias("width"), F.lit(typed).alias("typed"), F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("_k", i, width)))).alias("at", "h"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, verbatim), one row per leaked item of a document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates()
-    known = stored(windows(items, "item_id", "text", width).withColumnRenamed("at", "q"), "item-windows")
-    n_known = known.count()
-    sizes = known.groupBy("item_id").agg(F.countDistinct("q").alias("n_item"))
-    probe = windows(docs, "doc_id", "text", width)
-    side = F.broadcast(known) if n_known <= BROADCAST_WINDOWS else known
-    hits = probe.join(side, "h").groupBy("doc_id", "item_id", (F.col("at") - F.col("q")).alias("shift")).agg(
-        F.countDistinct("q").alias("n_windows"), F.min("q").alias("lo"), F.max("q").alias("hi"))
-    hits = hits.join(sizes, "item_id").where(F.col("n_windows") >= cover * F.col("n_item"))
-    hits = stored(hits, "hits")
-    item_tokens = items.select("item_id", tokens(F.col("text")).alias("ti"))
-    doc_tokens = picked(docs, stored(hits.select("doc_id").distinct(), "hit-documents")).select("doc_id", tokens(F.col("text")).alias("td"))
-    both = hits.join(item_tokens, "item_id").join(doc_tokens, "doc_id")
-    span = F.transform(F.sequence("lo", F.col("hi") + width - 1), lambda i: F.struct(F.get("ti", i).alias("i"), F.get("td", i + F.col("shift")).alias("d")))
-    both = both.select("doc_id", "item_id", "n_windows", span.alias("span"))
-    # the two sides must be the same template over the whole covered part
-    mask = lambda x: F.when(F.startswith(x, F.lit("#")), F.substring(x, 1, 2)).otherwise(x)
-    same = F.filter("span", lambda p: mask(p["i"]).eqNullSafe(mask(p["d"])))
-    both = both.select("doc_id", "item_id", "n_windows", same.alias("same"))
-    slots = F.array_distinct(F.filter("same", lambda p: F.startswith(p["i"], F.lit("#"))))
-    both = both.select("doc_id", "item_id", "n_windows", slots.alias("slots"), F.size(F.filter("same", lambda p: ~F.startswith(p["i"], F.lit("#")))).alias("literals"))
+    of_doc, of_item = ["doc_id", "doc_text"], ["item_id", "item_text"]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_text"), text.alias("text")).where("doc_id IS NOT NULL")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(text).alias("item_text"), text.alias("text")).where("item_id IS NOT NULL").dropDuplicates(of_item)
+    items = stored(items.select(*of_item, tokens(F.col("text")).alias("ti"), plain_words(F.col("text")).alias("pi")).where(F.size("pi") > 0), "items")
+    long, short = items.where(F.size("ti") >= width), items.where(F.size("ti") < width)
+    known, probe = windows(long, of_item, F.col("ti"), width, True), windows(docs, of_doc, tokens(F.col("text")), width, True)
+    lengths = F.least(F.size("pi"), F.lit(width))
+    for n in sorted(r[0] for r in short.select(lengths).distinct().collect()):  # ``width`` numbers at most
+        known = known.unionByName(windows(short.where(lengths == n), of_item, F.col("pi"), n, False))
+        probe = probe.unionByName(windows(docs, of_doc, plain_words(F.col("text")), n, False))
+    known = stored(known.withColumnRenamed("at", "q"), "item-windows")
+    sizes = known.groupBy(*of_item).agg(F.count("*").alias("n_item"))
+    side = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
+    hits = probe.join(side, ["width", "typed", "h"]).select(*of_doc, *of_item, "width", "typed", "q", (F.col("at") - F.col("q")).alias("shift"))
+    band = lambda tag, by: F.struct(F.lit(tag).alias("tag"), by.cast("long").alias("no"))
+    shift = F.col("shift")
+    hits = hits.withColumn("group", F.explode(F.array(band(0, shift), band(1, F.floor(shift / DRIFT)), band(2, F.floor((shift + DRIFT // 2) / DRIFT)))))
+    # a window that was hit at several offsets of a band counts at the least
+    hits = hits.groupBy(*of_doc, *of_item, "width", "typed", "group", "q").agg(F.min("shift").alias("shift"))
+    hits = hits.groupBy(*of_doc, *of_item, "width", "typed", "group").agg(F.collect_list(F.struct("q", "shift")).alias("hits"))
+    hits = hits.join(sizes, of_item).where(F.size("hits") >= cover * F.col("n_item"))
+    hits = stored(hits.select(*of_doc, *of_item, "width", "typed", "hits").distinct(), "hits")
+    doc_tokens = picked(docs, stored(hits.select(*of_doc).distinct(), "hit-documents")).dropDuplicates(of_doc).select(*of_doc, tokens(F.col("text")).alias("td"))
+    both = hits.join(items.select(*of_item, "ti"), of_item).join(doc_tokens, of_doc)
+    steps = F.sequence(F.lit(0), F.col("width") - 1)
+    pairs = F.flatten(F.transform("hits", lambda x: F.transform(steps, lambda j: F.struct((x["q"] + j).alias("at"), F.get("ti", x["q"] + j).alias("i"), F.get("td", x["q"] + x["shift"].cast("int") + j).alias("d")))))
+    pairs = F.when(F.col("typed"), pairs).otherwise(F.array().cast("array<struct<at:int,i:string,d:string>>"))
+    both = both.select("doc_id", "item_id", F.size("hits").cast("long").alias("n_windows"), pairs.alias("pairs"))
+    slot = lambda p: F.startswith(p["i"], F.lit("#"))
+    slots = F.array_distinct(F.transform(F.filter("pairs", slot), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))))
+    literals = F.size(F.array_distinct(F.transform(F.filter("pairs", lambda p: ~slot(p)), lambda p: p["at"])))
+    both = both.select("doc_id", "item_id", "n_windows", slots.alias("slots"), literals.alias("literals"))
+    both = both.withColumn("verbatim", F.forall("slots", lambda p: p["i"] == p["d"]))
     one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: p[side])))
-    good = both.where((one("i") == F.size("slots")) & (one("d") == F.size("slots")) & (F.col("literals") >= LITERALS))
-    good = good.withColumn("verbatim", F.forall("slots", lambda p: p["i"] == p["d"]))
+    good = both.where((one("i") == F.size("slots")) & (one("d") == F.size("slots")) & ((F.col("literals") >= LITERALS) | F.col("verbatim")))
     return good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max(F.size("slots").cast("long")).alias("n_slots"), F.max("verbatim").alias("verbatim"))
 
 

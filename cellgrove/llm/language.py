@@ -1,8 +1,10 @@
 """Language identification of web pages by Bayesian evidence fusion.
 
 1. Text likelihoods: a naive Bayes model over hashed character trigrams, counted
-   over all labelled documents in tasks and summed by (language, bin).  The model
-   has at most ``LANGUAGES`` x ``BINS`` numbers, so tasks may hold it whole.
+   over all labelled documents in tasks and summed by (language, bin).  Every
+   labelled language is kept; the model has ``BINS`` numbers for each (64 KB), however
+   much text there is, and tasks hold it.  More than ``MODEL_BYTES`` of it, some
+   16,000 languages, raises an error: nothing is left out in silence.
 2. Each page gives its visible text, the markup language that it declares, its
    host and its address suffix.
 3. Text posteriors are summed over the corpus, by suffix and by host (grouped
@@ -15,7 +17,8 @@ Defined cases: null or empty pages, or pages without text, keep the prior and
 the declaration; a null or bad address has the host ''; declared codes that are
 no known language count as 'other'; ties go to the language first in the
 alphabet; rows with a null id give a row; other columns are ignored; without
-labelled documents the language is null; an empty table gives an empty result.
+labelled documents the language is null; a page of any length is read whole, but
+its text weighs at most as ``MOST`` says; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from cellgrove.llm.common import plain, slices, stored
 
-LANGUAGES, BINS = 64, 1 << 14
+BINS, MODEL_BYTES = 1 << 14, 1 << 30
 #: Weight of one trigram's evidence (neighbours are not independent), and the most that text may weigh in all.
 TEMPER, MOST = 0.2, 200.0
 SUFFIX_WEIGHT, HOST_WEIGHT = 20.0, 10.0
@@ -67,12 +70,17 @@ def likelihoods(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     rows = labelled.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(count, "lang string, bin long, n long")
     counts = stored(rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")), "trigrams")
-    top = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in top)
-    table = np.full((len(langs), BINS), 0.5)
-    for r in counts.join(F.broadcast(labelled.sparkSession.createDataFrame([(x,) for x in langs] or [("",)], "lang string")), "lang").collect():
-        table[langs.index(r["lang"]), r["bin"]] += r["n"]
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)) if langs else table
+    known = counts.select("lang").distinct()
+    n = known.count()
+    if 4 * BINS * n > MODEL_BYTES:
+        raise ValueError(f"{n} labelled languages: their model of {4 * BINS * n} bytes is more than tasks may hold ({MODEL_BYTES})")
+    langs = sorted(r["lang"] for r in known.collect())
+    number = {x: i for i, x in enumerate(langs)}
+    table = np.full((len(langs), BINS), 0.5, np.float32)
+    rows = counts.groupBy("lang").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("n"))
+    for r in rows.toLocalIterator():  # one row of at most BINS numbers for each language
+        table[number[r["lang"]], r["bins"]] += np.array(r["n"], np.float64)
+    return langs, np.log(table / table.sum(axis=1, keepdims=True, dtype=np.float64)).astype(np.float32) if langs else table
 
 
 def features(pages: DataFrame, langs: list[str], table: np.ndarray, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -92,7 +100,7 @@ def features(pages: DataFrame, langs: list[str], table: np.ndarray, id_col: str,
             for at, m in slices(texts):
                 doc, h = trigrams(texts.slice(at, m))
                 n = np.bincount(doc, minlength=m)
-                total = np.stack([np.bincount(doc, weights=row[h], minlength=m) for row in table], axis=1) * TEMPER
+                total = np.stack([np.bincount(doc, weights=row[h].astype(np.float64), minlength=m) for row in table], axis=1) * TEMPER
                 # beyond MOST trigrams' worth of evidence, more text adds no more
                 total *= (np.minimum(n, MOST / TEMPER) / np.maximum(n, 1))[:, None]
                 total -= total.max(axis=1, keepdims=True)

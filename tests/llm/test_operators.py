@@ -303,17 +303,155 @@ def test_pii_bootstraps_from_context(spark):
     assert out[100]["spans"] == "phone:15:27" and out[100]["n_phone"] == 0 and out[101]["spans"] == ""
 
 
+def plain_added(texts):
+    """The discovered spans by plain loops."""
+    base_of = {i: [(list(PII).index(b.split(":")[0]), *map(int, b.split(":")[1:])) for b in brute_spans(t)] for i, t in enumerate(texts)}
+    def contexts(t, kind_spans, s, e):
+        left = t[max([0] + [y for _, y in kind_spans if y <= s]):s]
+        right = t[e:min([len(t)] + [x for x, _ in kind_spans if x >= e])]
+        p = re.search(r"(?<!\S)(\S++\s++\S++)\s*+\Z", left, re.A)
+        q = re.search(r"\A\S*+\s++(\S++\s++\S++)", right, re.A)
+        return (["< " + p[1].lower()] if p else []) + (["> " + q[1].lower()] if q else [])
+    links, seeds, free = set(), set(), []
+    for i, t in enumerate(texts):
+        for k, kind in enumerate(PII):
+            own = [m.span() for m in re.finditer(PII[kind], t or "")]
+            for kk, s, e in base_of[i]:
+                if kk == k:
+                    seeds.add((t[s:e], k))
+                    links |= {(p, t[s:e]) for p in contexts(t, own, s, e)}
+        own = [m.span() for m in re.finditer(pii.INSTANCE, t or "", re.A)]
+        for s, e in own:
+            if not any(x < e and s < y for _, x, y in base_of[i]):
+                m = t[s:e]
+                while m and not (m[-1].isalnum() or m[-1] == ")"):
+                    m = m[:-1]
+                links |= {(p, m) for p in contexts(t, own, s, e)}
+                free.append((i, s, m))
+    scores = {x: 1.0 for x in seeds}
+    for _ in range(pii.ROUNDS):
+        sure = {}
+        for p in {p for p, _ in links}:
+            mine = {m for q, m in links if q == p}
+            for k in range(4):
+                own = [scores[m, k] for m in mine if (m, k) in scores]
+                if len(own) >= pii.SUPPORT and sum(own) / (len(mine) + pii.DOUBT) >= pii.LEAST:
+                    sure[p, k] = sum(own) / (len(mine) + pii.DOUBT)
+        fresh = {}
+        for p, m in links:
+            for k in range(4):
+                if (p, k) in sure and (m, k) not in seeds:
+                    fresh[m, k] = fresh.get((m, k), 1.0) * (1 - min(sure[p, k], 0.999))
+        scores = {x: 1.0 for x in seeds} | {x: 1 - v for x, v in fresh.items() if 1 - v >= pii.SURE}
+    out = {i: set(base) for i, base in base_of.items()}
+    for i, s, m in free:
+        out[i] |= {(k, s, s + len(m)) for k, kind in enumerate(pii.KINDS) if (m, k) in scores and (m, k) not in seeds and re.search(pii.SHAPE[kind], m, re.A)}
+    return {i: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in sorted(x)) for i, x in out.items()}
+
+
+def test_pii_equals_plain_loops(spark):
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choice(("red", "blue", "green", "old")) for _ in range(n))
+    phone = lambda: f"+1 (555) 555-{r.randrange(1000, 9999)}"
+    texts = [f"{say(r.randrange(3))} please call me {phone()} or write soon {say(2)}" for _ in range(60)] + [f"then dial {phone()} {say(1)}" for _ in range(10)]
+    texts += [f"please call me 555 {r.randrange(100, 999)} {r.randrange(1000, 9999)} any time now {say(1)}" for _ in range(12)]  # groups of digits
+    texts += [f"then dial 444-{r.randrange(100, 999)}-{r.randrange(1000, 9999)} any time now" for _ in range(3)]  # found through what was found before
+    texts += [f"my mail is ann{i}@site{i}.org thank you all" for i in range(10)] + ["my mail is bob(at)site.org thank you all", "my mail is " + "x" * 300 + "[at]host thank you all", "order no 12345 of a1b2c3d4 " + say(3), "", None]
+    got = {x["doc_id"]: x["spans"] for x in pii.report(spark.createDataFrame(list(enumerate(texts)), DOCS).withColumns({c: F.lit(1) for c in ("base", "more", "k", "m", "p", "q", "t", "at", "row", "email", "spans")})).collect()}
+    expected = plain_added(texts)
+    assert got == expected
+    assert all("phone" in got[i] for i in range(85)) and "email:11:26" in got[95] and got[96].startswith("email:11:")
+
+
+def test_pii_in_a_long_text_of_many_matches(spark):
+    import time
+
+    text = " ".join(f"a{i}@b{i % 50}.org 10.0.{i % 256}.{i % 200} x" for i in range(8000))
+    began = time.time()
+    got = pii.report(spark.createDataFrame([(1, text)], DOCS)).first()
+    assert (got["n_email"], got["n_ip"]) == (8000, 8000) and got["base_sha256"] == hashlib.sha256(",".join(brute_spans(text)).encode()).hexdigest()
+    assert time.time() - began < 90
+
+
 def test_decontamination(spark):
-    items = spark.createDataFrame([(1, "If a train runs 120 km in 3 hours how far does the same train run in 7 hours today"), (2, "short one"), (3, None), (4, "")], "item_id long, text string")
+    items = spark.createDataFrame([(1, "If a train runs 120 km in 3 hours how far does the same train run in 7 hours today"), (2, "short one"), (3, None), (4, ""), (5, "What is 12 times 7?")], "item_id long, text string")
     item = items.first()["text"]
-    docs = frame(spark, [(1, "noise before. " + item + " and after"), (2, item.replace("120", "90").replace("3 hours", "2 hours")), (3, words(1, 50)), (4, None), (5, ""), (6, item.replace("a train", "a slow old boat").replace("the same train", "no other")), (None, item), (7, item), (7, item)])
-    got = {r["doc_id"]: r for r in decontaminate.leaks(docs, items).collect()}
-    assert set(got) == {1, 2, 7} and got[1]["verbatim"] and not got[2]["verbatim"]
+    docs = frame(spark, [
+        (1, "noise before. " + item + " and after"), (2, item.replace("120", "90").replace("3 hours", "2 hours")), (3, words(1, 50)), (4, None), (5, ""),
+        (6, item.replace("a train", "a slow old boat").replace("the same train", "no other")), (None, item), (7, item), (7, item), (7, "another text"), (8, "a Short One"), (9, "so what is 12 times 7 then"), (10, "what is 13 times 7"),
+        (11, " ".join(str(i) for i in range(3000))), (12, item.replace("120", "1 000")), (13, ("word " * 30000) + item)])
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (7, 1), (8, 2), (9, 5), (12, 1), (13, 1)}
+    assert got[1, 1]["verbatim"] and got[8, 2]["verbatim"] and not got[2, 1]["verbatim"]
     twice = spark.createDataFrame([(1, "from 5 km to 5 km the old road goes up and down again")], "item_id long, text string")
     same = spark.createDataFrame([(1, "from 8 km to 8 km the old road goes up and down again"), (2, "from 8 km to 9 km the old road goes up and down again")], DOCS)
     assert [r["doc_id"] for r in decontaminate.leaks(same, twice).collect()] == [1]
     assert decontaminate.leaks(empty(spark), items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
-    assert {r["doc_id"] for r in decontaminate.decontaminate(docs.select("doc_id", "text"), items).collect()} == {3, 4, 5, 6, None}
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs.select("doc_id", "text"), items.where("item_id = 1")).collect()} == {3, 4, 5, 6, None, 8, 9, 10, 11}
+
+
+def test_decontamination_when_names_and_numbers_grow(spark):
+    # a one-word name by a two-word name in the middle: the windows after it lie one token further
+    item = "every morning a farmer called Mary feeds 12 hens with 3 kg of corn and asks how many days will 45 kg of corn last for all of them"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [(1, item.replace("Mary", "Anna Maria Berg").replace("12", "40")), (2, item.replace("a farmer called Mary", "a farmer called Mary from the hills").replace("3 kg", "9 kg")), (3, item.replace("feeds", "keeps").replace("asks how", "wants to know how"))]
+    got = {r["doc_id"] for r in decontaminate.leaks(spark.createDataFrame(docs, DOCS), items).collect()}
+    assert {1, 2} <= got
+
+
+def plain_tokens(text):
+    t = re.sub(r"(?<![^\W\d_])[A-ZÀ-Þ][a-zß-ÿ]+(?![^\W\d_])", r" #a\g<0>~ ", text or "")
+    if re.search("[0-9]", t):
+        t = re.sub("[0-9][0-9_]*", r" #n\g<0>~ ", re.sub("(?<=[0-9])[.,](?=[0-9])", "_", t))
+        t = re.sub(r"#n([0-9_]+)~ +(" + "|".join(decontaminate.UNITS) + r")(?![^\W\d_])", r"#q\1_\2~", t)
+    t = re.sub(r"~[^\w#~]*#[anq]", "_", t).lower()
+    return [x for x in re.split(r"[^\w#]+", t) if x]
+
+
+def plain_leaks(docs, items):
+    width, out = decontaminate.WIDTH, set()
+    kind = lambda x: x[:2] if x[0] == "#" else x
+    for i, item in items:
+        ti = plain_tokens(item)
+        typed = len(ti) >= width
+        cut = plain_tokens if typed else lambda x: re.findall(r"[^\W_]+", x.lower())
+        show, ti = kind if typed else str, cut(item)
+        w = min(width, len(ti))
+        for d, doc in docs:
+            td = cut(doc)
+            hits = {(q, a - q) for q in range(len(ti) - w + 1) for a in range(len(td) - w + 1) if w and list(map(show, ti[q:q + w])) == list(map(show, td[a:a + w]))}
+            groups = {}
+            for q, shift in hits:
+                for key in (("s", shift), ("a", shift // 16), ("b", (shift + 8) // 16)):
+                    groups.setdefault(key, {}).setdefault(q, []).append(shift)
+            for own in groups.values():
+                if len(own) < decontaminate.COVER * (len(ti) - w + 1):
+                    continue
+                pairs = {(ti[q + j] if typed else "", td[q + j + min(own[q])]) for q in own for j in range(w)}
+                slots = {p for p in pairs if p[0][:1] == "#"}
+                literals = {q + j for q in own for j in range(w) if ti[q + j][0] != "#"}
+                if len({a for a, _ in slots}) == len(slots) == len({b for _, b in slots}) and (len(literals) >= decontaminate.LITERALS or all(a == b for a, b in slots)):
+                    out.add((d, i))
+    return out
+
+
+def test_decontamination_equals_plain_loops(spark):
+    r = random.Random(11)
+    def text(n):
+        pick = lambda: r.choice(("the", "man", "buys", "red", "apples", "in", "and", "sells", str(r.randrange(5)), "Tom", "Ann Lee", "3 kg", "with", "on", "a", "day"))
+        return " ".join(pick() for _ in range(n))
+    items = [(i, text(r.choice((1, 2, 5, 9, 14, 25)))) for i in range(25)]
+    docs = []
+    for d in range(60):
+        own = r.choice(items)[1]
+        if r.random() < 0.5:
+            own = own.replace("Tom", "Joe Ray").replace("1", "77")
+        if r.random() < 0.3:
+            own = own.replace("buys", "buys some")
+        docs.append((d, text(r.randrange(12)) + " " + own + " " + text(r.randrange(12))))
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = plain_leaks(docs, items)
+    assert got == expected and len(got) > 30
 
 
 def test_quality(spark):
@@ -445,6 +583,64 @@ def test_language(spark):
     assert {r["lang"] for r in language.identify(pages, labelled.limit(0)).collect()} == {None}
 
 
+def plain_language(pages, docs):
+    """The same fusion written out: one page after the other, in plain Python."""
+    def grams(text):
+        d = re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())
+        mul = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+        return [sum(c * k for c, k in zip(d[i:i + 3], mul)) % 2 ** 32 >> 18 for i in range(len(d) - 2) if d[i + 1] > 32]
+    langs = sorted({x for _, x in docs})
+    logs = []
+    for lang in langs:
+        c = np.full(language.BINS, 0.5)
+        for t, x in docs:
+            if x == lang:
+                np.add.at(c, grams(t), 1)
+        logs.append(np.log(c / c.sum()))
+    rows = []
+    for i, url, html in pages:
+        m = re.match(r"\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+        host = m[1].lower() if m else ""
+        code = re.search(r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]+)", html or "")
+        code = code[1].lower() if code else "none"
+        text = re.sub(r"&[A-Za-z0-9#]{1,10};", " ", re.sub(r"(?is)<(script|style|nav)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", html or ""))
+        g = grams(text)
+        x = np.array([row[g].sum() for row in logs]) * language.TEMPER * min(len(g), language.MOST / language.TEMPER) / max(len(g), 1)
+        x -= x.max()
+        rows.append((i, host, host.rsplit(".", 1)[-1], code if code in langs or code == "none" else "other", x, np.exp(x) / np.exp(x).sum()))
+    total = sum(r[5] for r in rows)
+    prior = (total + 1) / (total.sum() + len(langs))
+    def smoothed(own, above, weight):
+        return (own + weight * above) / (own.sum() + weight)
+    out = {}
+    for i, host, suffix, code, x, share in rows:
+        by_suffix = smoothed(sum(r[5] for r in rows if r[2] == suffix), prior, language.SUFFIX_WEIGHT)
+        by_host = smoothed(np.maximum(sum(r[5] for r in rows if r[1] == host) - share, 0), by_suffix, language.HOST_WEIGHT)
+        says = sum(r[5] for r in rows if r[3] == code) + np.where(np.array(langs) == code, language.HONEST, language.OTHERWISE)
+        says = np.log(says / (total + language.HONEST + language.OTHERWISE * (len(langs) + 1)))
+        score = x + says + np.log(by_host)
+        p = np.exp(score - score.max())
+        out[i] = (langs[int(score.argmax())], float(p.max() / p.sum()))
+    return out
+
+
+def test_language_equals_a_plain_fusion(spark):
+    # 70 languages, hosts with few and many pages, one very long page
+    r = random.Random(2)
+    names = [f"{a}{b}" for a in "abcdefg" for b in "klmnopqrst"]
+    vocab = {x: ["".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(12)] for x in names}
+    say = lambda x, n: " ".join(r.choice(vocab[x]) for _ in range(n))
+    docs = [(say(x, 40), x) for x in names for _ in range(2)]
+    pages = [(i, f"http://h{r.randrange(8)}.{r.choice(('aa', 'bb'))}/{i}", f'<html lang="{r.choice(names + ["zz"])}"><b>{say(r.choice(names), r.choice((0, 3, 30)))}</b> &amp; x') for i in range(120)]
+    pages += [(120, None, None), (121, "http://h1.aa/", "<p>" + say("ak", 40000)), (122, "http://h1.aa/", "<p>")]
+    got = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "text string, lang string")).collect()
+    expected = plain_language(pages, docs)
+    assert len(got) == len(pages) and len({x["lang"] for x in got}) > 20
+    for x in got:
+        lang, p = expected[x["page_id"]]
+        assert x["probability"] == pytest.approx(p, rel=2e-3, abs=1e-6) and (x["lang"] == lang or p < 0.6)
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200")
     held = docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("page_id"), F.lit("http://x.org/").alias("url"), F.col("text").alias("html"), F.col("lang").alias("true"))
