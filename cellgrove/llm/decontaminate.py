@@ -29,6 +29,8 @@ of any length are read whole; an empty table on either side gives an empty resul
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +78,12 @@ def windows(df: DataFrame, keys: list[str], words, width: int, typed: bool) -> D
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, verbatim), one row per leaked item of a document."""
+    found = leaks_of_texts(docs, items, width, cover)
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.max("verbatim").alias("verbatim"))
+
+
+def leaks_of_texts(docs: DataFrame, items: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:
+    """(doc_id, doc_text, item_id, n_windows, n_slots, verbatim), with a row for each candidate group; doc_text: hash of the text."""
     of_doc, of_item = ["doc_id", "doc_text"], ["item_id", "item_text"]
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_text"), text.alias("text")).where("doc_id IS NOT NULL")
@@ -104,17 +112,20 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, cover: float =
     steps = F.sequence(F.lit(0), F.col("width") - 1)
     pairs = F.flatten(F.transform("hits", lambda x: F.transform(steps, lambda j: F.struct((x["q"] + j).alias("at"), F.get("ti", x["q"] + j).alias("i"), F.get("td", x["q"] + x["shift"].cast("int") + j).alias("d")))))
     pairs = F.when(F.col("typed"), pairs).otherwise(F.array().cast("array<struct<at:int,i:string,d:string>>"))
-    both = both.select("doc_id", "item_id", F.size("hits").cast("long").alias("n_windows"), pairs.alias("pairs"))
+    both = both.select(*of_doc, "item_id", F.size("hits").cast("long").alias("n_windows"), pairs.alias("pairs"))
     slot = lambda p: F.startswith(p["i"], F.lit("#"))
     slots = F.array_distinct(F.transform(F.filter("pairs", slot), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))))
     literals = F.size(F.array_distinct(F.transform(F.filter("pairs", lambda p: ~slot(p)), lambda p: p["at"])))
-    both = both.select("doc_id", "item_id", "n_windows", slots.alias("slots"), literals.alias("literals"))
+    both = both.select(*of_doc, "item_id", "n_windows", slots.alias("slots"), literals.alias("literals"))
     both = both.withColumn("verbatim", F.forall("slots", lambda p: p["i"] == p["d"]))
     one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: p[side])))
     good = both.where((one("i") == F.size("slots")) & (one("d") == F.size("slots")) & ((F.col("literals") >= LITERALS) | F.col("verbatim")))
-    return good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max(F.size("slots").cast("long")).alias("n_slots"), F.max("verbatim").alias("verbatim"))
+    return good.select(*of_doc, "item_id", "n_windows", F.size("slots").cast("long").alias("n_slots"), "verbatim")
 
 
 def decontaminate(df: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``df`` (doc_id, text, ...) that leak no item."""
-    return picked(df, stored(leaks(df, items).select("doc_id").distinct(), "leaked"), "left_anti")
+    """The rows of ``df`` (doc_id, text, ...) that leak no item; of rows that share an id each is judged by its text."""
+    of, id_ = (f"_{name}_{uuid.uuid4().hex}" for name in ("text", "id"))
+    gone = stored(leaks_of_texts(df, items).select(F.col("doc_id").alias(id_), F.col("doc_text").alias(of)).distinct(), "leaked")
+    rows = df.withColumns({id_: F.col("doc_id").cast("long"), of: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    return picked(rows, gone, "left_anti").drop(of, id_)

@@ -390,6 +390,14 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs.select("doc_id", "text"), items.where("item_id = 1")).collect()} == {3, 4, 5, 6, None, 8, 9, 10, 11}
 
 
+def test_decontamination_of_rows_that_share_an_id(spark):
+    item = "every morning the old farmer feeds 12 hens with corn and asks how long it will last"
+    items = spark.createDataFrame([(1, item), (1, "the red boat sails to 7 far islands in a day and comes back at night")], "item_id long, text string")
+    docs = [(5, item), (5, "nothing of that kind"), (6, item[:40]), (None, item), (None, None)]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, DOCS), items).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame([docs[1], docs[2], docs[3], docs[4]], DOCS).collect())
+
+
 def test_decontamination_when_names_and_numbers_grow(spark):
     # a one-word name by a two-word name in the middle: the windows after it lie one token further
     item = "every morning a farmer called Mary feeds 12 hens with 3 kg of corn and asks how many days will 45 kg of corn last for all of them"
@@ -478,7 +486,7 @@ def test_quality_rejects_marked_documents(spark):
 def test_quality_equals_a_plain_model(spark):
     """Perplexities of the joins against the formulas written out."""
     texts = [(i, words(i, 30, 12)) for i in range(12)]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string").withColumn("row", F.col("doc_id"))
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string").withColumns({"row": F.col("doc_id"), "key": F.col("doc_id")})
     labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int")
     old = quality.HEAD
     try:
