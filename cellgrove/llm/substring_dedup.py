@@ -42,6 +42,8 @@ from cellgrove.llm.common import Words, picked, plain, signed, slices, stored
 
 WIDTH, KMER = 13, 5
 KEY = ["doc_id", "tid"]
+#: Rows that a task unpacks at a time.
+ROWS = 256
 RANGES = "array<struct<start:bigint,stop:bigint>>"
 
 
@@ -208,12 +210,16 @@ def source_digests(asked: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """
     def run(batches):
         for b in batches:
-            rows = []
-            for source, text, asks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                words = words_of(text.as_py())
-                rows += [(source, a["place"], a["length"], *digest(words[a["place"]:a["place"] + a["length"] + width - 1])) for a in asks]
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["source", "place", "length", "da", "db"])
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                (place, length), bounds = fields(part.column(2), "place", "length")
+                proofs = []
+                for text, lo, hi in zip(part.column(1), bounds, bounds[1:]):
+                    words = words_of(text.as_py())
+                    proofs += [digest(words[p:p + n + width - 1]) for p, n in zip(place[lo:hi].tolist(), length[lo:hi].tolist())]
+                da, db = zip(*proofs) if proofs else ((), ())
+                source = np.repeat(np.asarray(part.column(0)), np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([pa.array(source, pa.int64()), pa.array(place, pa.int32()), pa.array(length, pa.int32()), pa.array(da, pa.int64()), pa.array(db, pa.int64())], ["source", "place", "length", "da", "db"])
 
     lists = stored(asked.groupBy(F.col("source").alias("doc_id")).agg(F.collect_set(F.struct("place", "length")).alias("asks")), "asked")
     at = picked(docs.select("doc_id", "text"), lists.select("doc_id")).join(lists.hint("merge"), "doc_id").select("doc_id", "text", "asks")
@@ -234,39 +240,46 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = KMER) -> tuple[DataFra
     return stored(spans, "spans"), runs
 
 
-def proved(words: list[bytes], spans: list[dict], width: int) -> tuple[list[int], list[int]]:
-    """Windows whose words are those at the source, and windows of spans that no proof fits."""
-    good, bad = set(), set()
-    for s in spans:
-        at, n = s["start"], s["length"]
-        (good if digest(words[at:at + n + width - 1]) == (s["da"], s["db"]) else bad).update(range(at, at + n))
-    return sorted(good), sorted(bad - good)
+def fields(lists: pa.Array, *names: str) -> tuple[list[np.ndarray], list[int]]:
+    """Fields of a column of struct lists as flat arrays, and where each row's part begins and ends."""
+    flat = lists.flatten()
+    bounds = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]).tolist()
+    return [np.asarray(flat.field(n)) for n in names], bounds
+
+
+def proved(words: list[bytes], spans: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows whose words are those at the source, and windows of spans that no proof fits; spans: start, length, da, db."""
+    good, bad = np.zeros(len(words) + 1, bool), np.zeros(len(words) + 1, bool)
+    for at, n, da, db in zip(*(x.tolist() for x in spans)):
+        (good if digest(words[at:at + n + width - 1]) == (da, db) else bad)[at:at + n] = True
+    return np.flatnonzero(good), np.flatnonzero(bad & ~good)
 
 
 def cut(docs: DataFrame, spans: DataFrame, width: int, hashed: bool) -> DataFrame:
     """(doc_id, tid, gone, ranges, kept, odd): verified spans cut from each text; odd: edge hashes of windows that failed."""
+    def one(text, spans):
+        words = words_of(text)
+        at, bad = proved(words, spans, width)
+        change = np.zeros(len(words) + 1, np.int64)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + width, -1)
+        gone = np.cumsum(change)[:len(words)] > 0
+        left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
+        hashes = signed(edge_hashes(Words(pa.array([text], pa.string())), width)) if len(bad) else []
+        return (int(gone.sum()), [{"start": int(s), "stop": int(e)} for s, e in edges], hashlib.sha256(left).hexdigest() if hashed else left.decode(),
+                [int(hashes[x]) for x in bad if x < len(hashes)])
+
+    kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string(), pa.list_(pa.int64()))
+
     def run(batches):
         with np.errstate(over="ignore"):
             for b in batches:
-                out: list = [[] for _ in range(4)]
-                for text, own in zip(b.column(2), b.column(3).to_pylist()):
-                    text = text.as_py()
-                    words = words_of(text)
-                    good, bad = proved(words, own, width)
-                    at = np.array(good, np.int64)
-                    change = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + width, -1)
-                    gone = np.cumsum(change)[:len(words)] > 0
-                    left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
-                    hashes = signed(edge_hashes(Words(pa.array([text], pa.string())), width)) if bad else []
-                    row = (int(gone.sum()), [{"start": int(s), "stop": int(e)} for s, e in edges], hashlib.sha256(left).hexdigest() if hashed else left.decode(),
-                           [int(hashes[x]) for x in bad if x < len(hashes)])
-                    for column, value in zip(out, row):
-                        column.append(value)
-                kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, out, kinds)], [*KEY, "gone", "ranges", "kept", "odd"])
+                for start in range(0, b.num_rows, ROWS):
+                    part = b.slice(start, ROWS)
+                    found, bounds = fields(part.column(3), "start", "length", "da", "db")
+                    rows = [one(text.as_py(), [x[lo:hi] for x in found]) for text, lo, hi in zip(part.column(2), bounds, bounds[1:])]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, zip(*rows), kinds)], [*KEY, "gone", "ranges", "kept", "odd"])
 
     joined = picked(docs, spans.select(*KEY)).join(spans.hint("merge"), KEY).select(*KEY, "text", "spans")
     return joined.mapInArrow(run, f"doc_id long, tid long, gone long, ranges {RANGES}, kept string, odd array<long>").dropDuplicates(KEY)
