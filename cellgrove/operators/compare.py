@@ -66,6 +66,46 @@ def summary(df: DataFrame, keys, value: str = "value") -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), n.alias("n"), (F.stddev_samp(v) / F.sqrt(F.greatest(n, F.lit(1)))).alias("sem"))
 
 
+def interval95(summaries: DataFrame) -> DataFrame:
+    """A summary with the bounds of its mean by the normal approximation (bars elsewhere draw them by resampling)."""
+    half = 1.96 * F.col("sem")
+    return summaries.withColumns({"low": F.col("mean") - half, "high": F.col("mean") + half})
+
+
+def quartiles(df: DataFrame, keys, value: str = "value") -> DataFrame:
+    """(keys, q1, median, q3, low, high): a box, its line, and the last values within 1.5 box heights of it."""
+    v = F.col(value)
+    box = df.groupBy(*keys).agg(*(F.percentile(v, F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = df.join(box, list(keys)).where((v >= F.col("q1") - reach) & (v <= F.col("q3") + reach))
+    return inside.groupBy(*keys, "q1", "median", "q3").agg(F.min(v).alias("low"), F.max(v).alias("high"))
+
+
+def sweep_summary(counts: DataFrame, keys=("replicate", "eps"), value: str = "n_clusters") -> DataFrame:
+    """(keys, mean, sd, n): mean and population deviation over the samples of a replicate at each parameter."""
+    return counts.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.count("*").alias("n"))
+
+
+#: Conditions in the order of their axis (fixed values); others are not shown.
+CONDITIONS = ("CTRL", "BMP4", "WNT5A", "BMP4+WNT5A", "BASAL")
+
+
+def in_order(df: DataFrame, column: str = "condition") -> DataFrame:
+    """Rows of the named conditions, with their ``place`` on the axis from 1."""
+    return df.withColumn("place", F.array_position(F.array(*map(F.lit, CONDITIONS)), F.col(column))).where("place > 0")
+
+
+def at_doses(df: DataFrame, doses) -> DataFrame:
+    return df.where(F.col("dox").isin(list(doses)))
+
+
+def delta_long(deltas: DataFrame, ids) -> DataFrame:
+    """(ids, metric, value, lineage, type): one row per delta; the lineage is the metric's last part, the type is how it was taken."""
+    columns = [c for c in deltas.columns if c.startswith(("abs_", "rel_"))]
+    kind = F.when(F.contains("metric", F.lit("abs")), "absolute").otherwise("relative")
+    return long(deltas, ids, columns).withColumns({"lineage": F.element_at(F.split("metric", "_"), -1), "type": kind})
+
+
 def pairwise_mean_diff(summaries: DataFrame, order: list[str], keys=("metric", "dox")) -> DataFrame:
     """Mean of the earlier experiment less that of the later, for pairs present at the same dose."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("experiment"))

@@ -28,12 +28,12 @@ def pairs(left: DataFrame, radius: float, right: DataFrame | None = None, keys=(
     """``keys``, a_*, b_*, d2 of all pairs within ``radius``; a point is its own neighbour."""
     right = left if right is None else right
     if method == "auto":
-        most = left.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        most = right.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         method = "grid" if most >= GRID_FROM else "sample"
     need = [*keys, *axes, *keep]
     has_place = F.lit(True)
     for c in axes:
-        has_place = has_place & F.col(c).isNotNull() & ~F.isnan(c)
+        has_place = has_place & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     a = left.where(has_place).select(*(F.col(c) if c in keys else F.col(c).alias(f"a_{c}") for c in dict.fromkeys(need)))
     b = right.where(has_place).select(*(F.col(c) if c in keys else F.col(c).alias(f"b_{c}") for c in dict.fromkeys(need)))
     on = list(keys)
@@ -44,16 +44,20 @@ def pairs(left: DataFrame, radius: float, right: DataFrame | None = None, keys=(
         b = b.withColumn("_step", F.explode(steps))
         b = b.withColumns({g: F.floor(F.col(f"b_{c}") / radius) + F.col(f"_step.{g}") for g, c in zip(side, axes)}).drop("_step")
         on += side
+    # dealt by sample (and grid cell) on both sides: a cloud is never broadcast on a guess of its size, and small
+    # clouds are not drawn together into one task, as distances cost more than bytes
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = a.repartition(n, *on), b.repartition(n, *on).hint("merge")
     joined = a.join(b, on).withColumn("d2", squared(axes=axes)).where(F.col("d2") <= radius * radius)
     return joined.drop(*(g for g in on if g not in keys))
 
 
-def neighbour_counts(cells: DataFrame, radii, keys=("organoid_id",), axes: str = "xyz", method: str = "auto") -> DataFrame:
-    """Per cell and radius number i: k_i neighbours with itself, same_i of its type without itself, endo_i, meso_i.
+def neighbour_counts(cells: DataFrame, radii, keys=("organoid_id",), axes: str = "xyz", method: str = "auto", asked: DataFrame | None = None) -> DataFrame:
+    """Per cell (of ``asked``, if given) and radius number i: k_i neighbours with itself, same_i of its type without itself, endo_i, meso_i.
 
     One join at the largest radius serves all radii and is never stored.
     """
-    p = pairs(cells, max(radii), keys=keys, axes=axes, method=method)
+    p = pairs(cells if asked is None else asked, max(radii), right=cells, keys=keys, axes=axes, method=method)
     other = F.col("a_cell_id") != F.col("b_cell_id")
     sums = []
     for i, r in enumerate(radii):

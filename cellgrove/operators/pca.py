@@ -77,6 +77,15 @@ def top_loadings(table: DataFrame, n: int = 3) -> DataFrame:
     return table.withColumn("place", place).where(F.col("place") <= n)
 
 
+def ordered_loadings(table: DataFrame, groups: list[tuple[str, list[str]]]) -> DataFrame:
+    """Loadings with ``place`` on the axis from 1 and the ``group`` it lies in: features of the groups in their order, then the rest by name."""
+    known = [(f, g, i) for i, (f, g) in enumerate(((f, g) for g, names in groups for f in names), 1)]
+    order = table.sparkSession.createDataFrame(known or [("", "", 0)], "feature string, `group` string, fixed int")
+    joined = table.join(F.broadcast(order), "feature", "left")  # one row for each named feature
+    place = F.row_number().over(W.partitionBy("pc").orderBy(F.col("fixed").asc_nulls_last(), "feature"))
+    return joined.select("feature", "pc", "loading", F.coalesce("group", F.lit("other")).alias("group"), place.alias("place"))
+
+
 def reconstruct(scores: DataFrame, space: Space, keep=("organoid_id",)) -> DataFrame:
     """Features back from scores; missing components are zero."""
     have = [i for i in range(len(space.components)) if f"pc{i + 1}" in scores.columns]

@@ -177,6 +177,38 @@ def metrics(p: DataFrame, targets, keys=("fold", "model")) -> DataFrame:
     return m.select(*keys, "pc", "n", F.when((F.col("n") >= 2) & (F.col("v") > 0), 1 - F.col("sse") / F.nullif(F.col("v") * F.col("n"), F.lit(0.0))).alias("r2"), F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), "mae")
 
 
+def fold_means(m: DataFrame, keys=("model", "pc")) -> DataFrame:
+    """(keys, n_folds, r2, rmse, mae): means over folds; a fold without r2 counts in the others only."""
+    return m.groupBy(*keys).agg(F.count("*").alias("n_folds"), *(F.avg(c).alias(c) for c in ("r2", "rmse", "mae")))
+
+
+#: The columns by which copy numbers enter a model, for each encoding.
+ENCODINGS = {"lambda": ["cn_lambda"], "sample_mean": ["cn_mean"], "summary": ["cn_mean", "cn_std", "cn_p10", "cn_p50", "cn_p90"]}
+
+
+def encoded(f: DataFrame, encoding: str) -> tuple[DataFrame, list[str]]:
+    """``f`` of ``cn_draws`` with the columns of an encoding, and their names."""
+    if encoding not in ENCODINGS:
+        raise ValueError(f"unknown encoding {encoding}")
+    return f, ENCODINGS[encoding]
+
+
+def feature_errors(observed: DataFrame, rebuilt: DataFrame, features, keys=("organoid_id",)) -> DataFrame:
+    """(keys, feature, observed, rebuilt, abs_error, sq_error); features that were not observed give no row.
+
+    The observed table joins on the keys, so a rebuilt row without one gives none.
+    """
+    a = observed.unpivot(list(keys), list(features), "feature", "observed").where("observed IS NOT NULL")
+    b = rebuilt.unpivot(list(keys), list(features), "feature", "rebuilt").where("rebuilt IS NOT NULL")
+    e = F.col("rebuilt") - F.col("observed")
+    return b.join(a, [*keys, "feature"]).withColumns({"abs_error": F.abs(e), "sq_error": e * e})
+
+
+def feature_error_summary(errors: DataFrame) -> DataFrame:
+    """(feature, mae, rmse, n)."""
+    return errors.groupBy("feature").agg(F.avg("abs_error").alias("mae"), F.sqrt(F.avg("sq_error")).alias("rmse"), F.count("*").alias("n"))
+
+
 def trajectory(p: DataFrame, targets, keys=("model",)) -> DataFrame:
     """(keys, experiment, n_doses, path_error, endpoint_error, angle): distances of true and predicted dose centroids and the mean angle of their steps."""
     both = [f"{s}_{c}" for s in ("true", "pred") for c in targets]

@@ -64,6 +64,22 @@ def ridge_rows(s, d):
     return predict.predictions(t, predict.lor_folds(t).unionByName(predict.loex_folds(t)), ["dox_log", "cn", *hot], PCS, hide=hot)
 
 
+def sweep(s, d, parameters=tuple((e, X.MIN_SAMPLES) for e in (3.0, 4.0, 5.0, 6.0))):
+    """Clusters of one lineage by sample and parameters."""
+    swept = clusters.dbscan_sweep(X.cells(s, d).where("cell_type = 2"), list(parameters))
+    number = F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))
+    return swept.groupBy("organoid_id", "eps", "min_samples").agg(F.countDistinct(number).alias("n_clusters"))
+
+
+def deltas(s, d):
+    return compare.delta(X.features(s, d), "exp1", "exp3", ["pct_endo"], ["f1", "f3"])
+
+
+def rebuilt_errors(s, d):
+    f, p = space(s, d)
+    return predict.feature_errors(f, pca.reconstruct(pca.project(f, p), p), FS)
+
+
 def steps(s, d):
     return compare.dose_steps(X.scores(s, d), PCS)
 
@@ -152,6 +168,16 @@ def build():
     add("trajectory_metrics", lambda s, d: predict.trajectory(X.predicted(s, d), PCS))
     add("error_summary", lambda s, d: predict.error_summary(X.predicted(s, d), ["experiment", "dox"], "true_pc1", "pred_pc1"))
     add("prune_samples", lambda s, d: sampling.prune(X.features(s, d).withColumn("group", F.concat_ws("_", "experiment", "dox")), "group", "organoid_id", ["pct_endo", "pct_meso"]))
+    add("dose_filter", lambda s, d: compare.at_doses(meta(s, d), [0, 100, 1000]))
+    add("condition_order", lambda s, d: compare.in_order(X.samples(s, d)).groupBy("condition", "place").agg(F.count("*").alias("n")))
+    add("sweep_summary", lambda s, d: compare.sweep_summary(with_meta(s, d, sweep(s, d))))
+    add("dbscan_grid", lambda s, d: sweep(s, d, [(e, m) for e in (4.0, 6.0) for m in (3, 5)]))
+    add("bars_ci95", lambda s, d: compare.interval95(compare.summary(compare.long(X.features(s, d), ["experiment", "dox"], FS), ["experiment", "dox", "metric"])))
+    add("box_quartiles", lambda s, d: compare.quartiles(compare.long(X.scores(s, d), ["experiment"], PCS), ["experiment", "metric"]))
+    add("delta_long", lambda s, d: compare.delta_long(deltas(s, d), ["organoid_id", "dox"]))
+    add("fold_means", lambda s, d: predict.fold_means(predict.metrics(X.predicted(s, d), PCS)))
+    add("loading_order", lambda s, d: pca.ordered_loadings(pca.loadings(s, space(s, d)[1]), [("composition", ["pct_endo", "pct_meso"]), ("shape", ["f3", "f1"])]))
+    add("feature_errors", lambda s, d: predict.feature_error_summary(rebuilt_errors(s, d)))
     return q
 
 

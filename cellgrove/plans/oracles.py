@@ -181,10 +181,34 @@ kw AS (SELECT experiment, metric, count(*) AS k, (12 / (sum(n)::DOUBLE * (sum(n)
     add("lor_folds", "fold:s split_type:s row_id:i role:s", folds("experiment || '::' || replicate", "LOR"), META)
     add("loex_folds", "fold:s split_type:s row_id:i role:s", folds("experiment", "LOEX"), META)
     add("holdout_fold", "fold:s split_type:s row_id:i role:s", "SELECT 'custom' AS fold, 'CUSTOM' AS split_type, organoid_id AS row_id, CASE experiment WHEN 'exp3' THEN 'test' ELSE 'train' END AS role FROM meta", META)
-    add("regression_metrics", "fold:s model:s pc:s n:i r2:d rmse:d mae:d", " UNION ALL ".join(f"SELECT fold, 'stand_in' AS model, 'pc{i}' AS pc, count(*) AS n, CASE WHEN count(*) >= 2 AND var_pop(pc{i}) > 0 THEN 1 - sum((pc{i}-p{i})*(pc{i}-p{i})) / (var_pop(pc{i}) * count(*)) END AS r2, sqrt(sum((pc{i}-p{i})*(pc{i}-p{i})) / count(*)) AS rmse, avg(abs(pc{i}-p{i})) AS mae FROM pr GROUP BY fold" for i in (1, 2, 3)), SCORE, PRED)
+    by_fold = " UNION ALL ".join(f"SELECT fold, 'stand_in' AS model, 'pc{i}' AS pc, count(*) AS n, CASE WHEN count(*) >= 2 AND var_pop(pc{i}) > 0 THEN 1 - sum((pc{i}-p{i})*(pc{i}-p{i})) / (var_pop(pc{i}) * count(*)) END AS r2, sqrt(sum((pc{i}-p{i})*(pc{i}-p{i})) / count(*)) AS rmse, avg(abs(pc{i}-p{i})) AS mae FROM pr GROUP BY fold" for i in (1, 2, 3))
+    add("regression_metrics", "fold:s model:s pc:s n:i r2:d rmse:d mae:d", by_fold, SCORE, PRED)
+    add("fold_means", "model:s pc:s n_folds:i r2:d rmse:d mae:d", f"SELECT model, pc, count(*) AS n_folds, avg(r2) AS r2, avg(rmse) AS rmse, avg(mae) AS mae FROM ({by_fold}) GROUP BY ALL", SCORE, PRED)
     add("trajectory_metrics", "model:s experiment:s n_doses:i path_error:d endpoint_error:d angle:d", "SELECT 'stand_in' AS model, experiment, count(*) AS n_doses, avg(d) AS path_error, max_by(d, dox) AS endpoint_error, avg(CASE WHEN na > 1e-12 AND nb > 1e-12 THEN degrees(acos(greatest(-1, least(1, dot / (na * nb))))) END) AS angle FROM s2 GROUP BY experiment HAVING count(*) >= 2", SCORE, PRED,
         """c AS (SELECT experiment, dox, avg(pc1) a1, avg(pc2) a2, avg(pc3) a3, avg(p1) b1, avg(p2) b2, avg(p3) b3 FROM pr GROUP BY ALL),
 s1 AS (SELECT experiment, dox, sqrt((a1-b1)*(a1-b1)+(a2-b2)*(a2-b2)+(a3-b3)*(a3-b3)) AS d, lead(a1) OVER w - a1 AS u1, lead(a2) OVER w - a2 AS u2, lead(a3) OVER w - a3 AS u3, lead(b1) OVER w - b1 AS v1, lead(b2) OVER w - b2 AS v2, lead(b3) OVER w - b3 AS v3 FROM c WINDOW w AS (PARTITION BY experiment ORDER BY dox)),
 s2 AS (SELECT *, sqrt(u1*u1+u2*u2+u3*u3) AS na, sqrt(v1*v1+v2*v2+v3*v3) AS nb, u1*v1+u2*v2+u3*v3 AS dot FROM s1)""")
     add("error_summary", "experiment:s dox:i mae:d rmse:d n:i", "SELECT experiment, dox, avg(abs(pc1 - p1)) AS mae, sqrt(avg((pc1-p1)*(pc1-p1))) AS rmse, count(*) AS n FROM pr GROUP BY ALL", SCORE, PRED)
+    add("dose_filter", "organoid_id:i experiment:s replicate:s dox:i", "SELECT * FROM meta WHERE dox IN (0, 100, 1000)", META)
+    add("condition_order", "condition:s place:i n:i", """SELECT condition, CASE condition WHEN 'BMP4' THEN 2 WHEN 'WNT5A' THEN 3 ELSE 5 END AS place, count(*) AS n
+ FROM (SELECT CASE WHEN experiment = 'exp1' THEN 'BASAL' WHEN organoid_id % 3 = 0 THEN 'BMP4' WHEN organoid_id % 3 = 1 THEN 'WNT5A' ELSE 'BASAL' END AS condition FROM meta) GROUP BY ALL""", META)
+    add("bars_ci95", "experiment:s dox:i metric:s mean:d sd:d n:i sem:d low:d high:d", """SELECT *, mean - 1.96e0 * sem AS low, mean + 1.96e0 * sem AS high
+ FROM (SELECT experiment, dox, metric, avg(v) AS mean, stddev_samp(v) AS sd, count(v) AS n, stddev_samp(v) / sqrt(greatest(count(v), 1)) AS sem FROM fl GROUP BY ALL)""", FEAT, FLONG)
+    add("box_quartiles", "experiment:s metric:s q1:d median:d q3:d low:d high:d", """SELECT experiment, pc AS metric, q1, median, q3, min(v) AS low, max(v) AS high
+ FROM sl JOIN (SELECT experiment, pc, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM sl GROUP BY ALL) b USING (experiment, pc)
+ WHERE v >= q1 - 1.5e0 * (q3 - q1) AND v <= q3 + 1.5e0 * (q3 - q1) GROUP BY ALL""", SCORE, SLONG)
+    q["delta_long"] = f"""SELECT organoid_id, dox, metric, value, split_part(metric, '_', -1) AS lineage, CASE WHEN contains(metric, 'abs') THEN 'absolute' ELSE 'relative' END AS type
+ FROM (SELECT * FROM ({q["delta_vs_baseline"]})) UNPIVOT (value FOR metric IN (abs_pct_endo, rel_f1, rel_f3))"""
+    q["sweep_summary"] = f"""SELECT 'Rep' || (floor(organoid_id / 8)::BIGINT % 3 + 1)::VARCHAR AS replicate, eps, round(avg(n_clusters), 6) + 0e0 AS mean, round(stddev_pop(n_clusters), 6) + 0e0 AS sd, count(*)::BIGINT AS n
+ FROM ({q["dbscan_sweep"]}) GROUP BY ALL"""
+    grid, cells_of = [], []
+    for e in (4, 6):
+        for m in (3, 5):
+            k = f"{e}_{m}"
+            grid.append(f"""gc{k} AS (SELECT organoid_id, i FROM p WHERE d2 <= {e}e0 * {e}e0 GROUP BY ALL HAVING count(*) >= {m}),
+ge{k} AS (SELECT p.organoid_id, p.i, p.j FROM p JOIN gc{k} a ON a.organoid_id = p.organoid_id AND a.i = p.i JOIN gc{k} b ON b.organoid_id = p.organoid_id AND b.i = p.j WHERE d2 <= {e}e0 * {e}e0),
+gr{k} AS (SELECT organoid_id, i, i AS root FROM gc{k} UNION SELECT r.organoid_id, e.j, r.root FROM gr{k} r JOIN ge{k} e ON e.organoid_id = r.organoid_id AND e.i = r.i)""")
+            cells_of.append(f"""SELECT o.organoid_id, {e}e0 AS eps, {m} AS min_samples, count(DISTINCT root) AS n_clusters FROM (SELECT DISTINCT organoid_id FROM p) o
+ LEFT JOIN (SELECT organoid_id, i, min(root) AS root FROM gr{k} GROUP BY ALL) USING (organoid_id) GROUP BY ALL""")
+    add("dbscan_grid", "organoid_id:i eps:d min_samples:i n_clusters:i", " UNION ALL ".join(cells_of), near("p", 6, "a.cell_type = 2 AND b.cell_type = 2"), *grid, recursive=True)
     return q

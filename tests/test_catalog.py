@@ -23,9 +23,13 @@ def test_query_equals_twin(spark, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_without_twin_runs(spark, name):
-    df = QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+def test_query_without_twin_gives_numbers(spark, name):
+    """Rows, no row twice, numbers that are finite; what they must be is tested in test_micro."""
+    rows = QUERIES[name](spark, SF).collect()
+    # no group of these small tables has more samples than pruning keeps
+    assert (rows or name == "prune_samples") and len(set(rows)) == len(rows)
+    for r in rows:
+        assert all(v == v and abs(v) != float("inf") for v in r if isinstance(v, float))
 
 
 def test_flagship(spark):

@@ -155,3 +155,46 @@ def test_models_and_folds(spark):
 def test_pruning(spark):
     f = spark.createDataFrame([("g", s, float(v)) for s, v in (("a", 50), ("b", 51), ("c", 49), ("z", 90))] + [("one", "q", 1.0)], "grp string, sample string, v double")
     assert [(r["grp"], r["sample"]) for r in sampling.prune(f, "grp", "sample", ["v"]).collect()] == [("g", "z")]
+
+
+def test_all_components_rebuild_every_feature(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"s{i}", "exp1", *map(float, r)) for i, r in enumerate(rng.standard_normal((12, 3)))]
+    f = spark.createDataFrame(rows, "organoid_id string, experiment string, a double, b double, c double")
+    space = pca.fit(f, ["a", "b", "c"])
+    back = pca.reconstruct(pca.project(f, space, ["organoid_id"]), space)
+    errors = predict.feature_errors(f.withColumn("b", F.when(F.col("organoid_id") != "s3", F.col("b"))), back, ["a", "b", "c"])
+    got = {r["feature"]: r for r in predict.feature_error_summary(errors).collect()}
+    assert [got[c]["n"] for c in "abc"] == [12, 11, 12]
+    # as many components as features, or the share that is left out
+    left = 1.0 - sum(space.ratio)
+    assert all(r["rmse"] <= 1e-9 + 4 * left for r in got.values())
+
+
+def test_boxes_bars_and_orders(spark):
+    df = spark.createDataFrame([("g", float(v)) for v in (1, 2, 3, 4, 100)], "k string, value double")
+    box = compare.quartiles(df, ["k"]).first()
+    assert (box["q1"], box["median"], box["q3"], box["low"], box["high"]) == (2.0, 3.0, 4.0, 1.0, 4.0)
+    bar = compare.interval95(compare.summary(df, ["k"])).first()
+    assert bar["high"] - bar["mean"] == pytest.approx(1.96 * np.std([1, 2, 3, 4, 100], ddof=1) / 5 ** 0.5)
+    named = spark.createDataFrame([("BASAL",), ("BMP4+WNT5A",), ("other",), (None,)], "condition string")
+    assert {r["condition"]: r["place"] for r in compare.in_order(named).collect()} == {"BASAL": 5, "BMP4+WNT5A": 4}
+    long = compare.delta_long(spark.createDataFrame([(1, 2.0, 3.0)], "organoid_id long, abs_pct_endo double, rel_size_meso double"), ["organoid_id"])
+    assert {(r["metric"], r["lineage"], r["type"]) for r in long.collect()} == {("abs_pct_endo", "endo", "absolute"), ("rel_size_meso", "meso", "relative")}
+    table = spark.createDataFrame([(f, "pc1", 0.1) for f in "abcd"], "feature string, pc string, loading double")
+    placed = {r["feature"]: (r["place"], r["group"]) for r in pca.ordered_loadings(table, [("first", ["d", "b"])]).collect()}
+    assert placed == {"d": (1, "first"), "b": (2, "first"), "a": (3, "other"), "c": (4, "other")}
+
+
+def test_encodings(spark):
+    f = predict.cn_draws(spark.createDataFrame([("s1", "exp1")], "organoid_id string, experiment string"), {"exp1": 3.0})
+    for name, n in (("lambda", 1), ("sample_mean", 1), ("summary", 5)):
+        frame, columns = predict.encoded(f, name)
+        assert len(columns) == n and set(columns) <= set(frame.columns)
+    with pytest.raises(ValueError):
+        predict.encoded(f, "none")
+
+
+def test_infinite_places_have_no_neighbours(spark):
+    c = cloud(spark, [("a", 2.0, 0, 0, 0), ("a", 2.0, 1, 0, 0), ("a", 2.0, float("inf"), 0, 0), ("a", 2.0, float("nan"), 0, 0)])
+    assert neighbors.pairs(c, 2.0, method="sample").count() == neighbors.pairs(c, 2.0, method="grid").count() == 4
