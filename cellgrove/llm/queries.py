@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellgrove.llm import bpe, decontaminate, language, line_dedup, near_dedup, neighbours, pii, quality, substring_dedup, token_counts
+from cellgrove.llm import bpe, decontaminate, language, line_dedup, near_dedup, neighbours, phrases, pii, quality, simhash, spelling, substring_dedup, token_counts
 from cellgrove.llm.common import documents
 
 
@@ -59,12 +59,26 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op11_simhash(spark, sf_dir):
+    return simhash.classes(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+def op12_spelling(spark, sf_dir):
+    return spelling.groups(documents(spark, sf_dir))
+
+
+def op13_phrases(spark, sf_dir):
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def queries():
     every = (op1_line_dedup, op2_language_id, op3_near_dedup, op4_nearest_neighbours, op5_substring_dedup,
-             op6_bpe, op7_quality, op8_pii, op9_token_counts, op10_decontamination)
+             op6_bpe, op7_quality, op8_pii, op9_token_counts, op10_decontamination,
+             op11_simhash, op12_spelling, op13_phrases)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql():
     """What SQL can express; the rest is tested against brute force in tests/llm."""
-    return {"op1_line_dedup": line_dedup.SQL, "op3_near_dedup": near_dedup.SQL, "op5_substring_dedup": substring_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op3_near_dedup": near_dedup.SQL, "op5_substring_dedup": substring_dedup.SQL,
+            "op12_spelling": spelling.SQL, "op13_phrases": phrases.SQL}

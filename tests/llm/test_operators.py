@@ -387,7 +387,7 @@ def test_decontamination(spark):
     same = spark.createDataFrame([(1, "from 8 km to 8 km the old road goes up and down again"), (2, "from 8 km to 9 km the old road goes up and down again")], DOCS)
     assert [r["doc_id"] for r in decontaminate.leaks(same, twice).collect()] == [1]
     assert decontaminate.leaks(empty(spark), items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
-    assert {r["doc_id"] for r in decontaminate.decontaminate(docs.select("doc_id", "text"), items.where("item_id = 1")).collect()} == {3, 4, 5, 6, None, 8, 9, 10, 11}
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs.select("doc_id", "text"), items.where("item_id = 1")).collect()} == {3, 4, 5, 6, None, 7, 8, 9, 10, 11}
 
 
 def test_decontamination_of_rows_that_share_an_id(spark):
