@@ -57,33 +57,39 @@ def hashed_deletions(word: str) -> np.ndarray:
     return np.unique(np.append(cut, sums[-1]))
 
 
-def _long_keys(words: DataFrame) -> DataFrame:
+def _hashed_keys(words: DataFrame) -> DataFrame:
+    """(id, key) of the words (id, word): rows carry numbers only, so they are as long as the text, not its square."""
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 keys = signed(hashed_deletions(b.column("word")[i].as_py()))
-                for at in range(0, len(keys), 4096):
-                    part = pa.array(keys[at:at + 4096])
-                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column("word")[i], len(part)), pa.repeat(b.column("n")[i], len(part)), part], names=["word", "n", "key"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column("id")[i], len(keys)), pa.array(keys)], names=["id", "key"])
 
-    return words.mapInArrow(run, "word string, n long, key long")
-
-
-def _met(keys: DataFrame) -> DataFrame:
-    """(a, na, b, nb), a < b, of words that share a key and are one edit apart; such words share one key only."""
-    a = keys.select("key", F.col("word").alias("a"), F.col("n").alias("na"))
-    b = keys.select("key", F.col("word").alias("b"), F.col("n").alias("nb"))
-    return a.hint("merge").join(b, "key").where("a < b").where(F.levenshtein("a", "b", 1) == 1).drop("key")
+    return words.mapInArrow(run, "id long, key long")
 
 
 def near_pairs(words: DataFrame, long: int = LONG) -> DataFrame:
-    """(a, na, b, nb), a < b: all pairs of distinct words (word, n) that differ by one inserted, deleted or replaced code point."""
+    """(a, na, b, nb), a < b: all pairs of distinct words (word, n) that differ by one inserted, deleted or replaced code point.
+
+    Such words share just one key, so no pair comes twice.
+    """
     size = F.char_length("word")
+    sides = [[F.col("word").alias(x), F.col("n").alias(f"n{x}")] for x in "ab"]
+    one = F.levenshtein("a", "b", 1) == 1
     cut = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, size)))
-    keys = words.where((size <= long) & (size >= 1)).select("word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), cut))).alias("key"))
-    # words of just ``long`` code points emit both kinds, and pairs of two such words count in the first kind
-    wide = _met(_long_keys(words.where(size >= long))).where((F.char_length("a") > long) | (F.char_length("b") > long))
-    return _met(keys).unionByName(wide)
+    keys = words.where(size.between(1, long)).select("word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), cut))).alias("key"))
+    short = keys.select("key", *sides[0]).hint("merge").join(keys.select("key", *sides[1]), "key").where("a < b").where(one).drop("key")
+    # words of just ``long`` code points emit both kinds; pairs of two such words belong to the first
+    wide = stored(words.where(size >= long).select(F.monotonically_increasing_id().alias("id"), "word", "n"), "long")
+    hashed = _hashed_keys(wide.select("id", "word"))
+    met = hashed.withColumnRenamed("id", "ida").hint("merge").join(hashed.withColumnRenamed("id", "idb"), "key").where("ida < idb").select("ida", "idb").distinct()
+    for x, side in zip("ab", sides):
+        met = met.join(wide.select(F.col("id").alias(f"id{x}"), *side).hint("merge"), f"id{x}")
+    met = met.where(one).where((F.char_length("a") > long) | (F.char_length("b") > long))
+    low = F.col("a") < F.col("b")
+    ordered = [F.least("a", "b").alias("a"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb")]
+    met = met.select(*ordered)
+    return short.unionByName(met)
 
 
 def variants(words: DataFrame, times: int = TIMES, long: int = LONG) -> DataFrame:

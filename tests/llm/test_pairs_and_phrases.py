@@ -181,7 +181,7 @@ def brute_groups(rows):
 def test_spelling_groups_equal_brute_force(spark):
     r = random.Random(11)
     base = ["".join(r.choice("aeioubcdé") for _ in range(r.randrange(5, 12))) for _ in range(30)] + ["mississippi", "ELÈVE", "naïveté"]
-    rows = [(1, None), (2, ""), (3, "12 ... Δ"), (None, "Spelling spelling spelling speling"), (4, "abcde abcde abcde abcdx abcdx abcdx"), (5, "ab" * 3000 + " end"), (6, "ab" * 3000), (7, "ab" * 3000 + "a " + ("ab" * 3000 + "a ") * 7)]
+    rows = [(1, None), (2, ""), (3, "12 ... Δ"), (None, "Spelling spelling spelling speling"), (4, "abcde abcde abcde abcdx abcdx abcdx"), (8, "quorum " * 20 + "quorun " * 9 + "quoran " * 4), (5, "ab" * 3000 + " end"), (6, "ab" * 3000), (7, "ab" * 3000 + "a " + ("ab" * 3000 + "a ") * 7)]
     for d in range(300):
         w = [base[min(int(r.expovariate(0.15)), len(base) - 1)] for _ in range(40)]
         for i in range(40):
