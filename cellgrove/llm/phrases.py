@@ -2,7 +2,10 @@
 
 All 1..max_n-grams become rows and are counted by hash aggregation, one length at
 a time, so that the shuffle of one length is on disk at once; a task sends each
-phrase of a slice of texts once, with its count.  Candidates are joined with the
+phrase of a slice of texts once, with its count.  A phrase can only be frequent
+where the phrases that are one word shorter are, so it becomes a row only if a bit
+table of those (of fixed size, as large for any input) has both: a full table lets
+more rows through and never holds back a frequent phrase.  Candidates are joined with the
 counts of every first and last part, scored in Decimal, and dropped where a
 candidate that is one word longer holds them often enough.
 """
@@ -11,18 +14,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cellgrove.llm.common import plain, slices, stored
+from cellgrove.llm.common import mix, plain, signed, slices, stored
 
 #: Bytes that end a piece (``.,;:!?`` and \\x0A-\\x0D) and bytes between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 MAX_N, LEAST, PERCENT, FIRST = 3, 10, 50, 2000
 NO_LANGUAGE = "und"
 #: Bytes of text that are counted at a time in a task: repeats inside a slice cost nothing to shuffle.
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: The bit table has two to this power of bits (4 MB), whatever it is made from.
+BITS = 25
 
 
 def _words(texts: pa.Array):
@@ -51,25 +57,66 @@ def _words(texts: pa.Array):
     return words, piece, np.searchsorted(offsets, start, side="right") - 1
 
 
-def _counted(texts: pa.Array, langs: pa.Array, n: int):
-    """(lang, phrase, count) arrays of the distinct phrases of ``n`` words of a slice."""
+def _hashes(values: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(v) for v in values.to_pylist()), np.uint64, len(values))
+
+
+def _chained(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from that of its words before the last (of its language, for one word) and of the last."""
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def marks(phrases: DataFrame, n: int, bits: int = BITS) -> np.ndarray:
+    """A bit table of the phrases of ``n`` words (lang, phrase): at most ``2 ** (bits - 6)`` longs reach the driver."""
+    def run(batches):
+        for b in batches:
+            words = pc.split_pattern(plain(b.column("phrase")), " ").flatten().dictionary_encode()
+            word = _hashes(words.dictionary)[words.indices.to_numpy()].reshape(-1, n)
+            tongue = plain(b.column("lang")).dictionary_encode()
+            h = _hashes(tongue.dictionary)[tongue.indices.to_numpy()]
+            for j in range(n):
+                h = _chained(h, word[:, j])
+            at = h >> np.uint64(64 - bits)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(at >> np.uint64(6))), pa.array(signed(np.uint64(1) << (at & np.uint64(63))))], names=["at", "mask"])
+
+    found = phrases.select("lang", "phrase").mapInArrow(run, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[found["at"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    return table
+
+
+def _marked(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - (len(table).bit_length() + 5))
+    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _counted(texts: pa.Array, langs: pa.Array, n: int, table: np.ndarray | None = None):
+    """(lang, phrase, count) arrays of the distinct phrases of ``n`` words of a slice whose first and last ``n`` - 1 words are in the table."""
     words, piece, text = _words(texts)
     if len(words) < n:
         return None
     coded, tongue = words.dictionary_encode(), langs.dictionary_encode()
-    code = coded.indices.to_numpy().astype(np.int64)
+    code, lang = coded.indices.to_numpy(), tongue.indices.to_numpy()[text]
     at = np.flatnonzero(piece[:len(code) - n + 1] == piece[n - 1:])
-    ids = tongue.indices.to_numpy().astype(np.int64)[text[at]]
+    if table is not None and n > 1:
+        word, h = _hashes(coded.dictionary)[code], _hashes(tongue.dictionary)[lang]
+        size = len(code) - n + 2
+        h = h[:size]
+        for j in range(n - 1):
+            h = _chained(h, word[j:j + size])
+        known = _marked(h, table)
+        at = at[known[at] & known[at + 1]]
+    if not len(at):
+        return None
+    ids = lang[at].astype(np.int64)
     for j in range(n):  # pairs of (what came before, next word) are numbered anew, so keys never pass 64 bits
         ids = pa.array(ids * len(coded.dictionary) + code[at + j]).dictionary_encode().indices.to_numpy().astype(np.int64)
-    if not len(ids):
-        return None
     count = np.bincount(ids)
     sample = np.zeros(len(count), np.int64)
     sample[ids] = at
     parts = [coded.dictionary.take(pa.array(code[sample + j])) for j in range(n)]
     phrase = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " ")
-    return tongue.dictionary.take(pa.array(tongue.indices.to_numpy()[text[sample]])), phrase, pa.array(count)
+    return tongue.dictionary.take(pa.array(lang[sample])), phrase, pa.array(count)
 
 
 def _cut(text: bytes, most: int, n: int):
@@ -86,41 +133,43 @@ def _cut(text: bytes, most: int, n: int):
     yield text[at:]
 
 
-def ngrams(docs: DataFrame, n: int, slice_bytes: int = SLICE) -> DataFrame:
-    """(lang, phrase, c) rows whose counts sum to the occurrences of every phrase of ``n`` words."""
+def ngrams(docs: DataFrame, n: int, slice_bytes: int = SLICE, table: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, c) rows whose counts sum to the occurrences of every phrase of ``n`` words (that ``table`` lets through)."""
+    shared = docs.sparkSession.sparkContext.broadcast(table) if table is not None else None
+
     def run(batches):
+        known = shared.value if shared is not None else None
+
+        def rows(texts, langs):
+            found = _counted(pa.concat_arrays(texts), pa.concat_arrays(langs), n, known)
+            if found:
+                yield pa.RecordBatch.from_arrays(list(found), names=["lang", "phrase", "c"])
+
         texts, langs, held = [], [], 0
-        names = ["lang", "phrase", "c"]
         for b in batches:
             text, lang = plain(b.column("text")), b.column("lang").cast(pa.string()).fill_null(NO_LANGUAGE)
-            for at, rows in slices(text, slice_bytes):
-                part = text.slice(at, rows)
-                size = int(pc.sum(pc.binary_length(part)).as_py() or 0)
-                if size > slice_bytes and rows == 1:
+            for at, size in slices(text, slice_bytes):
+                part = text.slice(at, size)
+                total = int(pc.sum(pc.binary_length(part)).as_py() or 0)
+                if total > slice_bytes and size == 1:
                     for cut in _cut(part[0].as_py().encode(), slice_bytes, n):
-                        found = _counted(pa.array([cut.decode()]), lang.slice(at, 1), n)
-                        if found:
-                            yield pa.RecordBatch.from_arrays(list(found), names=names)
+                        yield from rows([pa.array([cut.decode()])], [lang.slice(at, 1)])
                     continue
                 texts.append(part)
-                langs.append(lang.slice(at, rows))
-                held += size
+                langs.append(lang.slice(at, size))
+                held += total
                 if held >= slice_bytes // 2:
-                    found = _counted(pa.concat_arrays(texts), pa.concat_arrays(langs), n)
+                    yield from rows(texts, langs)
                     texts, langs, held = [], [], 0
-                    if found:
-                        yield pa.RecordBatch.from_arrays(list(found), names=names)
         if texts:
-            found = _counted(pa.concat_arrays(texts), pa.concat_arrays(langs), n)
-            if found:
-                yield pa.RecordBatch.from_arrays(list(found), names=names)
+            yield from rows(texts, langs)
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, c long")
 
 
-def counts(docs: DataFrame, n: int, least: int = 1) -> DataFrame:
-    """(lang, phrase, f) of the phrases of ``n`` words that occur ``least`` times or more."""
-    return ngrams(docs, n).groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+def counts(docs: DataFrame, n: int, least: int = 1, table: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, f) of the phrases of ``n`` words that occur ``least`` times or more; ``table``: the marks of those with one word less."""
+    return ngrams(docs, n, table=table).groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
 
 
 def _floor_ratio(a, l, r):
@@ -129,7 +178,7 @@ def _floor_ratio(a, l, r):
     return F.call_function("div", F.lit(1000000).cast("decimal(7,0)") * a * a, l * r)
 
 
-def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, percent: int = PERCENT, first: int = FIRST) -> DataFrame:
+def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, percent: int = PERCENT, first: int = FIRST, bits: int = BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's ``first`` phrases of 2 to ``max_n`` words.
 
     ``docs`` has text and lang; other columns are ignored.  A null language is
@@ -137,7 +186,9 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, percen
     each time; a table without candidates gives no rows.  Counts may have 15 digits.
     """
     single = stored(counts(docs, 1), "words")
-    levels = [single.where(F.col("f") >= least)] + [stored(counts(docs, n, least), f"phrases{n}") for n in range(2, max_n + 1)]
+    levels = [single.where(F.col("f") >= least)]
+    for n in range(2, max_n + 1):
+        levels.append(stored(counts(docs, n, least, marks(levels[-1], n - 1, bits)), f"phrases{n}"))
     known = levels[0].withColumn("n", F.lit(1))
     for n, level in enumerate(levels[1:], 2):
         known = known.unionByName(level.withColumn("n", F.lit(n)))

@@ -226,13 +226,13 @@ def brute_phrases(rows, max_n, least, first):
     return out
 
 
-@pytest.mark.parametrize("max_n,least,first", [(3, 3, 2000), (4, 2, 15), (2, 5, 2000)])
-def test_phrases_equal_brute_force(spark, max_n, least, first):
+@pytest.mark.parametrize("max_n,least,first,bits", [(3, 3, 2000, 25), (4, 2, 15, 7), (2, 5, 2000, 20), (4, 4, 2000, 25)])
+def test_phrases_equal_brute_force(spark, max_n, least, first, bits):
     r = random.Random(7)
     parts = ["new york city", "the  of", "big\tred dog", "New York", "a a a", "été là", "x", "und so weiter", "\xa0 q\xa0r"]
     rows = [(1, None, "en"), (2, "", None), (3, " ., ;\n", "en"), (4, "a " * 60, "xx"), (4, "a " * 60, "xx")]
     rows += [(d, "".join(r.choice(parts) + r.choice([" ", " ", " ", ".", ", ", "\n"]) for _ in range(30)), r.choice(["en", "de", None, "und"])) for d in range(60)]
-    got = [tuple(x) for x in phrases.collocations(frame(spark, rows), max_n, least, 50, first).orderBy("lang", "rank").collect()]
+    got = [tuple(x) for x in phrases.collocations(frame(spark, rows), max_n, least, 50, first, bits).orderBy("lang", "rank").collect()]
     assert got == brute_phrases(rows, max_n, least, first)
     assert phrases.collocations(frame(spark, []), max_n).count() == 0
 
