@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrove.functions.draws import draw, ranked
 from cellgrove.operators.neighbors import pairs
 from cellgrove.schema import BAND
 
@@ -33,32 +34,33 @@ def morans_i(cells: DataFrame, channel: str, band: float = BAND) -> DataFrame:
 
 
 def permutation_p(cells: DataFrame, channel: str, band: float = BAND, rounds: int = 99, seed: int = 0) -> DataFrame:
-    """(organoid_id, morans_i, p_sim): one-sided pseudo p-value from seeded shuffles of values over places."""
-    import numpy as np
-    import pandas as pd
-
-    edges = pairs(cells.where(F.col(channel).isNotNull()), band, keep=("cell_id",)).where("a_cell_id <> b_cell_id").groupBy("organoid_id", F.col("a_cell_id").alias("cell_id")).agg(F.collect_list("b_cell_id").alias("near"))
-    full = cells.where(F.col(channel).isNotNull()).select("organoid_id", "cell_id", F.col(channel).alias("v")).join(edges, ["organoid_id", "cell_id"], "left")
-
-    def run(pdf):
-        pdf = pdf.sort_values("cell_id").reset_index(drop=True)
-        v = pdf["v"].to_numpy(float)
-        who = {c: i for i, c in enumerate(pdf["cell_id"])}
-        n = np.array([0 if x is None else len(x) for x in pdf["near"]])
-        i, p = None, None
-        if len(v) >= 2 and v.std() > 0 and n.sum():
-            row = np.repeat(np.arange(len(v)), n)
-            col = np.array([who[c] for x in pdf["near"] if x is not None for c in x])
-            z = (v - v.mean()) / v.std()
-            stat = lambda z: float((z[row] * z[col] / n[row]).sum() / (n > 0).sum())
-            rng = np.random.default_rng(seed)
-            i, sims = stat(z), [stat(rng.permutation(z)) for _ in range(rounds)]
-            above = sum(s >= i for s in sims)
-            p = (min(above, rounds - above) + 1) / (rounds + 1)
-        return pd.DataFrame({"organoid_id": [pdf["organoid_id"].iloc[0]], "morans_i": [i], "p_sim": [p]})
-
-    kind = cells.schema["organoid_id"].dataType.simpleString()
-    return full.groupBy("organoid_id").applyInPandas(run, f"organoid_id {kind}, morans_i double, p_sim double")
+    """(organoid_id, morans_i, p_sim): one-sided pseudo p-value from seeded shuffles of values over places.
+
+    In every round the cells of a sample are ranked by a digest of (seed, round, cell),
+    and the values move to the places of that rank, which round 0 numbers.  A cell
+    carries its values of all rounds, so one table of neighbours serves them.  Values
+    that are all equal, or cells without neighbours, have neither figure.
+    """
+    c = cells.where(F.col(channel).isNotNull()).select("organoid_id", "cell_id", *"xyz", F.col(channel).alias("v"))
+    stats = c.groupBy("organoid_id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"), F.count("*").alias("n"))
+    z = c.join(stats.where("n >= 2 AND sd > 0"), "organoid_id").select("organoid_id", "cell_id", ((F.col("v") - F.col("m")) / F.col("sd")).alias("z"))
+    turns = z.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
+    turns = ranked(turns, ["organoid_id", "round"], draw(seed, F.col("round"), F.col("cell_id")), "cell_id", "place")
+    places = turns.where("round = 0").select("organoid_id", "place", "cell_id", F.col("z").alias("own"))
+    moved = places.join(turns.where("round > 0").select("organoid_id", "place", "round", "z"), ["organoid_id", "place"])
+    held = moved.groupBy("organoid_id", "cell_id").agg(F.concat(F.array(F.first("own")), F.transform(F.sort_array(F.collect_list(F.struct("round", "z"))), lambda s: s["z"])).alias("zs"))
+    near = pairs(c, band, keep=("cell_id",)).where("a_cell_id <> b_cell_id").select("organoid_id", "a_cell_id", "b_cell_id")
+    degree = near.groupBy("organoid_id", "a_cell_id").agg(F.count("*").alias("k"))
+    side = lambda x: held.select("organoid_id", F.col("cell_id").alias(f"{x}_cell_id"), F.col("zs").alias(x))
+    edges = near.join(degree.join(side("a"), ["organoid_id", "a_cell_id"]), ["organoid_id", "a_cell_id"]).join(side("b"), ["organoid_id", "b_cell_id"])
+    products = edges.select("organoid_id", "k", F.posexplode(F.zip_with("a", "b", lambda x, y: x * y)).alias("round", "zz"))
+    sums = products.groupBy("organoid_id", "round").agg((F.sum(F.col("zz") / F.col("k")) / F.round(F.sum(1 / F.col("k")))).alias("i"))
+    i = F.max(F.when(F.col("round") == 0, F.col("i")))
+    found = sums.groupBy("organoid_id").agg(i.alias("morans_i"), F.collect_list(F.when(F.col("round") > 0, F.col("i"))).alias("sims"))
+    # equal arrangements differ in the last digits only, and count as not below
+    above = F.size(F.filter("sims", lambda s: s >= F.col("morans_i") - 1e-9))
+    found = found.select("organoid_id", "morans_i", ((F.least(above, rounds - above) + 1) / (rounds + 1)).alias("p_sim"))
+    return stats.select("organoid_id").join(found, "organoid_id", "left")
 
 
 def lisa_cluster_mean(clustered: DataFrame, channel: str, band: float = BAND) -> DataFrame:

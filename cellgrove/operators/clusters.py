@@ -1,13 +1,17 @@
 """Density clusters and what is measured on them."""
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cellgrove.operators.neighbors import pairs, squared
+from cellgrove.operators.closest import closest
+from cellgrove.operators.neighbors import GRID_FROM, pairs, squared, within
+from cellgrove.operators.rounds import Rounds, components
 from cellgrove.schema import ENDO, EPS, MESO, MIN_SAMPLES
 
 KEYS = ("organoid_id", "cell_type")
@@ -42,20 +46,44 @@ def label(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     return cells, number
 
 
-def dbscan(cells: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES, keys=KEYS) -> DataFrame:
+def dbscan(cells: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES, keys=KEYS, method: str = "auto") -> DataFrame:
     """``cells`` with cluster_id, clustered within each value of ``keys``.
 
-    The pairs come from the neighbour join; only they reach Python, grouped by sample.
+    The pairs come from the neighbour join; see ``dbscan_sweep`` for the method.
     """
-    swept = dbscan_sweep(cells, [(eps, min_samples)], keys).drop("eps", "min_samples")
+    swept = dbscan_sweep(cells, [(eps, min_samples)], keys, method).drop("eps", "min_samples")
     return cells.join(swept, [*keys, "cell_id"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
 
 
-def dbscan_sweep(cells: DataFrame, params, keys=KEYS) -> DataFrame:
-    """(keys, cell_id, eps, min_samples, cluster_id) for several parameters from one join at the largest eps."""
-    near = pairs(cells.where(F.col(keys[-1]).isNotNull()), max(p[0] for p in params), keys=keys, keep=("cell_id",)).select(*keys, "a_cell_id", "b_cell_id", "d2")
-    keys = list(keys)
+#: Cells of one sample from which its clusters are found by joins, not in one task.
+SPREAD_FROM = 100_000
+
+
+def dbscan_sweep(cells: DataFrame, params, keys=KEYS, method: str = "auto") -> DataFrame:
+    """(keys, cell_id, eps, min_samples, cluster_id) for several parameters from one join at the largest eps.
+
+    method: ``task`` labels each sample in one task; ``spread`` by joins and rounds on
+    DataFrames, in bounded memory; ``auto`` takes ``spread`` for samples of at least
+    ``SPREAD_FROM`` cells.  The labels are the same.
+    """
+    keys, cells = list(keys), cells.where(F.col(keys[-1]).isNotNull())
+    if method != "auto":
+        near = _near(cells, params, keys)
+        return _in_tasks(near, params, keys) if method == "task" else _spread(near, params, keys)
+    sizes = cells.groupBy(*keys).agg(F.count("*").alias("size"))
+    most = sizes.agg(F.max("size")).first()[0] or 0
+    if most < SPREAD_FROM:
+        return _in_tasks(_near(cells, params, keys, "grid" if most >= GRID_FROM else "sample"), params, keys)
+    large = sizes.where(F.col("size") >= SPREAD_FROM).select(*keys)
+    small = _in_tasks(_near(cells.join(large, keys, "left_anti"), params, keys, "grid"), params, keys)
+    return small.unionByName(_spread(_near(cells.join(large, keys, "left_semi"), params, keys, "grid"), params, keys))
+
+
+def _near(cells: DataFrame, params, keys, method: str = "auto") -> DataFrame:
+    return pairs(cells, max(p[0] for p in params), keys=keys, keep=("cell_id",), method=method).select(*keys, "a_cell_id", "b_cell_id", "d2")
+
 
+def _in_tasks(near: DataFrame, params, keys) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for eps, least in params:
@@ -67,10 +95,34 @@ def dbscan_sweep(cells: DataFrame, params, keys=KEYS) -> DataFrame:
             out.append(part)
         return pd.concat(out)[[*keys, "cell_id", "eps", "min_samples", "cluster_id"]]
 
-    kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = ", ".join(f"{k} {near.schema[k].dataType.simpleString()}" for k in keys)
     return near.groupBy(*keys).applyInPandas(run, f"{kinds}, cell_id long, eps double, min_samples int, cluster_id int")
 
 
+def _spread(near: DataFrame, params, keys) -> DataFrame:
+    """Core cells by counting, their components by contraction, border cells by the least number among core neighbours."""
+    rounds = Rounds(near.sparkSession)
+    near = rounds.store("near", near.withColumnsRenamed({"a_cell_id": "a", "b_cell_id": "b"}))
+    parts = []
+    for i, (eps, least) in enumerate(params):
+        n = near.where(F.col("d2") <= eps * eps)
+        cells = rounds.store(f"cells{i}", n.groupBy(*keys, F.col("a").alias("cell_id")).agg((F.count("*") >= least).alias("core")))
+        core = cells.where("core").select(*keys, "cell_id")
+        side = lambda c: core.withColumnRenamed("cell_id", c)  # noqa: B023,E731
+        edges = n.where("a < b").join(side("a"), [*keys, "a"], "left_semi").join(side("b"), [*keys, "b"], "left_semi")
+        found = components(edges.select(*keys, F.col("a").alias("src"), F.col("b").alias("dst")), keys, rounds).withColumnRenamed("node", "cell_id")
+        rooted = core.join(found, [*keys, "cell_id"], "left").withColumn("component", F.coalesce("component", "cell_id"))
+        # one row for each cluster: numbers follow their first core cells
+        number = F.row_number().over(W.partitionBy(*keys).orderBy("component")) - 1
+        numbers = rooted.select(*keys, "component").distinct().withColumn("cluster_id", number)
+        numbered = rounds.store(f"core{i}", rooted.join(numbers, [*keys, "component"]).select(*keys, "cell_id", "cluster_id"))
+        rim = n.join(side("a"), [*keys, "a"], "left_anti").join(numbered.withColumnRenamed("cell_id", "b"), [*keys, "b"])
+        rim = rim.groupBy(*keys, F.col("a").alias("cell_id")).agg(F.min("cluster_id").alias("cluster_id"))
+        labelled = cells.join(numbered.unionByName(rim), [*keys, "cell_id"], "left")
+        parts.append(labelled.select(*keys, "cell_id", F.lit(float(eps)).alias("eps"), F.lit(int(least)).alias("min_samples"), F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def spine(cells: DataFrame) -> DataFrame:
     """(organoid_id, cell_type) for both lineages of every organoid."""
     return cells.select("organoid_id").distinct().withColumn("cell_type", F.explode(F.array(F.lit(ENDO), F.lit(MESO))))
@@ -92,21 +144,23 @@ def metrics(clustered: DataFrame, min_samples: int = MIN_SAMPLES, missing: str =
     return m.select("organoid_id", "cell_type", "n_cells", count.alias("n_clusters"), size.alias("avg_size"))
 
 
+def _members(clustered: DataFrame, kind=None) -> DataFrame:
+    c = clustered.where(F.col("cluster_id") >= 0)
+    c = c if kind is None else c.where(F.col("cell_type") == kind)
+    return c.select("organoid_id", "cell_type", F.col("cluster_id").alias("cluster"), *"xyz")
+
+
 def intra_distance(clustered: DataFrame) -> DataFrame:
     """(organoid_id, cell_type, distance): mean over cluster pairs of one lineage of their least member distance."""
-    c = clustered.where(F.col("cluster_id") >= 0)
-    a = c.select("organoid_id", "cell_type", F.col("cluster_id").alias("i"), *(F.col(x).alias(f"a_{x}") for x in "xyz"))
-    b = c.select("organoid_id", "cell_type", F.col("cluster_id").alias("j"), *(F.col(x).alias(f"b_{x}") for x in "xyz"))
-    p = a.join(b, ["organoid_id", "cell_type"]).where("i < j").groupBy("organoid_id", "cell_type", "i", "j").agg(F.sqrt(F.min(squared())).alias("d"))
-    return p.groupBy("organoid_id", "cell_type").agg(F.avg("d").alias("distance"))
+    c = _members(clustered)
+    p = closest(c, c, ("organoid_id", "cell_type"), same=True)
+    return p.groupBy("organoid_id", "cell_type").agg(F.avg("min_dist").alias("distance"))
 
 
 def lineage_pairs(clustered: DataFrame) -> DataFrame:
     """(organoid_id, endo, meso, min_dist) of every Endo and Meso cluster of an organoid."""
-    c = clustered.where(F.col("cluster_id") >= 0)
-    a = c.where(F.col("cell_type") == ENDO).select("organoid_id", F.col("cluster_id").alias("endo"), *(F.col(x).alias(f"a_{x}") for x in "xyz"))
-    b = c.where(F.col("cell_type") == MESO).select("organoid_id", F.col("cluster_id").alias("meso"), *(F.col(x).alias(f"b_{x}") for x in "xyz"))
-    return a.join(b, "organoid_id").groupBy("organoid_id", "endo", "meso").agg(F.sqrt(F.min(squared())).alias("min_dist"))
+    a, b = (_members(clustered, t).drop("cell_type") for t in (ENDO, MESO))
+    return closest(a, b).select("organoid_id", F.col("i").alias("endo"), F.col("j").alias("meso"), "min_dist")
 
 
 def inter_distance(clustered: DataFrame) -> DataFrame:
@@ -122,16 +176,44 @@ def centroid_separation(clustered: DataFrame) -> DataFrame:
     return spine(clustered).join(p, ["organoid_id", "cell_type"], "left").withColumn("separation", F.coalesce("separation", F.lit(0.0)))
 
 
+def sides(clustered: DataFrame) -> DataFrame:
+    """(organoid_id, n_endo, n_meso) of each organoid with a cluster."""
+    c = clustered.where(F.col("cluster_id") >= 0)
+    n = [F.countDistinct(F.when(F.col("cell_type") == t, F.col("cluster_id"))).alias(f"n_{x}") for x, t in (("endo", ENDO), ("meso", MESO))]
+    return c.groupBy("organoid_id").agg(*n).where("n_endo + n_meso > 0")
+
+
+def touching(clustered: DataFrame, threshold: float) -> DataFrame:
+    """(organoid_id, endo, meso) of the clusters of both lineages with members within ``threshold``; only cells that near meet."""
+    c = clustered.where(F.col("cluster_id") >= 0)
+    a, b = (c.where(F.col("cell_type") == t) for t in (ENDO, MESO))
+    near = pairs(a, threshold, right=b, keep=("cluster_id",), method="grid" if threshold > 0 else "sample")
+    return near.select("organoid_id", F.col("a_cluster_id").alias("endo"), F.col("b_cluster_id").alias("meso")).distinct()
+
+
+def touched(clustered: DataFrame, threshold: float) -> DataFrame:
+    """(organoid_id, cell_type, cluster_id) of clusters that touch one of the other lineage: a semi-join, which makes no row for a pair."""
+    c = clustered.where((F.col("cluster_id") >= 0) & F.col("cell_type").isin(ENDO, MESO))
+    other = c.withColumn("other", F.when(F.col("cell_type") == ENDO, MESO).otherwise(ENDO)).select("organoid_id", F.col("other").alias("cell_type"), *"xyz")
+    return within(c, other, threshold, keys=("organoid_id", "cell_type")).select("organoid_id", "cell_type", "cluster_id").distinct()
+
+
+def adjacency_pct(clustered: DataFrame, threshold: float) -> DataFrame:
+    """(organoid_id, adjacency_pct): share of the minority's clusters that touch the other lineage, where both have clusters; Meso is the minority on a tie."""
+    t = touched(clustered, threshold).groupBy("organoid_id").agg(*(F.count_if(F.col("cell_type") == k).alias(f"t_{x}") for x, k in (("endo", ENDO), ("meso", MESO))))
+    m = sides(clustered).where("n_endo > 0 AND n_meso > 0").join(t, "organoid_id", "left").na.fill(0, ["t_endo", "t_meso"])
+    pct = F.when(F.col("n_endo") < F.col("n_meso"), 100.0 * F.col("t_endo") / F.col("n_endo")).otherwise(100.0 * F.col("t_meso") / F.col("n_meso"))
+    return m.select("organoid_id", pct.alias("adjacency_pct"))
+
+
 def adjacency(clustered: DataFrame, threshold: float) -> DataFrame:
     """One row per organoid with a cluster: sides, touching clusters and three percentages.
 
     The minority is the lineage with fewer clusters, Meso on a tie; with one side
     empty all percentages are 0.
     """
-    c = clustered.where(F.col("cluster_id") >= 0)
-    n = c.groupBy("organoid_id").agg(F.countDistinct(F.when(F.col("cell_type") == ENDO, F.col("cluster_id"))).alias("n_endo"), F.countDistinct(F.when(F.col("cell_type") == MESO, F.col("cluster_id"))).alias("n_meso")).where("n_endo + n_meso > 0")
-    touch = lineage_pairs(clustered).where(F.col("min_dist") <= threshold)
-    t = touch.groupBy("organoid_id").agg(F.count("*").alias("touching_pairs"), F.countDistinct("endo").alias("endo_touched"), F.countDistinct("meso").alias("meso_touched"))
+    n = sides(clustered)
+    t = touching(clustered, threshold).groupBy("organoid_id").agg(F.count("*").alias("touching_pairs"), F.countDistinct("endo").alias("endo_touched"), F.countDistinct("meso").alias("meso_touched"))
     m = n.join(t, "organoid_id", "left").na.fill(0, ["touching_pairs", "endo_touched", "meso_touched"])
     endo_less = F.col("n_endo") < F.col("n_meso")
     both = (F.col("n_endo") > 0) & (F.col("n_meso") > 0)
@@ -163,5 +245,3 @@ def first_n(samples: DataFrame, n: int | None, keys=("experiment", "replicate",
         return samples
     place = F.row_number().over(W.partitionBy(*keys).orderBy(number, tie))
     return samples.where(F.col(number).isNotNull()).withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
-
-

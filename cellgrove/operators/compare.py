@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import exp, factorial, log, pi
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cellgrove.functions.draws import draw
 from cellgrove.schema import ENDO, MESO
 
 
@@ -72,6 +74,26 @@ def interval95(summaries: DataFrame) -> DataFrame:
     return summaries.withColumns({"low": F.col("mean") - half, "high": F.col("mean") + half})
 
 
+#: Shares of Poisson draws of mean 1 that are at most 0, 1, 2, ... (fixed values of that distribution).
+POISSON = [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
+def bootstrap95(df: DataFrame, keys, row: str, value: str = "value", rounds: int = 1000, seed: int = 0) -> DataFrame:
+    """(keys, mean, n, low, high): the mean and the middle 95 per cent of its values over resampled rows.
+
+    A row counts as often as a Poisson draw says, which is read off a digest of
+    (seed, round, ``row``); ``row`` tells the rows of a group apart.  All rounds are one
+    aggregation, combined before the shuffle.
+    """
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(row).alias("_row"), F.col(value).alias("_v"))
+    chance = F.conv(F.substring(draw(seed, F.col("_round"), F.col("_row")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = sum(((chance >= p).cast("int") for p in POISSON[1:]), (chance >= POISSON[0]).cast("int"))
+    drawn = v.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_w", times)
+    each = drawn.groupBy(*keys, "_round").agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
+    spread = each.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return v.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.count("*").alias("n")).join(spread, list(keys))
+
+
 def quartiles(df: DataFrame, keys, value: str = "value") -> DataFrame:
     """(keys, q1, median, q3, low, high): a box, its line, and the last values within 1.5 box heights of it."""
     v = F.col(value)
@@ -134,7 +156,9 @@ def normalize(f: DataFrame, total: str = "total_cells", fractions=("pct_endo", "
 def residualize(f: DataFrame, values) -> DataFrame:
     """Takes the replicate's mean out and puts the dose's back."""
     r, d = W.partitionBy("experiment", "dox", "replicate"), W.partitionBy("experiment", "dox")
-    return f.withColumns({c: F.col(c) - F.avg(c).over(r) + F.avg(c).over(d) for c in values})
+    known = F.col("experiment").isNotNull() & F.col("dox").isNotNull() & F.col("replicate").isNotNull()
+    # a row without one of the keys is of no group, and has no value then
+    return f.withColumns({c: F.when(known, F.col(c) - F.avg(c).over(r) + F.avg(c).over(d)) for c in values})
 
 
 def impute(f: DataFrame, values) -> DataFrame:
@@ -147,7 +171,7 @@ def impute(f: DataFrame, values) -> DataFrame:
 
 def group_separation(s: DataFrame, values) -> DataFrame:
     """Share of each column's sum of squares between groups, by experiment, dose and both."""
-    rows = long(s, ["experiment", "dox"], values, "pc", "v").where("v IS NOT NULL")
+    rows = long(_keyed(s, "experiment", "dox"), ["experiment", "dox"], values, "pc", "v").where("v IS NOT NULL")
     total = rows.groupBy("pc").agg(F.avg("v").alias("m"), (F.var_samp("v") * (F.count("*") - 1)).alias("ss"), F.count("*").alias("n"), F.var_samp("v").alias("total_var"))
     out = []
     for name, keys in (("experiment", ["experiment"]), ("dox", ["dox"]), ("experiment_dox", ["experiment", "dox"])):
@@ -159,20 +183,25 @@ def group_separation(s: DataFrame, values) -> DataFrame:
 
 def dose_steps(s: DataFrame, values) -> DataFrame:
     """Distance of consecutive dose centroids of an experiment in the first two and all columns."""
-    c = s.groupBy("experiment", "dox").agg(*(F.avg(v).alias(v) for v in values))
+    c = _keyed(s, "experiment", "dox").groupBy("experiment", "dox").agg(*(F.avg(v).alias(v) for v in values))
     w = W.partitionBy("experiment").orderBy("dox")
     c = c.withColumn("next", F.lead("dox").over(w)).withColumn("step", F.row_number().over(w)).withColumns({f"n_{v}": F.lead(v).over(w) for v in values}).where("next IS NOT NULL")
     far = lambda vs: F.sqrt(sum((F.pow(F.col(f"n_{v}") - F.col(v), F.lit(2)) for v in vs[1:]), F.pow(F.col(f"n_{vs[0]}") - F.col(vs[0]), F.lit(2))))
     return c.select("experiment", "step", F.concat_ws("->", F.col("dox").cast("string"), F.col("next").cast("string")).alias("transition"), far(values[:2]).alias("dist_2d"), far(values).alias("dist_all"))
 
 
+def _keyed(df: DataFrame, *keys) -> DataFrame:
+    """Rows with all keys: a missing key forms no group."""
+    return df.na.drop(subset=list(keys))
+
+
 def step_summary(steps: DataFrame) -> DataFrame:
     return steps.groupBy("transition").agg(F.avg("dist_2d").alias("mean_2d"), F.stddev_samp("dist_2d").alias("sd_2d"), F.avg("dist_all").alias("mean_all"), F.stddev_samp("dist_all").alias("sd_all"), F.countDistinct("experiment").alias("n_experiments"))
 
 
 def kruskal(f: DataFrame, values) -> DataFrame:
     """(experiment, metric, k, h) of the tie-corrected rank test over doses with two samples or more; NULL if all are equal."""
-    rows = long(f, ["experiment", "dox"], values, "metric", "v").where("v IS NOT NULL")
+    rows = long(_keyed(f, "experiment", "dox"), ["experiment", "dox"], values, "metric", "v").where("v IS NOT NULL")
     rows = rows.withColumn("_n", F.count("*").over(W.partitionBy("experiment", "metric", "dox"))).where("_n >= 2")
     w, same = W.partitionBy("experiment", "metric"), W.partitionBy("experiment", "metric", "v")
     rows = rows.withColumn("ties", F.count("*").over(same)).withColumn("r", F.rank().over(w.orderBy("v")) + (F.col("ties") - 1) / 2)
@@ -183,18 +212,36 @@ def kruskal(f: DataFrame, values) -> DataFrame:
     return m.select("experiment", "metric", "k", h.alias("h"))
 
 
+def log_gamma_half(k):
+    """Logarithm of the gamma function at ``k`` / 2, for whole ``k`` from 1: a product from 1 or from the root of pi."""
+    first = F.when(k % 2 == 0, 0.0).otherwise(0.5 * log(pi))
+    steps = F.sequence(F.lit(1), F.greatest(F.floor((k - 1) / 2), F.lit(1)).cast("int"))
+    shift = F.when(k % 2 == 0, 0.0).otherwise(0.5)
+    return first + F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.when(i <= F.floor((k - 1) / 2), F.ln(i - shift)).otherwise(0.0))
+
+
 def chi2_tail(h, df):
-    """Upper tail of the chi-squared distribution for whole degrees of freedom, as a finite sum of built-ins (df to 40)."""
-    x = h / 2
-    even = F.exp(-x) * F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(df / 2) - 1, F.lit(1)).cast("int")), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
-                                   lambda a, i: F.struct((a["t"] * x / i).alias("t"), (a["s"] + F.when(i <= df / 2 - 1, a["t"] * x / i).otherwise(0.0)).alias("s")), lambda a: a["s"])
-    z = F.sqrt(h)
-    # the normal tail by its continued fraction or series would need erf; a fixed rational form is used
-    t = 1 / (1 + 0.3275911 * (z / 2 ** 0.5))
-    erfc = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x)
-    odd = F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(df / 2), F.lit(1)).cast("int")), F.struct((F.exp(-x) * F.sqrt(x) * 2 / (3.141592653589793 ** 0.5)).alias("t"), erfc.alias("s")),
-                      lambda a, i: F.struct((a["t"] * x / (i + 0.5)).alias("t"), (a["s"] + F.when(i <= (df - 1) / 2, a["t"]).otherwise(0.0)).alias("s")), lambda a: a["s"])
-    return F.when(df % 2 == 0, even).otherwise(odd)
+    """Upper tail of the chi-squared distribution for whole degrees of freedom, by the incomplete gamma function.
+
+    Below the mean by its series, above by its continued fraction (modified Lentz), as folds
+    that are as long as the degrees of freedom ask for.  NULL for NULL; 1 for nothing.
+    """
+    a, x = df / 2.0, h / 2.0
+    front = F.exp(a * F.ln(x) - x - log_gamma_half(df))
+    turns = F.sequence(F.lit(1), (200 + F.ceil(df)).cast("int"))
+    start = F.struct((1 / a).alias("t"), (1 / a).alias("s"))
+    series = F.aggregate(turns, start, lambda c, n: F.struct((c["t"] * x / (a + n)).alias("t"), (c["s"] + c["t"] * x / (a + n)).alias("s")), lambda c: c["s"])
+    tiny = 1e-300
+    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+    def step(c, n):
+        an, b = -n * (n - a), x + 1 - a + 2 * n
+        d, e = 1 / safe(an * c["d"] + b), safe(b + an / c["c"])
+        return F.struct(d.alias("d"), e.alias("c"), (c["v"] * d * e).alias("v"))
+
+    first = 1 / safe(x + 1 - a)
+    fraction = F.aggregate(turns, F.struct(first.alias("d"), F.lit(1 / tiny).alias("c"), first.alias("v")), step, lambda c: c["v"])
+    return F.when(h <= 0, 1.0).when(x < a + 1, F.greatest(1 - front * series, F.lit(0.0))).otherwise(front * fraction)
 
 
 def stars(p):
@@ -203,7 +250,7 @@ def stars(p):
 
 def signal_ratio(f: DataFrame, values) -> DataFrame:
     """One less the mean of the doses' variances over the whole variance; NULL where that is not positive."""
-    rows = long(f, ["experiment", "dox"], values, "metric", "v")
+    rows = long(_keyed(f, "experiment", "dox"), ["experiment", "dox"], values, "metric", "v")
     noise = rows.groupBy("experiment", "metric", "dox").agg(F.var_samp("v").alias("s")).groupBy("experiment", "metric").agg(F.avg("s").alias("noise"))
     total = rows.groupBy("experiment", "metric").agg(F.var_samp("v").alias("total"))
     return noise.join(total, ["experiment", "metric"]).select("experiment", "metric", F.when(F.col("total") > 0, 1 - F.col("noise") / F.nullif(F.col("total"), F.lit(0.0))).alias("signal"))
@@ -219,3 +266,30 @@ def minority_frequency(adjacency: DataFrame, keys=("dox",)) -> DataFrame:
     """Share of organoids in which each lineage is the minority, in per cent."""
     out = adjacency.groupBy(*keys).agg(*((100.0 * F.count_if(F.col("minority") == x) / F.count("*")).alias(x) for x in ("Endo", "Meso")))
     return long(out, keys, ["Endo", "Meso"], "lineage", "pct")
+
+
+def named_like(df: DataFrame, column: str, parts) -> DataFrame:
+    """Rows whose ``column`` holds one of ``parts`` anywhere: "0dox" is also found in "10dox" and "100dox"."""
+    return df.where(reduce(lambda a, b: a | b, (F.contains(F.col(column), F.lit(p)) for p in parts)))
+
+
+def significance(f: DataFrame, values) -> DataFrame:
+    """(experiment, metric, k, h, p, stars, signal, p_place, signal_place) of each feature.
+
+    ``p_place`` orders an experiment's features by p-value, ``signal_place`` orders
+    features by their mean signal ratio over experiments, the least first; ties by
+    name, features without a figure last.
+    """
+    k = kruskal(f, values).withColumn("p", chi2_tail(F.col("h"), F.col("k") - 1))
+    rows = k.join(signal_ratio(f, values), ["experiment", "metric"], "left")
+    mean = rows.groupBy("metric").agg(F.avg("signal").alias("_m"))
+    mean = mean.select("metric", F.row_number().over(W.orderBy(F.col("_m").asc_nulls_last(), "metric")).alias("signal_place"))  # one row for each feature
+    place = F.row_number().over(W.partitionBy("experiment").orderBy(F.col("p").asc_nulls_last(), "metric"))
+    rows = rows.withColumn("p_place", place).join(F.broadcast(mean), "metric")
+    return rows.select("experiment", "metric", "k", "h", "p", stars(F.col("p")).alias("stars"), "signal", "p_place", "signal_place")
+
+
+def axis_break(df: DataFrame, keys, value: str, limit: float, over: float = 1.2) -> DataFrame:
+    """(top_mean, top, broken): an axis that ends at ``limit`` is broken where a group's mean passes ``over`` times that."""
+    means = df.groupBy(*keys).agg(F.avg(value).alias("m"), F.max(value).alias("v"))
+    return means.agg(F.max("m").alias("top_mean"), F.max("v").alias("top")).withColumn("broken", F.coalesce(F.col("top_mean") > limit * over, F.lit(False)).cast("int"))

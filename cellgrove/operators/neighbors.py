@@ -31,9 +31,7 @@ def pairs(left: DataFrame, radius: float, right: DataFrame | None = None, keys=(
         most = right.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         method = "grid" if most >= GRID_FROM else "sample"
     need = [*keys, *axes, *keep]
-    has_place = F.lit(True)
-    for c in axes:
-        has_place = has_place & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    has_place = placed(axes)
     a = left.where(has_place).select(*(F.col(c) if c in keys else F.col(c).alias(f"a_{c}") for c in dict.fromkeys(need)))
     b = right.where(has_place).select(*(F.col(c) if c in keys else F.col(c).alias(f"b_{c}") for c in dict.fromkeys(need)))
     on = list(keys)
@@ -52,6 +50,28 @@ def pairs(left: DataFrame, radius: float, right: DataFrame | None = None, keys=(
     return joined.drop(*(g for g in on if g not in keys))
 
 
+def placed(axes: str = "xyz"):
+    """Whether a row has a finite place."""
+    out = F.lit(True)
+    for c in axes:
+        out = out & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return out
+
+
+def within(asked: DataFrame, near: DataFrame, radius: float, keys=("organoid_id",), axes: str = "xyz") -> DataFrame:
+    """The rows of ``asked`` with a row of ``near`` (keys, axes) in the same sample within ``radius``: a semi-join over grid cells of that side."""
+    side = radius if radius > 0 else 1.0
+    cell = [f"_g{c}" for c in axes]
+    a = asked.where(placed(axes)).withColumns({g: F.floor(F.col(c) / side) for g, c in zip(cell, axes)})
+    steps = F.array(*(F.struct(*(F.lit(s).alias(g) for s, g in zip(step, cell))) for step in product((-1, 0, 1), repeat=len(axes))))
+    b = near.where(placed(axes)).select(*(F.col(c).alias(f"_b{c}") for c in (*keys, *axes)), F.explode(steps).alias("_step"))
+    b = b.select("*", *((F.floor(F.col(f"_b{c}") / side) + F.col(f"_step.{g}")).alias(f"_b{g}") for g, c in zip(cell, axes))).drop("_step")
+    on = squared("", "_b", axes) <= radius * radius
+    for c in (*keys, *cell):
+        on = on & (F.col(c) == F.col(f"_b{c}"))
+    return a.join(b, on, "left_semi").drop(*cell)
+
+
 def neighbour_counts(cells: DataFrame, radii, keys=("organoid_id",), axes: str = "xyz", method: str = "auto", asked: DataFrame | None = None) -> DataFrame:
     """Per cell (of ``asked``, if given) and radius number i: k_i neighbours with itself, same_i of its type without itself, endo_i, meso_i.
 

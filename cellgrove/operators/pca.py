@@ -106,3 +106,16 @@ def prepared(f: DataFrame, features, mode: str = "raw") -> DataFrame:
     if mode == "residualized":
         f = compare.residualize(f, features)
     return compare.impute(f, features)
+
+
+def component_columns(names) -> list[str]:
+    """The columns ``pc1``, ``pc2``, ... by number, so that ``pc10`` follows ``pc9``."""
+    return sorted((n for n in names if n[:2] == "pc" and n[2:].isdigit()), key=lambda n: int(n[2:]))
+
+
+def frozen(f: DataFrame, features, targets: int, basis: str = "auto", most: int = 5) -> Space:
+    """A space that models are trained in; an error where it has fewer components than targets."""
+    space = fit(f, features, basis, max(most, targets))
+    if len(space.components) < targets:
+        raise ValueError(f"{len(space.components)} components, {targets} are needed")
+    return space

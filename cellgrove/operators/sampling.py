@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def prune(shares: DataFrame, group: str, sample: str, columns, keep: int = 3) -> DataFrame:
@@ -23,3 +24,18 @@ def prune(shares: DataFrame, group: str, sample: str, columns, keep: int = 3) ->
 
     kinds = {c: shares.schema[c].dataType.simpleString() for c in (group, sample)}
     return shares.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {sample} {kinds[sample]}, step int")
+
+
+def condition_key(name, folder):
+    """The condition that a file name begins with: its first part, or its first two where the experiment's folder names a morphogen."""
+    parts = F.split(F.replace(name, F.lit(".csv"), F.lit("")), "_")
+    both = F.contains(F.upper(folder), F.lit("BMP4")) | F.contains(F.upper(folder), F.lit("WNT"))
+    return F.array_join(F.slice(parts, 1, F.when(both, 2).otherwise(1)), "_")
+
+
+def prune_files(shares: DataFrame, columns, keep: int = 3) -> DataFrame:
+    """(experiment, replicate, condition, file, step): files to archive of shares by (experiment, replicate, file)."""
+    s = shares.withColumn("condition", condition_key(F.col("file"), F.col("experiment")))
+    s = s.withColumn("_group", F.concat_ws("\t", "experiment", "replicate", "condition"))
+    part = lambda i: F.element_at(F.split("_group", "\t"), i)
+    return prune(s, "_group", "file", columns, keep).select(part(1).alias("experiment"), part(2).alias("replicate"), part(3).alias("condition"), "file", "step")

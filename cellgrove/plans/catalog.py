@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellgrove.functions.scalar import seed_of
+from cellgrove.operators.rounds import stored
 from cellgrove.operators import autocorr, clusters, compare, features, geometry, mixing, neighbors, pca, predict, sampling
 from cellgrove.plans import fixtures as X
 from cellgrove.plans import oracles
@@ -27,6 +28,11 @@ def clustered(s, d):
     return clusters.dbscan(c, X.EPS, X.MIN_SAMPLES)
 
 
+def once(s, d):
+    """The clustered cells as a stored table, for queries that read them more than once."""
+    return stored(clustered(s, d).select("organoid_id", "cell_type", "cell_id", "x", "y", "z", "cluster_id"), "clustered")
+
+
 def meta(s, d):
     return X.samples(s, d).select(*META)
 
@@ -58,10 +64,37 @@ def model_table(s, d):
     return t.withColumn("dox_log", F.log10(F.col("dox") + 1.0)).withColumn("cn", F.when(F.col("experiment") == "exp1", 2.0).otherwise(6.0))
 
 
+HOT = ["experiment_id_exp1", "experiment_id_exp3"]
+
+
+def both_folds(t):
+    return predict.lor_folds(t).unionByName(predict.loex_folds(t))
+
+
 def ridge_rows(s, d):
     t = model_table(s, d)
-    hot = ["experiment_id_exp1", "experiment_id_exp3"]
-    return predict.predictions(t, predict.lor_folds(t).unionByName(predict.loex_folds(t)), ["dox_log", "cn", *hot], PCS, hide=hot)
+    return predict.predictions(t, both_folds(t), ["dox_log", "cn", *HOT], PCS, hide=HOT).drop("alpha")
+
+
+GRID = (0.1, 1.0, 10.0, 100.0)
+
+
+def tuning_rows(s, d):
+    """Inner errors of the linear model for each alpha and fold."""
+    t = stored(model_table(s, d))
+    return predict.tune(t, both_folds(t), ["dox_log", "cn", *HOT], PCS, "ridge_linear", GRID).withColumn("selected", F.col("selected").cast("int"))
+
+
+def tuned_rows(s, d):
+    t = stored(model_table(s, d))
+    return predict.tuned_predictions(t, both_folds(t), ["dox_log", "cn", *HOT], PCS, "ridge_linear", GRID, HOT)
+
+
+def encoded_means(s, d):
+    """Fold means of real predictions by encoding of drawn copy numbers."""
+    t = stored(predict.cn_draws(model_table(s, d), {"exp1": 2.0, "exp3": 6.0}))
+    p = predict.encoded_predictions(t, predict.lor_folds(t), PCS, models=["ridge_linear", "poly_selected", "spline"], hot=HOT)
+    return predict.fold_means(predict.metrics(p, PCS, ("fold", "model", "encoding")), ("encoding", "model", "pc"))
 
 
 def sweep(s, d, parameters=tuple((e, X.MIN_SAMPLES) for e in (3.0, 4.0, 5.0, 6.0))):
@@ -84,6 +117,12 @@ def steps(s, d):
     return compare.dose_steps(X.scores(s, d), PCS)
 
 
+def plot_union(s, d):
+    c = once(s, d)
+    shape = lambda df, metric, lineage: df.select("organoid_id", F.lit(metric).alias("metric"), lineage.alias("lineage"), F.col("distance").alias("value"))
+    return shape(clusters.inter_distance(c), "Inter", F.lit("Endo-Meso")).unionByName(shape(numbered(clusters.intra_distance(c)), "Intra", F.col("lineage")))
+
+
 def build():
     q = {}
 
@@ -118,14 +157,14 @@ def build():
     add("cluster_metrics", lambda s, d: clusters.metrics(clustered(s, d), X.MIN_SAMPLES))
     add("cluster_count_3label", lambda s, d: (lambda m: m.unionByName(m.groupBy("organoid_id").agg(F.sum("n_clusters").alias("n_clusters")).withColumn("lineage", F.lit("Total"))))(numbered(clusters.metrics(clustered(s, d), X.MIN_SAMPLES, "rows").select("organoid_id", "cell_type", "n_clusters"))))
     add("cluster_centres", lambda s, d: clusters.centres(clustered(s, d)))
-    add("intra_cluster_distance", lambda s, d: clusters.intra_distance(clustered(s, d)))
-    add("inter_cluster_distance", lambda s, d: clusters.inter_distance(clustered(s, d)))
-    add("cluster_touch_pairs", lambda s, d: clusters.lineage_pairs(clustered(s, d)).withColumn("touching", (F.col("min_dist") <= X.TOUCH).cast("long")))
-    add("centroid_separation", lambda s, d: clusters.centroid_separation(clustered(s, d)))
-    add("adjacency_metrics", lambda s, d: clusters.adjacency(clustered(s, d), X.TOUCH))
-    add("adjacency_long", lambda s, d: compare.long(clusters.adjacency(clustered(s, d), X.TOUCH), ["organoid_id"], ["minority_pct", "majority_pct", "density_pct"]))
-    add("minority_frequency", lambda s, d: compare.minority_frequency(with_meta(s, d, clusters.adjacency(clustered(s, d), X.TOUCH))))
-    add("plot_union", lambda s, d: clusters.inter_distance(clustered(s, d)).select("organoid_id", F.lit("Inter").alias("metric"), F.lit("Endo-Meso").alias("lineage"), F.col("distance").alias("value")).unionByName(numbered(clusters.intra_distance(clustered(s, d))).select("organoid_id", F.lit("Intra").alias("metric"), "lineage", F.col("distance").alias("value"))))
+    add("intra_cluster_distance", lambda s, d: clusters.intra_distance(once(s, d)))
+    add("inter_cluster_distance", lambda s, d: clusters.inter_distance(once(s, d)))
+    add("cluster_touch_pairs", lambda s, d: clusters.lineage_pairs(once(s, d)).withColumn("touching", (F.col("min_dist") <= X.TOUCH).cast("long")))
+    add("centroid_separation", lambda s, d: clusters.centroid_separation(once(s, d)))
+    add("adjacency_metrics", lambda s, d: clusters.adjacency(once(s, d), X.TOUCH))
+    add("adjacency_long", lambda s, d: compare.long(clusters.adjacency(once(s, d), X.TOUCH), ["organoid_id"], ["minority_pct", "majority_pct", "density_pct"]))
+    add("minority_frequency", lambda s, d: compare.minority_frequency(with_meta(s, d, clusters.adjacency(once(s, d), X.TOUCH))))
+    add("plot_union", plot_union)
     add("dbscan_sweep", lambda s, d: clusters.dbscan_sweep(C(s, d).where("cell_type = 2"), [(e, X.MIN_SAMPLES) for e in (3.0, 4.0, 5.0, 6.0)]).groupBy("organoid_id", "eps").agg(F.countDistinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("n_clusters")))
     add("cluster_status", lambda s, d: clusters.status(C(s, d), clustered(s, d), 2.0, 10))
     add("hull_area_2d", lambda s, d: geometry.hull_areas(C(s, d).where("cell_type IN (2, 3)")))
@@ -178,6 +217,20 @@ def build():
     add("fold_means", lambda s, d: predict.fold_means(predict.metrics(X.predicted(s, d), PCS)))
     add("loading_order", lambda s, d: pca.ordered_loadings(pca.loadings(s, space(s, d)[1]), [("composition", ["pct_endo", "pct_meso"]), ("shape", ["f3", "f1"])]))
     add("feature_errors", lambda s, d: predict.feature_error_summary(rebuilt_errors(s, d)))
+    add("random_alpha_tuning", tuning_rows)
+    add("tuned_predictions", tuned_rows)
+    add("encoded_fold_means", encoded_means)
+    add("holdout_report", lambda s, d: predict.holdout_report(X.predicted(s, d), PCS))
+    add("kruskal_p", lambda s, d: compare.kruskal(X.features(s, d), FS).select("experiment", "metric", "k", compare.chi2_tail(F.col("h"), F.col("k") - 1).alias("p")))
+    add("bootstrap_ci95", lambda s, d: compare.bootstrap95(compare.long(X.features(s, d), ["organoid_id", "experiment", "dox"], FS), ["experiment", "dox", "metric"], "organoid_id", rounds=200))
+    add("dbscan_spread", lambda s, d: clusters.dbscan(X.cells(s, d).where(F.col("cell_type").isin(2, 3)), X.EPS, X.MIN_SAMPLES, method="spread").select("organoid_id", "cell_type", "cell_id", "cluster_id"))
+    add("touched_clusters", lambda s, d: clusters.touched(once(s, d), X.TOUCH))
+    add("adjacency_pct", lambda s, d: clusters.adjacency_pct(once(s, d), X.TOUCH))
+    add("name_filter", lambda s, d: compare.named_like(X.files(s, d), "file", ["0dox", "10dox"]))
+    add("condition_key", lambda s, d: X.files(s, d).select("organoid_id", sampling.condition_key(F.col("file"), F.col("folder")).alias("condition")))
+    add("feature_significance", lambda s, d: compare.significance(X.features(s, d), FS))
+    add("axis_break", lambda s, d: compare.axis_break(X.features(s, d), ["experiment", "dox"], "f1", 20.0))
+    add("missing_experiments", lambda s, d: predict.missing(meta(s, d), ["exp1", "exp2", "exp3", "exp9"]))
     return q
 
 

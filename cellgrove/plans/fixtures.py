@@ -30,6 +30,14 @@ def samples(spark, sf_dir):
     return c.withColumn("number", F.col("organoid_id")).withColumn("condition", condition)
 
 
+def files(spark, sf_dir):
+    """A file name and a folder for each sample; doses are taken from the eight of the format."""
+    n = F.col("organoid_id")
+    dose = F.element_at(F.array(*map(F.lit, (0, 10, 25, 50, 100, 250, 500, 1000))), (n % 8 + 1).cast("int"))
+    name = F.concat(dose.cast("string"), F.lit("dox_"), F.when(n % 3 == 0, "BMP4").otherwise("GATA"), F.lit("_"), n.cast("string"), F.lit(".csv"))
+    return samples(spark, sf_dir).select("organoid_id", F.when(n % 2 == 0, "exp3_Bmp4_set").otherwise("exp1_set").alias("folder"), name.alias("file"))
+
+
 def features(spark, sf_dir):
     """A small feature table with gaps: every seventh sample lacks f2."""
     f = cells(spark, sf_dir).groupBy("organoid_id", "experiment", "replicate", "dox").agg(

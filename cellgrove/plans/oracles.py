@@ -66,6 +66,59 @@ def pooled(name: str, p: str, r: float, least: int, none: str) -> str:
     return f"{name} AS (SELECT organoid_id, {one(2, 3, 'any_value(ne)', 'any_value(nm)')} AS nms_endo, {one(3, 2, 'any_value(nm)', 'any_value(ne)')} AS nms_meso FROM tot LEFT JOIN {p} USING (organoid_id) GROUP BY organoid_id)"
 
 
+def ranked(source: str, group: str, seed: int, parts: str, row: str) -> str:
+    """Rows of ``source`` with their rank in a group by the digest of (seed, parts)."""
+    return f"SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY md5(concat_ws(':', {seed}, {parts})), {row}) AS rank FROM ({source})"
+
+
+#: Rows of the modelling table: four inputs, three targets.
+MODEL = """mt AS (SELECT organoid_id AS row_id, experiment, replicate, log10(dox + 1e0) AS u1, CASE experiment WHEN 'exp1' THEN 2e0 ELSE 6e0 END AS u2,
+ (experiment = 'exp1')::INT::DOUBLE AS u3, (experiment = 'exp3')::INT::DOUBLE AS u4, pc1, pc2, pc3 FROM an)"""
+BOTH = """fo AS MATERIALIZED (SELECT f.fold, 'LOR' AS split_type, row_id, CASE WHEN experiment || '::' || replicate = f.fold THEN 'test' ELSE 'train' END AS role FROM mt, (SELECT DISTINCT experiment || '::' || replicate AS fold FROM mt) f
+ UNION ALL SELECT f.fold, 'LOEX', row_id, CASE WHEN experiment = f.fold THEN 'test' ELSE 'train' END FROM mt, (SELECT DISTINCT experiment AS fold FROM mt) f)"""
+
+
+def ridge(models, alphas: str, steps: int, folds: str = "fo") -> list[str]:
+    """CTEs up to ``pred`` (fold, split_type, model, alpha, row_id, t, y, p): ridge models of a table of folds by Gauss-Jordan elimination.
+
+    ``alphas``: a table (fold, model, alpha).
+    """
+    from itertools import combinations_with_replacement
+
+    design = []
+    if "ridge_linear" in models:
+        design.append("SELECT fold, 'ridge_linear' AS model, row_id, role, j, [u1, u2, u3, u4][j] AS v FROM x, range(1, 5) r(j)")
+    if "poly_ridge" in models:
+        products = ", ".join("*".join(c) for d in (1, 2, 3) for c in combinations_with_replacement(("u1", "u2", "u3", "u4"), d))
+        design.append(f"SELECT fold, 'poly_ridge' AS model, row_id, role, unnest(range(1, 35)) AS j, unnest([{products}]) AS v FROM x")
+    out = [f"x AS MATERIALIZED (SELECT fold, split_type, row_id, role, u1, u2, CASE WHEN role = 'test' AND split_type = 'LOEX' THEN 0e0 ELSE u3 END AS u3, CASE WHEN role = 'test' AND split_type = 'LOEX' THEN 0e0 ELSE u4 END AS u4, pc1, pc2, pc3 FROM {folds} JOIN mt USING (row_id))"]
+    if "spline" in models:
+        knot = lambda i: f"(lo + step * ({i} - 3))"
+        out.append("""rg AS (SELECT fold, d, lo, CASE WHEN hi > lo THEN hi ELSE lo + 1 END AS hi FROM (SELECT fold, d, min([u1, u2][d]) AS lo, max([u1, u2][d]) AS hi FROM x, range(1, 3) r(d) WHERE role = 'train' GROUP BY ALL)),
+s0 AS (SELECT *, list_transform(range(0, 10), lambda i: CASE WHEN w >= hi THEN (i = 6)::INT::DOUBLE ELSE (lo + step * (i - 3) <= w AND w < lo + step * (i - 2))::INT::DOUBLE END) AS b
+ FROM (SELECT fold, row_id, role, d, lo, hi, (hi - lo) / 4 AS step, least(greatest([u1, u2][d], lo), hi) AS w FROM x JOIN rg USING (fold)))""")
+        for k in (1, 2, 3):
+            out.append(f"s{k} AS (SELECT * REPLACE (list_transform(range(0, {10 - k}), lambda i: (w - {knot('i')}) / ({k} * step) * b[i + 1] + ({knot(f'(i + {k + 1})')} - w) / ({k} * step) * b[i + 2]) AS b) FROM s{k - 1})")
+        design.append("SELECT fold, 'spline' AS model, row_id, role, (d - 1) * 6 + j AS j, b[j + 1] AS v FROM s3, range(1, 7) r(j)")
+        design.append("SELECT fold, 'spline' AS model, row_id, role, 12 + j AS j, [u3, u4][j] AS v FROM x, range(1, 3) r(j)")
+    out.append(f"de AS MATERIALIZED ({' UNION ALL '.join(design)})")
+    out.append("""me AS MATERIALIZED (SELECT fold, model, j, avg(v) AS m, CASE WHEN model <> 'spline' AND var_pop(v) > 1e-12 * avg(v * v) THEN stddev_pop(v) ELSE 1 END AS s FROM de WHERE role = 'train' GROUP BY fold, model, j),
+yt AS MATERIALIZED (SELECT fold, row_id, role, t, [pc1, pc2, pc3][t] AS y FROM x, range(1, 4) r(t)), ym AS (SELECT fold, t, avg(y) AS c FROM yt WHERE role = 'train' GROUP BY ALL),
+zt AS MATERIALIZED (SELECT de.fold, de.model, de.row_id, de.role, de.j, (v - m) / s AS z FROM de JOIN me USING (fold, model, j)),
+gr AS MATERIALIZED (SELECT a.fold, a.model, a.j AS i, b.j, sum(a.z * b.z) AS v FROM zt a JOIN zt b USING (fold, model, row_id) WHERE a.role = 'train' GROUP BY ALL
+ UNION ALL SELECT a.fold, a.model, a.j AS i, 1000 + t, sum(a.z * (y - c)) FROM zt a JOIN yt USING (fold, row_id) JOIN ym USING (fold, t) WHERE a.role = 'train' GROUP BY ALL)""")
+    out.append(f"g0 AS MATERIALIZED (SELECT fold, model, alpha, i, j, v + CASE WHEN i = j THEN alpha ELSE 0 END AS v FROM gr JOIN ({alphas}) al USING (fold, model))")
+    for k in range(1, steps + 1):
+        f = f"g{k - 1}"
+        out.append(f"""g{k} AS MATERIALIZED (SELECT a.fold, a.model, a.alpha, a.i, a.j, CASE WHEN p.v IS NULL THEN a.v WHEN a.i = {k} THEN a.v / p.v ELSE a.v - c.v * r.v / p.v END AS v FROM {f} a
+ LEFT JOIN (SELECT * FROM {f} WHERE i = {k} AND j = {k}) p ON p.fold = a.fold AND p.model = a.model AND p.alpha = a.alpha
+ LEFT JOIN (SELECT * FROM {f} WHERE i = {k}) r ON r.fold = a.fold AND r.model = a.model AND r.alpha = a.alpha AND r.j = a.j
+ LEFT JOIN (SELECT * FROM {f} WHERE j = {k}) c ON c.fold = a.fold AND c.model = a.model AND c.alpha = a.alpha AND c.i = a.i)""")
+    out.append(f"""pred AS (SELECT fold, any_value(split_type) AS split_type, model, alpha, row_id, t, any_value(y) AS y, any_value(c) + sum(z * w.v) AS p FROM zt JOIN (SELECT fold, model, alpha, i AS j, j - 1000 AS t, v FROM g{steps} WHERE j > 1000) w USING (fold, model, j)
+ JOIN yt USING (fold, row_id, t) JOIN ym USING (fold, t) JOIN (SELECT DISTINCT fold, split_type FROM x) USING (fold) WHERE zt.role = 'test' GROUP BY fold, model, alpha, row_id, t)""")
+    return out
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
 
@@ -211,4 +264,52 @@ gr{k} AS (SELECT organoid_id, i, i AS root FROM gc{k} UNION SELECT r.organoid_id
             cells_of.append(f"""SELECT o.organoid_id, {e}e0 AS eps, {m} AS min_samples, count(DISTINCT root) AS n_clusters FROM (SELECT DISTINCT organoid_id FROM p) o
  LEFT JOIN (SELECT organoid_id, i, min(root) AS root FROM gr{k} GROUP BY ALL) USING (organoid_id) GROUP BY ALL""")
     add("dbscan_grid", "organoid_id:i eps:d min_samples:i n_clusters:i", " UNION ALL ".join(cells_of), near("p", 6, "a.cell_type = 2 AND b.cell_type = 2"), *grid, recursive=True)
+    wide = "SELECT fold, split_type, model, alpha, row_id, " + ", ".join(f"max({c}) FILTER (t = {i}) AS {n}_pc{i}" for n, c in (("true", "y"), ("pred", "p")) for i in (1, 2, 3)) + " FROM pred GROUP BY ALL"
+    shape = "row_id:i " + " ".join(f"{n}_pc{i}:d" for n in ("true", "pred") for i in (1, 2, 3))
+    three = ("ridge_linear", "poly_ridge", "spline")
+    add("ridge_predictions", f"fold:s split_type:s model:s {shape}", wide, SCORE, anch, MODEL, BOTH, *ridge(three, "SELECT DISTINCT fold, model, 1e0 AS alpha FROM gr", 34))
+    grid = "SELECT DISTINCT fold, model, unnest([0.1e0, 1e0, 10e0, 100e0]) AS alpha FROM gr"
+    inner = f"""tr AS (SELECT fold, row_id, count(*) OVER (PARTITION BY fold) AS n FROM fo WHERE role = 'train'),
+fi AS MATERIALIZED (SELECT fold || '#' || i AS fold, 'INNER' AS split_type, row_id, CASE WHEN rank <= greatest(1, least(round_even(n * 0.2, 0), n - 1)) THEN 'test' ELSE 'train' END AS role
+ FROM ({ranked("SELECT fold, row_id, n, i FROM tr, range(0, 3) r(i) WHERE n >= 5", "fold, i", 42, "fold, i, row_id", "row_id")}))"""
+    errors = """er AS (SELECT fold, alpha, avg(e) AS inner_mean, coalesce(stddev_samp(e), 0) AS inner_sd FROM (SELECT regexp_replace(fold, '#[0-9]+$', '') AS fold, fold AS f, alpha, avg(e) AS e
+ FROM (SELECT fold, alpha, t, sqrt(avg((y - p) * (y - p))) AS e FROM pred GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
+tu AS MATERIALIZED (SELECT fold, alpha, inner_mean, inner_sd, (row_number() OVER (PARTITION BY fold ORDER BY inner_mean NULLS LAST, alpha) = 1)::INT AS selected
+ FROM (SELECT DISTINCT fold, unnest([0.1e0, 1e0, 10e0, 100e0]) AS alpha FROM fo WHERE role = 'train') LEFT JOIN er USING (fold, alpha))"""
+    tuning = [SCORE, anch, MODEL, BOTH, inner, *ridge(("ridge_linear",), grid, 4, "fi"), errors]
+    add("random_alpha_tuning", "fold:s model:s alpha:d inner_mean:d inner_sd:d selected:i", "SELECT *, 'ridge_linear' AS model FROM tu", *tuning)
+    again = ridge(("ridge_linear",), "SELECT fold, 'ridge_linear' AS model, alpha FROM tu WHERE selected = 1", 4)
+    add("tuned_predictions", f"fold:s split_type:s model:s alpha:d {shape}", f"WITH {', '.join(again)} {wide}", *tuning)
+    random = f"SELECT 'random_' || i AS fold, 'RANDOM' AS split_type, organoid_id AS row_id, CASE WHEN rank <= (SELECT greatest(1, round_even(count(*) * 0.2, 0)) FROM meta) THEN 'test' ELSE 'train' END AS role FROM ({ranked('SELECT organoid_id, i FROM meta, range(0, 10) r(i)', 'i', 42, 'i, organoid_id', 'organoid_id')})"
+    add("random_folds", "fold:s split_type:s row_id:i role:s", random, META)
+    moran = f"""st AS (SELECT organoid_id, avg(ch_546) AS m, stddev_pop(ch_546) AS sd, count(*) AS n FROM cells GROUP BY ALL),
+zz AS (SELECT organoid_id, cell_id, (ch_546 - m) / sd AS z FROM cells JOIN st USING (organoid_id) WHERE n >= 2 AND sd > 0),
+tn AS MATERIALIZED ({ranked("SELECT organoid_id, cell_id, z, i FROM zz, range(0, 20) r(i)", "organoid_id, i", 0, "i, cell_id", "cell_id")}),
+mv AS MATERIALIZED (SELECT p.organoid_id, p.cell_id, t.i, CASE WHEN t.i = 0 THEN p.z ELSE t.z END AS z FROM tn p JOIN tn t ON t.organoid_id = p.organoid_id AND t.rank = p.rank WHERE p.i = 0),
+nb AS MATERIALIZED (SELECT a.organoid_id, a.cell_id AS a, b.cell_id AS b, 1e0 / count(*) OVER (PARTITION BY a.organoid_id, a.cell_id) AS w FROM cells a JOIN cells b ON a.organoid_id = b.organoid_id AND a.cell_id <> b.cell_id AND {D2} <= 36),
+si AS (SELECT nb.organoid_id, x.i, sum(w * x.z * y.z) / round(sum(w)) AS s FROM nb JOIN mv x ON x.organoid_id = nb.organoid_id AND x.cell_id = a JOIN mv y ON y.organoid_id = nb.organoid_id AND y.cell_id = b AND y.i = x.i GROUP BY ALL),
+ob AS (SELECT organoid_id, s AS o FROM si WHERE i = 0),
+pv AS (SELECT organoid_id, any_value(o) AS morans_i, count(*) FILTER (s >= o - 1e-9) AS above FROM si JOIN ob USING (organoid_id) WHERE i > 0 GROUP BY ALL)"""
+    add("morans_p", "organoid_id:i morans_i:d p_sim:d", "SELECT st.organoid_id, morans_i, (least(above, 19 - above) + 1) / 20e0 AS p_sim FROM st LEFT JOIN pv USING (organoid_id)", moran)
+    # the lower part of the distribution as a series of its own, term by term through log gamma
+    tail = "CASE WHEN h <= 0 THEN 1 ELSE 1 - list_sum(list_transform(range(0, 400), lambda n: exp(((k - 1) / 2e0 + n) * ln(h / 2) - h / 2 - lgamma((k - 1) / 2e0 + n + 1)))) END"
+    add("kruskal_p", "experiment:s metric:s k:i p:d", f"SELECT experiment, metric, k, {tail} AS p FROM kw", *kw)
+    add("significance_stars", "experiment:s metric:s stars:s", f"SELECT experiment, metric, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM (SELECT *, {tail} AS p FROM kw)", *kw)
+    times = " + ".join(f"(u >= {p!r})::INT" for p in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402, 0.9999998885745216, 0.9999999899522336, 0.9999999991683892))
+    boot = f"""bt AS (SELECT experiment, dox, metric, i, sum(w * v) / nullif(sum(w), 0) AS m FROM (SELECT *, {times} AS w FROM (SELECT experiment, dox, metric, v, i, ('0x' || substr(md5(concat_ws(':', 0, i, organoid_id)), 1, 8))::BIGINT / 4294967296e0 AS u FROM fl, range(1, 201) r(i) WHERE v IS NOT NULL)) GROUP BY ALL),
+bq AS (SELECT experiment, dox, metric, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bt GROUP BY ALL)"""
+    add("bootstrap_ci95", "experiment:s dox:i metric:s mean:d n:i low:d high:d", "SELECT experiment, dox, metric, avg(v) AS mean, count(v) AS n, any_value(low) AS low, any_value(high) AS high FROM fl JOIN bq USING (experiment, dox, metric) GROUP BY ALL", FEAT, FLONG, boot)
+    q["dbscan_spread"] = q["dbscan_clusters"]
+    near_other = f"EXISTS (SELECT 1 FROM cl b WHERE b.cluster_id >= 0 AND b.organoid_id = a.organoid_id AND b.cell_type <> a.cell_type AND {D2} <= 36)"
+    addc("touched_clusters", "organoid_id:i cell_type:d cluster_id:i", f"SELECT DISTINCT organoid_id, cell_type, cluster_id FROM cl a WHERE cluster_id >= 0 AND {near_other}")
+    addc("adjacency_pct", "organoid_id:i adjacency_pct:d", f"""SELECT organoid_id, 100e0 * CASE WHEN ne < nm THEN te / ne ELSE tm / nm END AS adjacency_pct FROM (SELECT organoid_id, count(*) FILTER (cell_type = 2)::DOUBLE AS ne, count(*) FILTER (cell_type = 3)::DOUBLE AS nm, count(*) FILTER (cell_type = 2 AND hit) AS te, count(*) FILTER (cell_type = 3 AND hit) AS tm
+ FROM (SELECT organoid_id, cell_type, cluster_id, bool_or({near_other}) AS hit FROM cl a WHERE cluster_id >= 0 GROUP BY ALL) GROUP BY ALL) WHERE ne > 0 AND nm > 0""")
+    files = "fn AS (SELECT organoid_id, CASE WHEN organoid_id % 2 = 0 THEN 'exp3_Bmp4_set' ELSE 'exp1_set' END AS folder, [0, 10, 25, 50, 100, 250, 500, 1000][organoid_id % 8 + 1]::VARCHAR || 'dox_' || CASE WHEN organoid_id % 3 = 0 THEN 'BMP4' ELSE 'GATA' END || '_' || organoid_id::VARCHAR || '.csv' AS file FROM meta)"
+    add("name_filter", "organoid_id:i folder:s file:s", "SELECT * FROM fn WHERE file LIKE '%0dox%' OR file LIKE '%10dox%'", META, files)
+    add("condition_key", "organoid_id:i condition:s", "SELECT organoid_id, array_to_string(string_split(replace(file, '.csv', ''), '_')[1:CASE WHEN upper(folder) LIKE '%BMP4%' OR upper(folder) LIKE '%WNT%' THEN 2 ELSE 1 END], '_') AS condition FROM fn", META, files)
+    signal = "sg AS (SELECT experiment, metric, CASE WHEN t > 0 THEN 1 - nz / t END AS signal FROM (SELECT experiment, metric, avg(s) AS nz FROM (SELECT experiment, metric, dox, var_samp(v) AS s FROM fl GROUP BY ALL) GROUP BY ALL) JOIN (SELECT experiment, metric, var_samp(v) AS t FROM fl GROUP BY ALL) USING (experiment, metric))"
+    add("feature_significance", "experiment:s metric:s k:i h:d p:d stars:s signal:d p_place:i signal_place:i", f"""SELECT *, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars, row_number() OVER (PARTITION BY experiment ORDER BY p NULLS LAST, metric) AS p_place,
+ dense_rank() OVER (ORDER BY ms NULLS LAST, metric) AS signal_place FROM (SELECT *, {tail} AS p, avg(signal) OVER (PARTITION BY metric) AS ms FROM kw LEFT JOIN sg USING (experiment, metric))""", *kw, signal)
+    add("axis_break", "top_mean:d top:d broken:i", "SELECT max(m) AS top_mean, max(v) AS top, (max(m) > 24)::INT AS broken FROM (SELECT avg(f1) AS m, max(f1) AS v FROM feat GROUP BY experiment, dox)", FEAT)
+    add("missing_experiments", "experiment:s", "SELECT unnest(['exp1', 'exp2', 'exp3', 'exp9']) AS experiment EXCEPT SELECT experiment FROM meta", META)
     return q

@@ -1,29 +1,18 @@
-"""Cell tables from folders of CSV files, one file per sample.
+"""Cell tables from folders of CSV files, one file per sample; keys come from the path.
 
-Spark binds CSV columns to an explicit schema by place, so files are grouped by
-their header line first; each group is read once, as text, and its columns are
-found by name.  Keys come from the path.
+Files are read by the ``cellfiles`` data source: each is opened once, by one task,
+and its columns are found by its own header.
 """
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-AXES = {"x": ("X", "Global X", "Position X"), "y": ("Y", "Global Y", "Position Y"), "z": ("Z", "Global Z", "Position Z")}
-TYPE_NAMES = ("cell_type_dapi_adjusted", "cell_type_dapi_adusted")
-CHANNELS = {"ch_546": "log1p_normed_546", "ch_647": "log1p_normed_647"}
-
-
-def column_for(header: list[str], names, contains: str | None = None) -> str | None:
-    """The first of ``names`` in the header, else the first column whose name contains ``contains``."""
-    for n in names:
-        if n in header:
-            return n
-    return next((h for h in header if contains and contains in h.lower()), None)
+from cellgrove.sources.cell_files import AXES, CHANNELS, TYPE_NAMES, CellFiles  # noqa: F401
 
 
 def path_keys(path) -> dict:
@@ -35,75 +24,95 @@ def path_keys(path) -> dict:
         "file": name,
         "replicate": F.element_at(F.split(path, "/"), -2),
         "dox": empty(F.regexp_extract(name, r"(\d+)dox", 1)).cast("int"),
-        "leading_dox": F.when(F.element_at(F.split(name, "dox"), 1).rlike(r"^\s*[+-]?\d+\s*$"), F.element_at(F.split(name, "dox"), 1)).cast("int"),
+        "leading_dox": F.when(F.element_at(F.split(name, "dox"), 1).rlike(r"^\s*[+-]?\d+\s*$"), F.trim(F.element_at(F.split(name, "dox"), 1))).cast("int"),
         "number": empty(F.regexp_extract(name, r"_(\d+)\.csv$", 1)).cast("int"),
         "condition": F.when(condition != "", condition).otherwise("BASAL"),
     }
 
 
-def manifest(spark: SparkSession, folder: str, glob: str = "*.csv", skip: str = "/_archive/") -> DataFrame:
-    """(path, header and the keys of the path) of every file below ``folder``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
-    path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
-    head = F.regexp_replace(F.split(F.decode(F.substring("content", 1, 1 << 16), "UTF-8"), "\n").getItem(0), "[\\r\\ufeff]", "")
-    return files.where(~F.contains(path, F.lit(skip))).select(path.alias("path"), head.alias("header")).withColumns(path_keys(F.col("path")))
+def _load(spark: SparkSession, folder: str | None, content: str, **options) -> DataFrame:
+    spark.dataSource.register(CellFiles)
+    r = spark.read.format("cellfiles").option("content", content)
+    for k, v in options.items():
+        if v is not None:
+            r = r.option(k, v)
+    return r.load(folder) if folder else r.load()
 
 
-def read_cells(spark: SparkSession, folder: str, experiment: str, first_n: int | None = None, default_dose: int | None = None) -> DataFrame:
-    """One row per cell with a full place; ``first_n`` keeps the samples of least number by replicate, dose and condition.
+def manifest(spark: SparkSession, folder: str, glob: str = "*.csv", content: str = "listing", discover: str | None = None, recursive: bool = True) -> DataFrame:
+    """(path, relative, header, problem and the keys of the path) of every file below ``folder``.
 
-    NaN and text that is no number read as NULL.  Files without coordinates or cell
-    type columns give no rows (see ``rejected``).
+    ``content`` of ``listing`` opens no file; ``headers`` reads first lines.
+    ``discover`` keeps files that lie directly in directories of such a name, and
+    ``experiment`` is then the directory above.
     """
-    files = manifest(spark, folder).withColumn("dox", F.coalesce("dox", F.lit(default_dose)) if default_dose is not None else F.col("dox"))
-    if first_n and first_n > 0:
-        place = F.row_number().over(W.partitionBy("replicate", "dox", "condition").orderBy("number", "path"))
-        files = files.where("number IS NOT NULL AND dox IS NOT NULL").withColumn("_p", place).where(F.col("_p") <= first_n).drop("_p")
-    found = files.select("path", "header").collect()  # the file list, as any listing holds it
-    groups: dict[str, list[str]] = {}
-    for r in found:
-        groups.setdefault(r["header"], []).append(r["path"])
-    parts = []
-    for header, paths in groups.items():
-        names = [n.strip().strip('"') for n in header.split(",")]
-        where = {a: column_for(names, options) for a, options in AXES.items()}
-        kind = column_for(names, TYPE_NAMES, "cell_type")
-        if None in where.values() or kind is None:
-            continue
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(paths)
-        def number(name):
-            v = F.expr(f"try_cast(c{names.index(name)} AS DOUBLE)")
-            return F.when(~F.isnan(v), v)
-        cols = [number(c).alias(a) for a, c in where.items()] + [number(kind).alias("cell_type")]
-        cols += [(number(c) if c in names else F.lit(None).cast("double")).alias(a) for a, c in CHANNELS.items()]
-        parts.append(raw.select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.monotonically_increasing_id().alias("_row"), *cols))
-    if not parts:
-        raise ValueError(f"no readable cell table below {folder}")
-    cells = reduce(DataFrame.unionByName, parts).withColumns(path_keys(F.col("path")))
-    cells = cells.withColumn("dox", F.coalesce("dox", F.lit(default_dose)) if default_dose is not None else F.col("dox"))
-    cells = cells.withColumn("experiment", F.lit(experiment)).withColumn("organoid_id", F.concat_ws("/", "experiment", "replicate", "file"))
-    cells = cells.withColumn("cell_id", F.row_number().over(W.partitionBy("organoid_id").orderBy("_row")).cast("long"))
+    files = _load(spark, folder, content, glob=glob, discover=discover, recursive=str(recursive).lower())
+    out = files.select("path", "relative", "header", "problem").withColumns(path_keys(F.col("path")))
+    return out.withColumn("experiment", F.element_at(F.split("path", "/"), -3)) if discover else out
+
+
+def _shaped(files: DataFrame, experiment, default_dose: int | None, dose_rule: str) -> DataFrame:
+    cells = files.where("problem IS NULL").withColumns(path_keys(F.col("path")))
+    parsed = F.col("leading_dox" if dose_rule == "leading" else "dox")
+    cells = cells.withColumn("dox", F.coalesce("dose", parsed, F.lit(default_dose).cast("int")))
+    if dose_rule == "leading":
+        cells = cells.where("dox IS NOT NULL")
+    cells = cells.withColumn("experiment", experiment).withColumn("organoid_id", F.concat_ws("/", "experiment", "relative"))
     return cells.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").select(
-        "cell_id", "organoid_id", "experiment", "replicate", "dox", "condition", "number", "x", "y", "z", "cell_type", *CHANNELS)
+        (F.col("row") + 1).alias("cell_id"), "organoid_id", "experiment", "replicate", "dox", "condition", "number", "x", "y", "z", "cell_type", *CHANNELS)
 
 
-def rejected(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, reason) of files that ``read_cells`` gives no rows for."""
-    m = manifest(spark, folder).withColumn("names", F.transform(F.split("header", ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit("")))))
-    place = F.lit(True)
-    for options in AXES.values():
-        place = place & F.arrays_overlap("names", F.array(*map(F.lit, options)))
-    kind = F.exists("names", lambda x: F.contains(F.lower(x), F.lit("cell_type"))) | F.arrays_overlap("names", F.array(*map(F.lit, TYPE_NAMES)))
-    return m.select("path", F.when(~place, "no coordinates").when(~kind, "no cell type").alias("reason")).where("reason IS NOT NULL")
+def read_cells(spark: SparkSession, folder: str, experiment: str, first_n: int | None = None, default_dose: int | None = None, glob: str = "*.csv", recursive: bool = True, dose_rule: str = "anywhere") -> DataFrame:
+    """One row per cell with a full place; ``first_n`` keeps the samples of least number by replicate, dose and condition.
+
+    A sample is named by the experiment and its path below the folder, so equal file
+    names in two places stay apart.  ``dose_rule``: ``anywhere`` takes the number
+    before "dox" wherever it stands in the name; ``leading`` takes names that begin
+    with it and leaves the other files out.  Values that are no finite number read as
+    NULL.  Files that cannot be used give no rows (see ``rejected``).
+    """
+    if dose_rule not in ("anywhere", "leading"):
+        raise ValueError(f"unknown dose rule {dose_rule}")
+    options = {"glob": glob, "recursive": str(recursive).lower()}
+    if first_n and first_n > 0:
+        files = manifest(spark, folder, glob, recursive=recursive)
+        dose = F.coalesce("dox", F.lit(default_dose).cast("int"))
+        place = F.row_number().over(W.partitionBy("replicate", dose, "condition").orderBy("number", "path"))
+        kept = files.where(F.col("number").isNotNull() & dose.isNotNull()).withColumn("_p", place).where(F.col("_p") <= first_n)
+        # the chosen part of the file list, which the driver lists anyway; only these files are opened
+        chosen = [r["path"] for r in kept.select("path").collect()]
+        if not chosen:
+            raise ValueError(f"no file below {folder} has a number and a dose")
+        files = _load(spark, folder, "cells", files=json.dumps(dict.fromkeys(chosen)))
+    else:
+        files = _load(spark, folder, "cells", **options)
+    return _shaped(files, F.lit(experiment), default_dose, dose_rule)
+
+
+def discover(spark: SparkSession, folder: str, pattern: str = "*Rep*", glob: str = "*.csv") -> DataFrame:
+    """Cells of all files that lie directly in directories whose name fits ``pattern``, at any depth; the directory above is the experiment."""
+    files = _load(spark, folder, "cells", glob=glob, discover=pattern)
+    return _shaped(files, F.element_at(F.split("path", "/"), -3), None, "anywhere")
 
 
 def read_files(spark: SparkSession, doses: dict[str, int], experiment: str) -> DataFrame:
-    """Cells of an explicit map of file to dose."""
-    table = spark.createDataFrame([(p.rsplit("/", 1)[-1], d) for p, d in doses.items()], "file string, dose int")
-    folders = sorted({p.rsplit("/", 1)[0] for p in doses})
-    cells = reduce(DataFrame.unionByName, [read_cells(spark, f, experiment) for f in folders])
-    return cells.withColumn("file", F.element_at(F.split("organoid_id", "/"), -1)).join(F.broadcast(table), "file").withColumn("dox", F.col("dose")).drop("dose", "file")
+    """Cells of an explicit map of path to dose."""
+    return _shaped(_load(spark, None, "cells", files=json.dumps(doses)), F.lit(experiment), None, "anywhere")
+
+
+def read_pattern(spark: SparkSession, folder: str, experiment: str, pattern: str, doses: Iterable[int], replicates: Iterable[str]) -> DataFrame:
+    """Cells of the files ``replicate/pattern`` for each replicate and dose; ``{dox}`` in the pattern stands for the dose."""
+    from fnmatch import fnmatchcase
+
+    listed = [r["path"] for r in manifest(spark, folder).select("path").collect()]
+    below = lambda p: p.split("/")[-2:]
+    chosen = {p: d for d in doses for p in listed if below(p)[0] in set(replicates) and fnmatchcase(below(p)[1], pattern.replace("{dox}", str(d)))}
+    return read_files(spark, chosen, experiment)
+
+
+def rejected(spark: SparkSession, folder: str, glob: str = "*.csv", content: str = "cells") -> DataFrame:
+    """(path, reason) of files that ``read_cells`` gives no rows for; ``content`` of ``headers`` judges them by their first lines only."""
+    return _load(spark, folder, content, glob=glob).where("problem IS NOT NULL").select("path", F.col("problem").alias("reason"))
 
 
 def land(cells: DataFrame, path: str) -> None:

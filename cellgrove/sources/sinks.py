@@ -19,9 +19,19 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", single: bool =
     return path
 
 
-def write_new(tables: dict[str, DataFrame], folder: str, only=None, kind: str = "csv") -> list[str]:
-    """The chosen tables below a folder."""
-    return [write_table(df, f"{folder}/{name}", kind, True) for name, df in tables.items() if only is None or name in only]
+def exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_new(tables: dict[str, DataFrame], folder: str, only=None, kind: str = "csv", append_only: bool = False) -> list[str]:
+    """The chosen tables below a folder; with ``append_only`` only those that are not there yet, and nothing is overwritten."""
+    out = []
+    for name, df in tables.items():
+        path = f"{folder}/{name}"
+        if (only is None or name in only) and not (append_only and exists(df.sparkSession, path)):
+            out.append(write_table(df, path, kind, True))
+    return out
 
 
 def write_manifest(folder: str, facts: dict) -> str:
