@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 
@@ -15,12 +14,13 @@ def fnv1a(text: str) -> int:
 
 
 def seed_of(column, base: int = 42):
-    """FNV-1a of a string column plus a base, modulo 2**32."""
-    @F.pandas_udf("long")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else (fnv1a(x) + base) % (1 << 32)).astype("Int64")
-
-    return run(column)
+    """FNV-1a of a string column plus a base, modulo 2**32: a fold over its bytes."""
+    data = F.encode(column, "UTF-8")
+    at = F.sequence(F.lit(1), F.octet_length(data))
+    byte = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long")
+    h = F.aggregate(at, F.lit(2166136261).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * F.lit(16777619)) % F.lit(1 << 32))
+    h = F.when(F.octet_length(data) > 0, h).otherwise(F.lit(2166136261).cast("long"))
+    return (h + base) % F.lit(1 << 32)
 
 
 def bspline(x: np.ndarray, low: float, high: float, knots: int = 5, degree: int = 3) -> np.ndarray:

@@ -237,10 +237,11 @@ kw AS (SELECT experiment, metric, count(*) AS k, (12 / (sum(n)::DOUBLE * (sum(n)
     by_fold = " UNION ALL ".join(f"SELECT fold, 'stand_in' AS model, 'pc{i}' AS pc, count(*) AS n, CASE WHEN count(*) >= 2 AND var_pop(pc{i}) > 0 THEN 1 - sum((pc{i}-p{i})*(pc{i}-p{i})) / (var_pop(pc{i}) * count(*)) END AS r2, sqrt(sum((pc{i}-p{i})*(pc{i}-p{i})) / count(*)) AS rmse, avg(abs(pc{i}-p{i})) AS mae FROM pr GROUP BY fold" for i in (1, 2, 3))
     add("regression_metrics", "fold:s model:s pc:s n:i r2:d rmse:d mae:d", by_fold, SCORE, PRED)
     add("fold_means", "model:s pc:s n_folds:i r2:d rmse:d mae:d", f"SELECT model, pc, count(*) AS n_folds, avg(r2) AS r2, avg(rmse) AS rmse, avg(mae) AS mae FROM ({by_fold}) GROUP BY ALL", SCORE, PRED)
-    add("trajectory_metrics", "model:s experiment:s n_doses:i path_error:d endpoint_error:d angle:d", "SELECT 'stand_in' AS model, experiment, count(*) AS n_doses, avg(d) AS path_error, max_by(d, dox) AS endpoint_error, avg(CASE WHEN na > 1e-12 AND nb > 1e-12 THEN degrees(acos(greatest(-1, least(1, dot / (na * nb))))) END) AS angle FROM s2 GROUP BY experiment HAVING count(*) >= 2", SCORE, PRED,
-        """c AS (SELECT experiment, dox, avg(pc1) a1, avg(pc2) a2, avg(pc3) a3, avg(p1) b1, avg(p2) b2, avg(p3) b3 FROM pr GROUP BY ALL),
+    path = "SELECT 'stand_in' AS model, experiment, count(*) AS n_doses, avg(d) AS path_error, max_by(d, dox) AS endpoint_error, avg(CASE WHEN na > 1e-12 AND nb > 1e-12 THEN degrees(acos(greatest(-1, least(1, dot / (na * nb))))) END) AS angle FROM s2 GROUP BY experiment HAVING count(*) >= 2"
+    moved = ["""c AS (SELECT experiment, dox, avg(pc1) a1, avg(pc2) a2, avg(pc3) a3, avg(p1) b1, avg(p2) b2, avg(p3) b3 FROM pr GROUP BY ALL),
 s1 AS (SELECT experiment, dox, sqrt((a1-b1)*(a1-b1)+(a2-b2)*(a2-b2)+(a3-b3)*(a3-b3)) AS d, lead(a1) OVER w - a1 AS u1, lead(a2) OVER w - a2 AS u2, lead(a3) OVER w - a3 AS u3, lead(b1) OVER w - b1 AS v1, lead(b2) OVER w - b2 AS v2, lead(b3) OVER w - b3 AS v3 FROM c WINDOW w AS (PARTITION BY experiment ORDER BY dox)),
-s2 AS (SELECT *, sqrt(u1*u1+u2*u2+u3*u3) AS na, sqrt(v1*v1+v2*v2+v3*v3) AS nb, u1*v1+u2*v2+u3*v3 AS dot FROM s1)""")
+s2 AS (SELECT *, sqrt(u1*u1+u2*u2+u3*u3) AS na, sqrt(v1*v1+v2*v2+v3*v3) AS nb, u1*v1+u2*v2+u3*v3 AS dot FROM s1)"""]
+    add("trajectory_metrics", "model:s experiment:s n_doses:i path_error:d endpoint_error:d angle:d", path, SCORE, PRED, *moved)
     add("error_summary", "experiment:s dox:i mae:d rmse:d n:i", "SELECT experiment, dox, avg(abs(pc1 - p1)) AS mae, sqrt(avg((pc1-p1)*(pc1-p1))) AS rmse, count(*) AS n FROM pr GROUP BY ALL", SCORE, PRED)
     add("dose_filter", "organoid_id:i experiment:s replicate:s dox:i", "SELECT * FROM meta WHERE dox IN (0, 100, 1000)", META)
     add("condition_order", "condition:s place:i n:i", """SELECT condition, CASE condition WHEN 'BMP4' THEN 2 WHEN 'WNT5A' THEN 3 ELSE 5 END AS place, count(*) AS n
@@ -312,4 +313,55 @@ bq AS (SELECT experiment, dox, metric, quantile_cont(m, 0.025) AS low, quantile_
  dense_rank() OVER (ORDER BY ms NULLS LAST, metric) AS signal_place FROM (SELECT *, {tail} AS p, avg(signal) OVER (PARTITION BY metric) AS ms FROM kw LEFT JOIN sg USING (experiment, metric))""", *kw, signal)
     add("axis_break", "top_mean:d top:d broken:i", "SELECT max(m) AS top_mean, max(v) AS top, (max(m) > 24)::INT AS broken FROM (SELECT avg(f1) AS m, max(f1) AS v FROM feat GROUP BY experiment, dox)", FEAT)
     add("missing_experiments", "experiment:s", "SELECT unnest(['exp1', 'exp2', 'exp3', 'exp9']) AS experiment EXCEPT SELECT experiment FROM meta", META)
+    whole = by_fold.replace("SELECT fold, ", "SELECT ").replace("'stand_in' AS model", "'stand_in' AS model, any_value(fold) AS f").replace(" GROUP BY fold", "")
+    report = f"SELECT model, pc, r2, rmse, mae, NULL::DOUBLE AS angle FROM ({whole}) UNION ALL SELECT model, 'TRAJECTORY', NULL, avg(path_error), avg(endpoint_error), avg(angle) FROM ({path}) GROUP BY model"
+    add("holdout_report", "model:s pc:s r2:d rmse:d mae:d angle:d", report, SCORE, PRED, *moved)
+    fnv = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(length(n)), lambda i: ascii(n[i + 1])::BIGINT)), lambda h, b: xor(h, b) * 16777619 % 4294967296)"
+    q["fnv1a_seed"] = f"WITH {CELLS}, {META} SELECT organoid_id::BIGINT AS organoid_id, (({fnv} + 42) % 4294967296)::BIGINT AS seed FROM (SELECT organoid_id, 'organoid_' || organoid_id::VARCHAR AS n FROM meta)"
+    # slabs: upper and lower chains of the hull, as edges that no point of theirs is beyond
+    edge = lambda p, sign: f"(SELECT organoid_id, zc, sum((bx - ax) * (ay + by_) / 2) AS s FROM (SELECT a.organoid_id, a.zc, a.x AS ax, a.{p} AS ay, b.x AS bx, b.{p} AS by_ FROM col a JOIN col b ON a.organoid_id = b.organoid_id AND a.zc = b.zc AND a.x < b.x JOIN col c ON c.organoid_id = a.organoid_id AND c.zc = a.zc GROUP BY ALL HAVING min({sign} * ((b.x - a.x) * (c.{p} - a.{p}) - (b.{p} - a.{p}) * (c.x - a.x))) >= 0) GROUP BY ALL)"
+    slabs = f"""ln AS (SELECT organoid_id, x, y, z FROM cells WHERE cell_type IN (2, 3)), zs AS (SELECT DISTINCT organoid_id, z AS zc FROM ln),
+col AS MATERIALIZED (SELECT ln.organoid_id, zc, x, min(y) AS lo, max(y) AS hi FROM ln JOIN zs ON zs.organoid_id = ln.organoid_id AND z BETWEEN zc - 5 AND zc + 5 GROUP BY ALL),
+sa AS (SELECT organoid_id, zc, u.s - l.s AS area FROM {edge('hi', '-1')} u JOIN {edge('lo', '1')} l USING (organoid_id, zc))"""
+    add("max_biopsy_area", "organoid_id:i z_center:d area:d", "SELECT organoid_id, zc AS z_center, area FROM (SELECT *, row_number() OVER (PARTITION BY organoid_id ORDER BY area DESC, zc) AS r FROM sa WHERE area > 1e-9) WHERE r = 1", slabs)
+    # the sample whose removal leaves the least mean variance goes, round by round
+    without = lambda c: f"((sum({c} * {c}) OVER w - {c} * {c}) - pow(sum({c}) OVER w - {c}, 2) / (count(*) OVER w - 1)) / (count(*) OVER w - 2)"
+    prune = f"""rd AS (SELECT 0 AS step, experiment || '_' || dox::VARCHAR AS g, organoid_id, pct_endo, pct_meso FROM feat
+ UNION ALL SELECT step + 1, g, organoid_id, pct_endo, pct_meso FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY v, organoid_id) AS r FROM (
+  SELECT *, ({without('pct_endo')} + {without('pct_meso')}) / 2 AS v, count(*) OVER w AS n FROM rd WINDOW w AS (PARTITION BY g)) WHERE n > 3) WHERE r > 1),
+la AS (SELECT g, organoid_id, max(step) AS last FROM rd GROUP BY ALL)"""
+    q["prune_samples"] = f"WITH RECURSIVE {CELLS}, {FEAT}, {prune} SELECT g AS \"group\", organoid_id::BIGINT AS organoid_id, (last + 1)::BIGINT AS step FROM la WHERE last < (SELECT max(last) FROM la b WHERE b.g = la.g)"
+    names = ["total_cells", "pct_endo", "pct_meso", "f1", "f2", "f3"]
+    raw = [f"{c} - avg({c}) OVER (PARTITION BY experiment, dox, replicate) + avg({c}) OVER (PARTITION BY experiment, dox) AS {c}" for c in names]
+    near_dose = [f"coalesce({c}, median({c}) OVER (PARTITION BY experiment, dox)) AS {c}" for c in names]
+    rest = [f"coalesce({c}, (SELECT median({c}) FROM p2)) AS {c}" for c in names]
+    keys = "organoid_id, experiment, replicate, dox"
+    listed = "[" + ", ".join(names) + "]"
+    product = "list_transform(range(36), lambda i: list_sum(list_transform(range(6), lambda k: m[6 * (i // 6) + k + 1] * m[6 * k + i % 6 + 1])))"
+    trace = lambda m: " + ".join(f"{m}[{7 * i + 1}]" for i in range(6))
+    pca = [FEAT, f"""p0 AS (SELECT {keys}, total_cells / (max(total_cells) OVER ())::DOUBLE AS total_cells, greatest(0, least(1, pct_endo)) AS pct_endo, greatest(0, least(1, pct_meso)) AS pct_meso, f1, f2, f3 FROM feat),
+p1 AS (SELECT {keys}, {', '.join(raw)} FROM p0), p2 AS (SELECT {keys}, {', '.join(near_dose)} FROM p1), p3 AS MATERIALIZED (SELECT {keys}, {', '.join(rest)} FROM p2),
+ce AS (SELECT unnest(range(1, 7)) AS j, unnest({listed}) AS v, experiment, dox FROM (SELECT experiment, dox, {', '.join(f'avg({c}) AS {c}' for c in names)} FROM p3 GROUP BY ALL)),
+ms AS MATERIALIZED (SELECT j, avg(v) AS m, coalesce(nullif(stddev_pop(v), 0), 1) AS s, count(*) AS n FROM ce GROUP BY j),
+zc AS (SELECT experiment, dox, j, (v - m) / s AS z, n FROM ce JOIN ms USING (j)),
+d1 AS MATERIALIZED (SELECT list(v ORDER BY i, j) AS d FROM (SELECT a.j AS i, b.j, sum(a.z * b.z) / (any_value(a.n) - 1) AS v FROM zc a JOIN zc b USING (experiment, dox) GROUP BY a.j, b.j))"""]
+    for c in range(1, 6):  # the matrix, squared until it is the projector on its first axis; then without that axis
+        pca.append(f"""w{c} AS (SELECT 0 AS k, list_transform(d, lambda x: x / ({trace('d')})) AS m FROM d{c} UNION ALL SELECT k + 1, list_transform(m, lambda x: x / ({trace('m')})) AS m FROM (SELECT k, {product} AS m FROM w{c} WHERE k < 44)),
+e{c} AS MATERIALIZED (SELECT m, d, list_sum(list_transform(range(1, 37), lambda i: m[i] * d[i])) AS value, list_transform(range(6), lambda i: m[7 * i + 1]) AS g FROM w{c}, d{c} WHERE k = 44),
+d{c + 1} AS MATERIALIZED (SELECT list_transform(range(1, 37), lambda i: d[i] - value * m[i]) AS d FROM e{c})""")
+    pca.append("ev AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {c} AS c, value, list_transform(range(6), lambda i: m[6 * (list_position(g, list_max(g)) - 1) + i + 1] / sqrt(list_max(g))) AS v FROM e{c}" for c in range(1, 6)) + "), tr AS (SELECT " + trace("d") + " AS t FROM d1)")
+    pca.append(f"""lo AS MATERIALIZED (SELECT *, {names}[j] AS feature FROM (SELECT c, unnest(range(1, 7)) AS j, unnest(v) AS loading FROM ev)),
+pl AS (SELECT {keys}, unnest(range(1, 7)) AS j, unnest({listed}) AS x FROM p3),
+sr AS MATERIALIZED (SELECT {keys}, c, sum((x - m) / s * loading) AS y FROM pl JOIN ms USING (j) JOIN lo USING (j) GROUP BY ALL),
+bk AS MATERIALIZED (SELECT organoid_id, j, any_value(feature) AS feature, sum(y * loading) * any_value(s) + any_value(m) AS x FROM sr JOIN lo USING (c) JOIN ms USING (j) GROUP BY organoid_id, j)""")
+    col = lambda src, key, names_: ", ".join(f"max({src}) FILTER ({key} = {i}) AS {x}" for i, x in enumerate(names_, 1))
+    fives = [f"pc{i}" for i in range(1, 6)]
+    add("pca_scores", "organoid_id:i experiment:s replicate:s dox:i " + " ".join(f"{x}:d" for x in fives), f"SELECT {keys}, {col('y', 'c', fives)} FROM sr GROUP BY ALL", *pca, recursive=True)
+    add("pca_variance", "pc:s ratio:d cumulative:d", "SELECT 'pc' || c AS pc, value / t AS ratio, sum(value / t) OVER (ORDER BY c) AS cumulative FROM ev, tr", *pca, recursive=True)
+    add("pca_loadings", "feature:s pc:s loading:d", "SELECT feature, 'pc' || c AS pc, loading FROM lo", *pca, recursive=True)
+    add("top_loadings", "feature:s pc:s loading:d place:i", "SELECT * FROM (SELECT feature, 'pc' || c AS pc, loading, row_number() OVER (PARTITION BY c ORDER BY abs(loading) DESC, feature) AS place FROM lo) WHERE place <= 3", *pca, recursive=True)
+    add("reconstruct_features", "organoid_id:i " + " ".join(f"{x}:d" for x in names), f"SELECT organoid_id, {col('x', 'j', names)} FROM bk GROUP BY ALL", *pca, recursive=True)
+    place = "CASE feature WHEN 'pct_endo' THEN 1 WHEN 'pct_meso' THEN 2 WHEN 'f3' THEN 3 WHEN 'f1' THEN 4 END"
+    q["loading_order"] = f"WITH RECURSIVE {', '.join([CELLS, *pca])} SELECT feature, 'pc' || c AS pc, round(loading, 6) + 0e0 AS loading, CASE WHEN {place} <= 2 THEN 'composition' WHEN {place} <= 4 THEN 'shape' ELSE 'other' END AS \"group\", (row_number() OVER (PARTITION BY c ORDER BY {place} NULLS LAST, feature))::BIGINT AS place FROM lo"
+    add("feature_errors", "feature:s mae:d rmse:d n:i", "SELECT feature, avg(abs(bk.x - pl.x)) AS mae, sqrt(avg((bk.x - pl.x) * (bk.x - pl.x))) AS rmse, count(*) AS n FROM bk JOIN pl USING (organoid_id, j) WHERE j >= 4 GROUP BY feature", *pca, recursive=True)
     return q
