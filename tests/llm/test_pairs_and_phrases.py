@@ -11,7 +11,7 @@ import xxhash
 from oracle import connection, difference
 from pyspark.sql import functions as F
 
-from cellgrove.llm import phrases, simhash, spelling
+from cellgrove.llm import line_dedup, phrases, simhash, spelling
 from cellgrove.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -250,3 +250,37 @@ def test_scores_are_exact_beyond_64_bits(spark):
     a, l, r = 999_999_999_999_989, 999_999_999_999_999, 999_999_999_999_990
     got = spark.createDataFrame([(a, l, r), (3, 7, 11)], "a long, l long, r long").select(phrases._floor_ratio(F.col("a"), F.col("l"), F.col("r")).alias("s")).collect()
     assert [x["s"] for x in got] == [1000000 * a * a // (l * r), 1000000 * 9 // 77]
+
+
+# lines
+
+def test_short_blocks_of_lines_are_found(spark):
+    r = random.Random(2)
+    line = lambda: " ".join(str(r.randrange(10 ** 6)) for _ in range(6))
+    shares = {}
+    for n in (3, 5, 12):
+        rows = []
+        for k in range(100):
+            block = [line() for _ in range(n)]
+            rows += [(2 * k, "\n".join([*(line() for _ in range(15)), *block, *(line() for _ in range(10))])), (2 * k + 1, "\n".join([*(line() for _ in range(9)), *block, *(line() for _ in range(14))]))]
+        got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert all(x["n_removed"] == 0 for x in got if x["doc_id"] % 2 == 0)
+        shares[n] = sum(x["n_removed"] for x in got) / (100 * n)
+    assert shares[3] > 0.35 and shares[5] > 0.6 and shares[12] > 0.8
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    block = "\n".join(text(i, 6) for i in range(9))
+    rows = [(1, block), (7, "first line\n" + block), (7, "\n".join(text(100 + i, 6) for i in range(12))), (8, block + "\n" + block), (None, block)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = sorted((str(r["doc_id"]), r["n_removed"], r["text"]) for r in got)
+    assert [x for x in left if x[0] == "7"][0][1:] == (0, rows[2][1]) and [x for x in left if x[0] == "7"][1][1] >= 7
+    assert ("1", 0, block) in left and ("None", 0, block) in left and [x[1] for x in left if x[0] == "8"][0] >= 16
+
+
+def test_first_of_equal_lines_stays(spark):
+    r = random.Random(4)
+    lines = [f"line {i}" for i in range(6)]
+    rows = [(d, "\n".join(r.choice(lines) for _ in range(40))) for d in range(30)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {x for t in got.values() for x in t.split("\n")} >= set(lines) and got[0].split("\n")[0] == rows[0][1].split("\n")[0]
