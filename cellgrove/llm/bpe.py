@@ -238,3 +238,14 @@ def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         return len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()
 
     return _map(df, path, id_col, text_col, [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], row)
+
+
+def encode_all(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids, decoded, ids_sha256, decoded_sha256): ``round_trip`` with the digests of both."""
+    def row(own, raw):
+        ids = numbers(raw)
+        decoded = own.decode(ids.tolist())
+        return len(ids), ids, decoded, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+    text = pa.string()
+    return _map(df, path, id_col, text_col, [("n_tokens", "long", pa.int64()), ("ids", "array<int>", pa.list_(pa.int32())), ("decoded", "string", text), ("ids_sha256", "string", text), ("decoded_sha256", "string", text)], row)

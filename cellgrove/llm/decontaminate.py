@@ -6,9 +6,10 @@
    numbers is one token.  Everything else is lower-cased and split at anything but
    letters.
 2. Every window of ``WIDTH`` template tokens is hashed, placeholders by type only;
-   half of a window or more is literal.  An item of fewer tokens is looked for in
-   plain lower-case words instead, in windows of its own length (``WIDTH`` at most),
-   and only verbatim.  The benchmark's windows meet those of
+   half of a window or more is literal.  An item of fewer tokens is one window of its
+   own length, if it has a placeholder and two literal tokens, and is also looked for
+   in plain lower-case words, verbatim, in windows of ``WIDTH`` words at most; windows
+   of all short lengths come from one pass.  The benchmark's windows meet those of
    the documents in a hash join.  The benchmark side is broadcast only if its
    counted windows stay under ``BROADCAST_WINDOWS``; beyond that it is an ordinary
    shuffled join.
@@ -19,8 +20,10 @@
 4. Slot consistency: over the tokens of the windows that were hit, one value of the
    item must always stand for one value of the document and the other way round.
    Equal values are a verbatim leak, others a re-parameterised one; inconsistent
-   slots are no leak, nor are other values with fewer than ``LITERALS`` literal
-   tokens.
+   slots are no leak, nor are other values of an item of ``WIDTH`` tokens or more with
+   fewer than ``LITERALS`` literal tokens.
+5. Items of fewer than ``REMOVES`` words are reported, but remove no document: a few
+   common words stand in texts that have nothing to do with the benchmark.
 
 Defined cases: null or empty texts and items leak nothing; items without a token
 are matched by nothing; rows with a null id are ignored; repeated rows count once;
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from cellgrove.llm.common import picked, stored
 
 WIDTH, COVER, LITERALS, DRIFT = 8, 0.5, 6, 16
+#: Words of an item from which it removes documents.
+REMOVES = 8
 BROADCAST_WINDOWS = 1_000_000
 #: Units that count as such after a number (fixed values).
 UNITS = (
@@ -76,6 +81,17 @@ def windows(df: DataFrame, keys: list[str], words, width: int, typed: bool) -> D
     return t.select(*keys, F.lit(width).alias("width"), F.lit(typed).alias("typed"), F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("_k", i, width)))).alias("at", "h"))
 
 
+def short_windows(df: DataFrame, keys: list[str], typed: list[int], plain: list[int]) -> DataFrame:
+    """(keys, width, typed, at, h) of windows of several lengths, of template tokens and of plain words, from one pass."""
+    t = df.select(*keys, kinds("_t").alias("_k"), "_p") if typed else df.select(*keys, "_p")
+
+    def every(name, width, is_typed):
+        starts = F.when(F.size(name) >= width, F.sequence(F.lit(1), F.size(name) - width + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(width).alias("width"), F.lit(is_typed).alias("typed"), (i - 1).alias("at"), F.xxhash64(F.slice(name, i, width)).alias("h")))
+
+    return t.select(*keys, F.inline(F.concat(*(every("_k", n, True) for n in typed), *(every("_p", n, False) for n in plain))))
+
+
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, verbatim), one row per leaked item of a document."""
     found = leaks_of_texts(docs, items, width, cover)
@@ -91,12 +107,20 @@ def leaks_of_texts(docs: DataFrame, items: DataFrame, width: int = WIDTH, cover:
     items = stored(items.select(*of_item, tokens(F.col("text")).alias("ti"), plain_words(F.col("text")).alias("pi")).where(F.size("pi") > 0), "items")
     long, short = items.where(F.size("ti") >= width), items.where(F.size("ti") < width)
     known, probe = windows(long, of_item, F.col("ti"), width, True), windows(docs, of_doc, tokens(F.col("text")), width, True)
+    slots = F.size(F.filter("ti", lambda x: F.startswith(x, F.lit("#"))))
+    template = short.where((slots > 0) & (F.size("ti") - slots >= 2))
     lengths = F.least(F.size("pi"), F.lit(width))
-    for n in sorted(r[0] for r in short.select(lengths).distinct().collect()):  # ``width`` numbers at most
+    listed = lambda df, n: sorted(r[0] for r in df.select(n).distinct().collect())  # noqa: E731  ``width`` numbers at most
+    of_template, of_words = listed(template, F.size("ti")), listed(short, lengths)
+    for n in of_template:
+        known = known.unionByName(windows(template.where(F.size("ti") == n), of_item, F.col("ti"), n, True))
+    for n in of_words:
         known = known.unionByName(windows(short.where(lengths == n), of_item, F.col("pi"), n, False))
-        probe = probe.unionByName(windows(docs, of_doc, plain_words(F.col("text")), n, False))
+    if of_words:
+        split = docs.select(*of_doc, tokens(F.col("text")).alias("_t"), plain_words(F.col("text")).alias("_p"))
+        probe = probe.unionByName(short_windows(split, of_doc, of_template, of_words))
     known = stored(known.withColumnRenamed("at", "q"), "item-windows")
-    sizes = known.groupBy(*of_item).agg(F.count("*").alias("n_item"))
+    sizes = known.groupBy(*of_item, "typed").agg(F.count("*").alias("n_item"))
     side = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
     hits = probe.join(side, ["width", "typed", "h"]).select(*of_doc, *of_item, "width", "typed", "q", (F.col("at") - F.col("q")).alias("shift"))
     band = lambda tag, by: F.struct(F.lit(tag).alias("tag"), by.cast("long").alias("no"))
@@ -105,27 +129,28 @@ def leaks_of_texts(docs: DataFrame, items: DataFrame, width: int = WIDTH, cover:
     # a window that was hit at several offsets of a band counts at the least
     hits = hits.groupBy(*of_doc, *of_item, "width", "typed", "group", "q").agg(F.min("shift").alias("shift"))
     hits = hits.groupBy(*of_doc, *of_item, "width", "typed", "group").agg(F.collect_list(F.struct("q", "shift")).alias("hits"))
-    hits = hits.join(sizes, of_item).where(F.size("hits") >= cover * F.col("n_item"))
+    hits = hits.join(sizes, [*of_item, "typed"]).where(F.size("hits") >= cover * F.col("n_item"))
     hits = stored(hits.select(*of_doc, *of_item, "width", "typed", "hits").distinct(), "hits")
     doc_tokens = picked(docs, stored(hits.select(*of_doc).distinct(), "hit-documents")).dropDuplicates(of_doc).select(*of_doc, tokens(F.col("text")).alias("td"))
     both = hits.join(items.select(*of_item, "ti"), of_item).join(doc_tokens, of_doc)
     steps = F.sequence(F.lit(0), F.col("width") - 1)
     pairs = F.flatten(F.transform("hits", lambda x: F.transform(steps, lambda j: F.struct((x["q"] + j).alias("at"), F.get("ti", x["q"] + j).alias("i"), F.get("td", x["q"] + x["shift"].cast("int") + j).alias("d")))))
     pairs = F.when(F.col("typed"), pairs).otherwise(F.array().cast("array<struct<at:int,i:string,d:string>>"))
-    both = both.select(*of_doc, "item_id", F.size("hits").cast("long").alias("n_windows"), pairs.alias("pairs"))
+    both = both.select(*of_doc, "item_id", F.size("hits").cast("long").alias("n_windows"), (F.col("width") < width).alias("whole"), pairs.alias("pairs"))
     slot = lambda p: F.startswith(p["i"], F.lit("#"))
     slots = F.array_distinct(F.transform(F.filter("pairs", slot), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))))
     literals = F.size(F.array_distinct(F.transform(F.filter("pairs", lambda p: ~slot(p)), lambda p: p["at"])))
-    both = both.select(*of_doc, "item_id", "n_windows", slots.alias("slots"), literals.alias("literals"))
+    both = both.select(*of_doc, "item_id", "n_windows", "whole", slots.alias("slots"), literals.alias("literals"))
     both = both.withColumn("verbatim", F.forall("slots", lambda p: p["i"] == p["d"]))
     one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: p[side])))
-    good = both.where((one("i") == F.size("slots")) & (one("d") == F.size("slots")) & ((F.col("literals") >= LITERALS) | F.col("verbatim")))
+    good = both.where((one("i") == F.size("slots")) & (one("d") == F.size("slots")) & ((F.col("literals") >= LITERALS) | F.col("verbatim") | F.col("whole")))
     return good.select(*of_doc, "item_id", "n_windows", F.size("slots").cast("long").alias("n_slots"), "verbatim")
 
 
-def decontaminate(df: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``df`` (doc_id, text, ...) that leak no item; of rows that share an id each is judged by its text."""
+def decontaminate(df: DataFrame, items: DataFrame, removes: int = REMOVES) -> DataFrame:
+    """The rows of ``df`` (doc_id, text, ...) that leak no item of ``removes`` words or more; of rows that share an id each is judged by its text."""
     of, id_ = (f"_{name}_{uuid.uuid4().hex}" for name in ("text", "id"))
+    items = items.where(F.size(plain_words(F.col("text"))) >= removes)
     gone = stored(leaks_of_texts(df, items).select(F.col("doc_id").alias(id_), F.col("doc_text").alias(of)).distinct(), "leaked")
     rows = df.withColumns({id_: F.col("doc_id").cast("long"), of: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     return picked(rows, gone, "left_anti").drop(of, id_)

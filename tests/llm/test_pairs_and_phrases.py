@@ -11,7 +11,7 @@ import xxhash
 from oracle import connection, difference
 from pyspark.sql import functions as F
 
-from cellgrove.llm import line_dedup, phrases, simhash, spelling
+from cellgrove.llm import decontaminate, line_dedup, phrases, simhash, spelling
 from cellgrove.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -284,3 +284,15 @@ def test_first_of_equal_lines_stays(spark):
     rows = [(d, "\n".join(r.choice(lines) for _ in range(40))) for d in range(30)]
     got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {x for t in got.values() for x in t.split("\n")} >= set(lines) and got[0].split("\n")[0] == rows[0][1].split("\n")[0]
+
+
+# short benchmark items
+
+def test_short_items_of_other_values(spark):
+    items = spark.createDataFrame([(1, "What is 12 times 7?"), (2, "it sails 5 km then 5 km"), (3, "Of 9"), (4, "the"), (5, "plain words only here")], "item_id long, text string")
+    docs = [(1, "Asked. What is 13 times 7? Who knows"), (2, "What is 13 times 13?"), (3, "so it sails 8 km then 8 km now"), (4, "so it sails 8 km then 9 km now"), (5, "Of 10 men"), (6, "it is the end"), (7, "so plain words only here it says"), (8, "What is twelve times 7?")]
+    got = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1): False, (3, 2): False, (6, 4): True, (7, 5): True}
+    left = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert left.count() == len(docs)  # items of so few words remove nothing
+    assert {r["doc_id"] for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items, 4).collect()} == {2, 4, 5, 6, 8}

@@ -70,6 +70,7 @@ def test_nulls_repeats_and_ties(spark, tmp_path):
     assert 100 not in near and 0 in near and None in near and near.count(104) == 3
     clean = [i for i, _ in rows["decontamination"]]
     assert set(near) - set(clean) == {107} and len(left["bpe"]) == len(clean)
+    assert sorted(r["n_tokens"] for r in left["bpe"]) == sorted(len(r["ids"]) for r in left["bpe"]) and all((r["decoded"] != "") == (r["n_tokens"] > 0) for r in left["bpe"])
 
 
 def test_tables_without_rows(spark, tmp_path):
