@@ -40,13 +40,13 @@ def near_stage(spark, docs, sf_dir):
 
 
 def leak_stage(spark, docs, sf_dir):
-    """Rows that leak a benchmark item go; rows without an id, and null or empty texts, stay."""
+    """Rows that leak a benchmark item of eight words or more go; rows without an id, and null or empty texts, stay."""
     return decontaminate.decontaminate(docs.select(*COLUMNS), documents(spark, sf_dir, "benchmark"))
 
 
 def bpe_stage(spark, docs, sf_dir):
-    """Tokens of what is left, and digests of them and of the text that they decode to; a null text has none."""
-    return bpe.encode_digest(docs, tokenizer("word_bpe_49k.json"))
+    """Token ids of what is left, the text that they decode to, and digests of both; a null text has none."""
+    return bpe.encode_all(docs, tokenizer("word_bpe_49k.json"))
 
 
 STAGES = [
