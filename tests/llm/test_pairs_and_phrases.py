@@ -11,7 +11,7 @@ import xxhash
 from oracle import connection, difference
 from pyspark.sql import functions as F
 
-from cellgrove.llm import decontaminate, line_dedup, phrases, simhash, spelling
+from cellgrove.llm import decontaminate, line_dedup, phrases, simhash, spelling, token_counts
 from cellgrove.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -296,3 +296,20 @@ def test_short_items_of_other_values(spark):
     left = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items)
     assert left.count() == len(docs)  # items of so few words remove nothing
     assert {r["doc_id"] for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items, 4).collect()} == {2, 4, 5, 6, 8}
+
+
+# token counts
+
+def test_texts_with_rare_blanks_are_cut_safely(spark):
+    from tokenizers import Tokenizer
+
+    from cellgrove.llm.queries import tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    model, r = Tokenizer.from_file(path), random.Random(1)
+    some = [" ", "  ", "\xa0", "\u3000", "\x0b", "\x1c", "\x85", "\n", "\t", "a", "word", "é", "...", "12", "don't", "\u2003", "<|endoftext|>", "'s", "字"]
+    texts = ["".join(r.choice(some) for _ in range(r.randrange(1, 30))) for _ in range(3000)] + [("word \xa0 " * 20000), "x\xa0" * 20000, "\x1c" * 50, " \xa0" * 50]
+    count = token_counts.piece_counter(path)
+    assert count(texts) == [len(model.encode(t, add_special_tokens=False).ids) for t in texts]
+    rows = spark.createDataFrame([(1, "many words here " * 3000 + "\xa0 end"), (2, "\xa0")], "doc_id long, text string")
+    assert {x["doc_id"]: x["n_tokens"] for x in token_counts.token_counts(rows, path).collect()} == {i: len(model.encode(t, add_special_tokens=False).ids) for i, t in ((1, "many words here " * 3000 + "\xa0 end"), (2, "\xa0"))}
