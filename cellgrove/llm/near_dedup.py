@@ -18,8 +18,8 @@
    intersection is also bounded by the bits in which bitmaps of the two sets
    differ, which rules out most pairs of far-edited copies and no true link.
 
-At similarity 0.75 three pairs in 100 thousand million share no band, and two in a
-million million have an estimate lower by ``SLACK``; both fall fast above 0.75.
+At similarity 0.75 one pair in 3,700,000 shares no band, and about one in a
+million has an estimate lower by ``SLACK``; both fall fast above 0.75.
 
 Defined cases: null or empty texts, or texts without words, have an empty set
 and are linked with nothing; fewer words than a shingle: the whole sequence is
@@ -40,10 +40,10 @@ from cellgrove.llm.common import Words, connected_components, mix, picked, plain
 
 PERMUTATIONS, BITS = 512, 2
 #: Bands are made of the first BANDS * ROWS minima; the estimate uses all.
-BANDS, ROWS = 64, 4
+BANDS, ROWS = 40, 4
 LONGS = PERMUTATIONS * BITS // 64
-#: How far below the limit an estimate may lie before a candidate is given up: 6.9 standard deviations.
-SLACK = 0.16
+#: How far below the limit an estimate may lie before a candidate is given up: 4.7 standard deviations.
+SLACK = 0.11
 #: Sets of so many shingles at most travel whole (as hashes); their pairs need no estimate.
 SMALL = 48
 SHINGLE, PERCENT = 5, 75
