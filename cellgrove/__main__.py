@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--baseline")
     p.add_argument("--treatment")
     p.add_argument("--sweep-eps", type=numbers, default=[float(e) for e in range(10, 100, 5)])
+    p.add_argument("--permutations", type=int, default=999)
     p.add_argument("--keep", type=int, default=3, help="samples of a condition that pruning leaves")
     p.add_argument("--cn", default="", help="mean copy number of each experiment, name:value,...")
     p.add_argument("--cn-encoding", action="append", choices=["lambda", "sample_mean", "summary", "all"])
@@ -123,8 +124,11 @@ def tables(cells: DataFrame, a) -> dict[str, DataFrame]:
     if a.command == "geometry":
         return {"hull_3d": geometry.hull_volumes(lineages), "max_slab": geometry.max_biopsy_area(lineages, S.HALF_SLAB)}
     if a.command == "autocorrelation":
-        c = stored(clusters.dbscan(cells.withColumn("_all", cells["cell_type"] * 0), a.eps, a.min_samples, ("organoid_id", "_all")), "clustered")
-        return {f"{n}_{ch}": t for ch in csv_cells.CHANNELS for n, t in (("morans_i", autocorr.permutation_p(cells, ch, rounds=999)), ("lisa", autocorr.lisa_cluster_mean(c, ch)))} | {"spatial_power": autocorr.spatial_power(cells, *csv_cells.CHANNELS)}
+        c = stored(clusters.dbscan(cells, a.eps, a.min_samples, ("organoid_id",)), "clustered")
+        out = {"spatial_power": autocorr.spatial_power(cells, *csv_cells.CHANNELS)}
+        for ch in csv_cells.CHANNELS:
+            out |= {f"morans_i_{ch}": autocorr.permutation_p(cells, ch, rounds=a.permutations), f"lisa_{ch}": autocorr.lisa_cluster_mean(c, ch)}
+        return out
     if a.command == "sweep":
         swept = clusters.dbscan_sweep(cells.where("cell_type = 2"), [(e, a.min_samples) for e in a.sweep_eps])
         n = swept.groupBy("organoid_id", "eps").agg(F.countDistinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("n_clusters"))

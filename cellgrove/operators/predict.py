@@ -44,6 +44,13 @@ def anchor(scores: DataFrame, pcs) -> DataFrame:
     return scores.join(origin, "experiment", "left").withColumns({c: F.col(c) - F.coalesce(F.col(f"_{c}"), F.lit(0.0)) for c in pcs}).drop(*(f"_{c}" for c in pcs))
 
 
+def cn_lambda(f: DataFrame, lambdas: dict[str, float]) -> DataFrame:
+    """``f`` with cn_lambda, the mean copy number of its experiment; NULL where none is given."""
+    table = F.create_map(*(F.lit(x) for kv in lambdas.items() for x in kv)) if lambdas else None
+    found = F.try_element_at(table, F.col("experiment")).cast("double") if lambdas else F.lit(None).cast("double")
+    return f.withColumn("cn_lambda", found)
+
+
 def cn_draws(f: DataFrame, lambdas: dict[str, float], draws: int = 100, seed: int = 42, name: str = "organoid_id") -> DataFrame:
     """Mean, deviation and percentiles of seeded Poisson draws by sample; the seed hashes the sample's relative name."""
     kind = T.StructType([T.StructField(c, T.DoubleType()) for c in ("cn_mean", "cn_std", "cn_p10", "cn_p50", "cn_p90")])
@@ -59,8 +66,7 @@ def cn_draws(f: DataFrame, lambdas: dict[str, float], draws: int = 100, seed: in
             rows.append((x.mean(), x.std(ddof=1), *np.percentile(x, [10, 50, 90])))
         return pd.DataFrame(rows, columns=["cn_mean", "cn_std", "cn_p10", "cn_p50", "cn_p90"], dtype=float)
 
-    table = F.create_map(*(F.lit(x) for kv in lambdas.items() for x in kv)) if lambdas else F.create_map()
-    f = f.withColumn("cn_lambda", F.try_element_at(table, F.col("experiment")).cast("double"))
+    f = cn_lambda(f, lambdas)
     return f.withColumn("_d", draw(F.col(name).cast("string"), F.col("cn_lambda"))).select("*", "_d.*").drop("_d")
 
 

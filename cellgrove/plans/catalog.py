@@ -123,6 +123,17 @@ def plot_union(s, d):
     return shape(clusters.inter_distance(c), "Inter", F.lit("Endo-Meso")).unionByName(shape(numbered(clusters.intra_distance(c)), "Intra", F.col("lineage")))
 
 
+def count_3label(s, d):
+    """Cluster counts of both lineages and of both together."""
+    m = numbered(clusters.metrics(clustered(s, d), X.MIN_SAMPLES, "rows").select("organoid_id", "cell_type", "n_clusters"))
+    return m.unionByName(m.groupBy("organoid_id").agg(F.sum("n_clusters").alias("n_clusters")).withColumn("lineage", F.lit("Total")))
+
+
+def pivoted(s, d):
+    wide = compare.celltype_pct(X.cells(s, d)).groupBy("organoid_id").pivot("cell_type", [0.0, 2.0, 3.0]).agg(F.first("pct")).na.fill(0.0)
+    return wide.toDF("organoid_id", "pct_0", "pct_2", "pct_3")
+
+
 def build():
     q = {}
 
@@ -140,7 +151,7 @@ def build():
     add("composition", lambda s, d: compare.composition(C(s, d)))
     add("radial_stats", lambda s, d: compare.radial(C(s, d)))
     add("celltype_pct", lambda s, d: compare.celltype_pct(C(s, d)))
-    add("celltype_pivot", lambda s, d: compare.celltype_pct(C(s, d)).groupBy("organoid_id").pivot("cell_type", [0.0, 2.0, 3.0]).agg(F.first("pct")).na.fill(0.0).toDF("organoid_id", "pct_0", "pct_2", "pct_3"))
+    add("celltype_pivot", pivoted)
     add("depth_alpha", lambda s, d: compare.depth_alpha(C(s, d)).select("organoid_id", "cell_id", "depth", "alpha"))
     add("nms_pooled", lambda s, d: mixing.nms(C(s, d), X.RADIUS, "pooled_gt10_zero"))
     add("nms_mean_of_ratios", lambda s, d: mixing.nms(C(s, d), X.RADIUS, "mean_of_ratios"))
@@ -155,7 +166,7 @@ def build():
     add("dbscan_clusters", lambda s, d: clustered(s, d).select("organoid_id", "cell_type", "cell_id", "cluster_id"))
     add("dbscan_counts", lambda s, d: clusters.metrics(clustered(s, d), X.MIN_SAMPLES, "rows").select("organoid_id", "cell_type", "n_clusters"))
     add("cluster_metrics", lambda s, d: clusters.metrics(clustered(s, d), X.MIN_SAMPLES))
-    add("cluster_count_3label", lambda s, d: (lambda m: m.unionByName(m.groupBy("organoid_id").agg(F.sum("n_clusters").alias("n_clusters")).withColumn("lineage", F.lit("Total"))))(numbered(clusters.metrics(clustered(s, d), X.MIN_SAMPLES, "rows").select("organoid_id", "cell_type", "n_clusters"))))
+    add("cluster_count_3label", count_3label)
     add("cluster_centres", lambda s, d: clusters.centres(clustered(s, d)))
     add("intra_cluster_distance", lambda s, d: clusters.intra_distance(once(s, d)))
     add("inter_cluster_distance", lambda s, d: clusters.inter_distance(once(s, d)))
@@ -215,7 +226,8 @@ def build():
     add("box_quartiles", lambda s, d: compare.quartiles(compare.long(X.scores(s, d), ["experiment"], PCS), ["experiment", "metric"]))
     add("delta_long", lambda s, d: compare.delta_long(deltas(s, d), ["organoid_id", "dox"]))
     add("fold_means", lambda s, d: predict.fold_means(predict.metrics(X.predicted(s, d), PCS)))
-    add("loading_order", lambda s, d: pca.ordered_loadings(pca.loadings(s, space(s, d)[1]), [("composition", ["pct_endo", "pct_meso"]), ("shape", ["f3", "f1"])]))
+    groups = [("composition", ["pct_endo", "pct_meso"]), ("shape", ["f3", "f1"])]
+    add("loading_order", lambda s, d: pca.ordered_loadings(pca.loadings(s, space(s, d)[1]), groups))
     add("feature_errors", lambda s, d: predict.feature_error_summary(rebuilt_errors(s, d)))
     add("random_alpha_tuning", tuning_rows)
     add("tuned_predictions", tuned_rows)
@@ -231,6 +243,8 @@ def build():
     add("feature_significance", lambda s, d: compare.significance(X.features(s, d), FS))
     add("axis_break", lambda s, d: compare.axis_break(X.features(s, d), ["experiment", "dox"], "f1", 20.0))
     add("missing_experiments", lambda s, d: predict.missing(meta(s, d), ["exp1", "exp2", "exp3", "exp9"]))
+    add("dbscan_all_cells", lambda s, d: clusters.dbscan(C(s, d), X.EPS, X.MIN_SAMPLES, ("organoid_id",)).select("organoid_id", "cell_id", "cluster_id"))
+    add("lambda_lookup", lambda s, d: predict.cn_lambda(meta(s, d), {"exp1": 2.5, "other": 9.0}).select("organoid_id", "cn_lambda"))
     return q
 
 

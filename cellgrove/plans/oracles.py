@@ -364,4 +364,8 @@ bk AS MATERIALIZED (SELECT organoid_id, j, any_value(feature) AS feature, sum(y
     place = "CASE feature WHEN 'pct_endo' THEN 1 WHEN 'pct_meso' THEN 2 WHEN 'f3' THEN 3 WHEN 'f1' THEN 4 END"
     q["loading_order"] = f"WITH RECURSIVE {', '.join([CELLS, *pca])} SELECT feature, 'pc' || c AS pc, round(loading, 6) + 0e0 AS loading, CASE WHEN {place} <= 2 THEN 'composition' WHEN {place} <= 4 THEN 'shape' ELSE 'other' END AS \"group\", (row_number() OVER (PARTITION BY c ORDER BY {place} NULLS LAST, feature))::BIGINT AS place FROM lo"
     add("feature_errors", "feature:s mae:d rmse:d n:i", "SELECT feature, avg(abs(bk.x - pl.x)) AS mae, sqrt(avg((bk.x - pl.x) * (bk.x - pl.x))) AS rmse, count(*) AS n FROM bk JOIN pl USING (organoid_id, j) WHERE j >= 4 GROUP BY feature", *pca, recursive=True)
+    pairs = near("p", 6, "a.cell_type = b.cell_type AND a.cell_type IN (2, 3)")
+    untyped = clusters().replace(pairs, near("p", 6).replace("a.cell_type AS s", "0e0 AS s")).replace(" WHERE k.cell_type IN (2, 3)", "")
+    add("dbscan_all_cells", "organoid_id:i cell_id:i cluster_id:i", "SELECT * FROM cl", META, untyped, recursive=True)
+    add("lambda_lookup", "organoid_id:i cn_lambda:d", "SELECT organoid_id, CASE experiment WHEN 'exp1' THEN 2.5e0 END AS cn_lambda FROM meta", META)
     return q
