@@ -191,3 +191,18 @@ def test_append_only_writes_what_is_missing(spark, tmp_path):
     assert sinks.write_new({"a": df, "b": df}, str(tmp_path), ["a"]) == [f"{tmp_path}/a"]
     assert sinks.write_new({"a": spark.range(9), "b": df}, str(tmp_path), append_only=True) == [f"{tmp_path}/b"]
     assert spark.read.option("header", True).csv(f"{tmp_path}/a").count() == 3
+
+
+def test_command_line_of_statistics_and_geometry(spark, tmp_path):
+    from cellgrove.__main__ import main
+
+    one, two = experiment(tmp_path, "a", 1), experiment(tmp_path, "b", 2)
+    table = lambda n: spark.read.option("header", True).option("inferSchema", True).csv(f"{tmp_path}/{n}")
+    main(["autocorrelation", "--data", one, "--out", f"{tmp_path}/auto", *COMMON, "--limit", "1", "--permutations", "19"])
+    assert {r["p_sim"] for r in table("auto/morans_i_ch_546").collect()} == {0.05} and table("auto/lisa_ch_647").count() == table("auto/spatial_power").count() == 6
+    main(["geometry", "--data", one, "--out", f"{tmp_path}/geo", *COMMON, "--limit", "1"])
+    assert table("geo/hull_3d").where("volume > 0").count() == table("geo/max_slab").where("area > 0").count() == 6
+    main(["delta", "--data", one, "--data", two, "--out", f"{tmp_path}/delta", *COMMON, "--baseline", "a", "--treatment", "b"])
+    assert table("delta/delta").count() == 18 and not os.path.exists(f"{tmp_path}/delta/feature_matrix")
+    with pytest.raises(SystemExit):
+        main(["delta", "--data", one, "--out", f"{tmp_path}/none", *COMMON])
