@@ -86,6 +86,23 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES):
         at = end
 
 
+def forget_others() -> None:
+    """Gives back what the tokenizers of earlier stages remember in a worker that Spark uses again."""
+    import ctypes
+    import gc
+    import sys
+
+    names = [n for n in list(sys.modules) if n.startswith("_") and n.endswith("_of_worker")]
+    for n in names:
+        del sys.modules[n]
+    if names:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 def plain(column: pa.Array) -> pa.Array:
     """A string column with 32-bit offsets, nulls read as empty texts."""
     if isinstance(column, pa.ChunkedArray):
