@@ -1,6 +1,9 @@
 """Seeded draws that need no generator and no driver: a draw is the digest of what it is for."""
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,6 +14,19 @@ def draw(*parts) -> Column:
     return F.md5(F.concat_ws(":", *((p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts)))
 
 
+def digests(seed, turn: int, rows, known: dict) -> np.ndarray:
+    """``draw(seed, turn, row)`` of whole numbers, as bytes that sort alike.  Samples number their cells alike, so up to 200,000 draws are kept in ``known``."""
+    out = []
+    for r in rows.tolist():
+        d = known.get((turn, r))
+        if d is None:
+            d = md5(f"{seed}:{turn}:{r}".encode()).hexdigest()
+            if len(known) < 200_000:
+                known[turn, r] = d
+        out.append(d)
+    return np.array(out, "S32")
+
+
 def ranked(rows: DataFrame, groups, by: Column, tie: str, name: str = "rank") -> DataFrame:
     """``rows`` with the place from 1 of each row among those of its group, in the order of ``by`` (a draw) and ``tie``.
 

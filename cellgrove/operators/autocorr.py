@@ -1,10 +1,13 @@
 """Spatial autocorrelation over a distance band; an isolated cell has no neighbours."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.functions.draws import draw, ranked
+from cellgrove.functions.draws import digests, draw, ranked
+from cellgrove.operators.local import near, places
 from cellgrove.operators.neighbors import pairs
 from cellgrove.schema import BAND
 
@@ -33,15 +36,67 @@ def morans_i(cells: DataFrame, channel: str, band: float = BAND) -> DataFrame:
     return l.groupBy("organoid_id").agg((F.sum(F.col("z") * F.col("lag")) / F.nullif(F.count_if("joined"), F.lit(0))).alias("morans_i"))
 
 
-def permutation_p(cells: DataFrame, channel: str, band: float = BAND, rounds: int = 99, seed: int = 0) -> DataFrame:
+#: Cells of one sample from which its permutations are joins, not one task.
+SPREAD_FROM = 100_000
+
+
+def permutation_p(cells: DataFrame, channel: str, band: float = BAND, rounds: int = 99, seed: int = 0, method: str = "auto") -> DataFrame:
     """(organoid_id, morans_i, p_sim): one-sided pseudo p-value from seeded shuffles of values over places.
 
     In every round the cells of a sample are ranked by a digest of (seed, round, cell),
-    and the values move to the places of that rank, which round 0 numbers.  A cell
-    carries its values of all rounds, so one table of neighbours serves them.  Values
-    that are all equal, or cells without neighbours, have neither figure.
+    and the values move to the places of that rank, which round 0 numbers.  Values
+    that are all equal, or cells without neighbours, have neither figure.  method:
+    ``task`` takes each sample in one task, ``spread`` joins; ``auto`` joins for samples
+    of at least ``SPREAD_FROM`` cells.
     """
     c = cells.where(F.col(channel).isNotNull()).select("organoid_id", "cell_id", *"xyz", F.col(channel).alias("v"))
+    stats = c.groupBy("organoid_id").agg(F.count("*").alias("n"))
+    if method == "auto":
+        most = stats.agg(F.max("n")).first()[0] or 0
+        if most >= SPREAD_FROM:
+            large = stats.where(F.col("n") >= SPREAD_FROM).select("organoid_id")
+            parts = [(c.join(large, "organoid_id", "left_anti"), "task"), (c.join(large, "organoid_id", "left_semi"), "spread")]
+            one, two = (permutation_p(x, "v", band, rounds, seed, m) for x, m in parts)
+            return one.unionByName(two)
+    sums = _sums_by_join(c, band, rounds, seed) if method == "spread" else _sums_in_tasks(c, band, rounds, seed)
+    i = F.max(F.when(F.col("round") == 0, F.col("i")))
+    found = sums.groupBy("organoid_id").agg(i.alias("morans_i"), F.collect_list(F.when(F.col("round") > 0, F.col("i"))).alias("sims"))
+    # equal arrangements differ in the last digits only, and count as not below
+    above = F.size(F.filter("sims", lambda s: s >= F.col("morans_i") - 1e-9))
+    found = found.select("organoid_id", "morans_i", ((F.least(above, rounds - above) + 1) / (rounds + 1)).alias("p_sim"))
+    return stats.select("organoid_id").join(found, "organoid_id", "left")
+
+
+def _sums_in_tasks(c: DataFrame, band: float, rounds: int, seed: int) -> DataFrame:
+    """(organoid_id, round, i) of samples whose values differ, each sample in one task; a cell is sent once."""
+    known: dict = {}
+
+    def run(table: pa.Table) -> pa.Table:
+        v, ids, p = table.column("v").to_numpy(), table.column("cell_id").to_numpy(), places(table)
+        order = np.argsort(ids, kind="stable")
+        v, ids, p = v[order], ids[order], p[order]
+        sd, there = v.std(), np.flatnonzero(np.isfinite(p).all(axis=1))
+        a, b, _ = near(p[there], band)
+        a, b = there[a[a != b]], there[b[a != b]]
+        degree = np.bincount(a, minlength=len(v))
+        if len(v) < 2 or not sd > 0 or not len(a):
+            out = np.array([])
+        else:
+            z, share, joined = (v - v.mean()) / sd, 1 / degree[a], float((degree > 0).sum())
+            # cells by their draw, then by number; numbers are sorted already
+            ranks = [np.argsort(digests(seed, i, ids, known), kind="stable") for i in range(rounds + 1)]
+            out, held = np.empty(rounds + 1), np.empty(len(v))
+            for i, rank in enumerate(ranks):
+                held[ranks[0]] = z[rank]
+                out[i] = (share * held[a] * held[b]).sum() / joined
+        return pa.Table.from_arrays([pa.repeat(table.column("organoid_id")[0], len(out)), pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["organoid_id", "round", "i"])
+
+    kind = c.schema["organoid_id"].dataType.simpleString()
+    return c.groupBy("organoid_id").applyInArrow(run, f"organoid_id {kind}, round int, i double")
+
+
+def _sums_by_join(c: DataFrame, band: float, rounds: int, seed: int) -> DataFrame:
+    """(organoid_id, round, i): a cell carries its values of all rounds, so one table of neighbours serves them."""
     stats = c.groupBy("organoid_id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"), F.count("*").alias("n"))
     z = c.join(stats.where("n >= 2 AND sd > 0"), "organoid_id").select("organoid_id", "cell_id", ((F.col("v") - F.col("m")) / F.col("sd")).alias("z"))
     turns = z.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
@@ -55,12 +110,7 @@ def permutation_p(cells: DataFrame, channel: str, band: float = BAND, rounds: in
     edges = near.join(degree.join(side("a"), ["organoid_id", "a_cell_id"]), ["organoid_id", "a_cell_id"]).join(side("b"), ["organoid_id", "b_cell_id"])
     products = edges.select("organoid_id", "k", F.posexplode(F.zip_with("a", "b", lambda x, y: x * y)).alias("round", "zz"))
     sums = products.groupBy("organoid_id", "round").agg((F.sum(F.col("zz") / F.col("k")) / F.round(F.sum(1 / F.col("k")))).alias("i"))
-    i = F.max(F.when(F.col("round") == 0, F.col("i")))
-    found = sums.groupBy("organoid_id").agg(i.alias("morans_i"), F.collect_list(F.when(F.col("round") > 0, F.col("i"))).alias("sims"))
-    # equal arrangements differ in the last digits only, and count as not below
-    above = F.size(F.filter("sims", lambda s: s >= F.col("morans_i") - 1e-9))
-    found = found.select("organoid_id", "morans_i", ((F.least(above, rounds - above) + 1) / (rounds + 1)).alias("p_sim"))
-    return stats.select("organoid_id").join(found, "organoid_id", "left")
+    return sums
 
 
 def lisa_cluster_mean(clustered: DataFrame, channel: str, band: float = BAND) -> DataFrame:
