@@ -4,13 +4,15 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cellgrove.operators.closest import closest
-from cellgrove.operators.neighbors import GRID_FROM, pairs, squared, within
+from cellgrove.operators.local import near, places
+from cellgrove.operators.neighbors import pairs, squared, within
 from cellgrove.operators.rounds import Rounds, components
 from cellgrove.schema import ENDO, EPS, MESO, MIN_SAMPLES
 
@@ -47,58 +49,87 @@ def label(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
 
 
 def dbscan(cells: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES, keys=KEYS, method: str = "auto") -> DataFrame:
-    """``cells`` with cluster_id, clustered within each value of ``keys``.
-
-    The pairs come from the neighbour join; see ``dbscan_sweep`` for the method.
-    """
-    swept = dbscan_sweep(cells, [(eps, min_samples)], keys, method).drop("eps", "min_samples")
-    return cells.join(swept, [*keys, "cell_id"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
+    """``cells`` with cluster_id, clustered within each value of ``keys``; see ``dbscan_sweep`` for the method."""
+    small, large = _by_size(cells, keys, method)
+    parts = []
+    if small is not None:
+        def run(table: pa.Table) -> pa.Table:
+            ids, number = labels(table, keys, [(eps, min_samples)])
+            all_ids = table.column("cell_id").to_numpy()
+            at = np.minimum(np.searchsorted(ids, all_ids), max(len(ids) - 1, 0))
+            found = np.where(ids[at] == all_ids, number[0][at], -1) if len(ids) else np.full(len(all_ids), -1)
+            return table.append_column("cluster_id", pa.array(found.astype(np.int32)))
+
+        parts.append(small.groupBy(*keys).applyInArrow(run, StructType([*small.schema.fields, StructField("cluster_id", IntegerType())])))
+    if large is not None:
+        swept = _spread(_near(large.where(F.col(keys[-1]).isNotNull()), [(eps, min_samples)], list(keys)), [(eps, min_samples)], list(keys)).drop("eps", "min_samples")
+        parts.append(large.join(swept, [*keys, "cell_id"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1))).select(*cells.columns, "cluster_id"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 #: Cells of one sample from which its clusters are found by joins, not in one task.
 SPREAD_FROM = 100_000
 
 
+def _by_size(cells: DataFrame, keys, method: str):
+    """(samples clustered in a task each, samples clustered by joins), None for neither."""
+    if method != "auto":
+        return (cells, None) if method == "task" else (None, cells)
+    sizes = cells.groupBy(*keys).agg(F.count("*").alias("size"))
+    if (sizes.agg(F.max("size")).first()[0] or 0) < SPREAD_FROM:
+        return cells, None
+    large = sizes.where(F.col("size") >= SPREAD_FROM).where(F.col(keys[-1]).isNotNull()).select(*keys)
+    return cells.join(large, list(keys), "left_anti"), cells.join(large, list(keys), "left_semi")
+
+
+def labels(table: pa.Table, keys, params) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Cells of one sample that have a place, in order, and their clusters by each of ``params``; none where the last key is missing."""
+    p = places(table)
+    ids = table.column("cell_id")
+    there = np.isfinite(p).all(axis=1) & ids.is_valid().to_numpy()
+    if not there.any() or not table.column(keys[-1])[0].is_valid:
+        return np.array([], np.int64), [np.array([], np.int64) for _ in params]
+    p, ids = p[there], ids.to_numpy()[there].astype(np.int64)
+    a, b, d2 = near(p, max(eps for eps, _ in params))
+    a, b = ids[a], ids[b]
+    out = []
+    for eps, least in params:
+        kept = d2 <= eps * eps
+        cells, number = label(a[kept], b[kept], least)
+        out.append(number)
+    return cells, out
+
+
 def dbscan_sweep(cells: DataFrame, params, keys=KEYS, method: str = "auto") -> DataFrame:
-    """(keys, cell_id, eps, min_samples, cluster_id) for several parameters from one join at the largest eps.
+    """(keys, cell_id, eps, min_samples, cluster_id) of the cells with a place, for several parameters from one search at the largest eps.
 
     method: ``task`` labels each sample in one task; ``spread`` by joins and rounds on
     DataFrames, in bounded memory; ``auto`` takes ``spread`` for samples of at least
     ``SPREAD_FROM`` cells.  The labels are the same.
     """
-    keys, cells = list(keys), cells.where(F.col(keys[-1]).isNotNull())
-    if method != "auto":
-        near = _near(cells, params, keys)
-        return _in_tasks(near, params, keys) if method == "task" else _spread(near, params, keys)
-    sizes = cells.groupBy(*keys).agg(F.count("*").alias("size"))
-    most = sizes.agg(F.max("size")).first()[0] or 0
-    if most < SPREAD_FROM:
-        return _in_tasks(_near(cells, params, keys, "grid" if most >= GRID_FROM else "sample"), params, keys)
-    large = sizes.where(F.col("size") >= SPREAD_FROM).select(*keys)
-    small = _in_tasks(_near(cells.join(large, keys, "left_anti"), params, keys, "grid"), params, keys)
-    return small.unionByName(_spread(_near(cells.join(large, keys, "left_semi"), params, keys, "grid"), params, keys))
+    keys = list(keys)
+    cells = cells.where(F.col(keys[-1]).isNotNull()).select(*dict.fromkeys([*keys, "cell_id", *"xyz"]))
+    small, large = _by_size(cells, keys, method)
+    parts = []
+    if small is not None:
+        def run(table: pa.Table) -> pa.Table:
+            ids, numbers = labels(table, keys, params)
+            times = len(params)
+            columns = [pa.array(np.tile(ids, times)), pa.array(np.repeat([float(e) for e, _ in params], len(ids))), pa.array(np.repeat([int(m) for _, m in params], len(ids)).astype(np.int32)), pa.array(np.concatenate(numbers).astype(np.int32))]
+            same = [pa.repeat(table.column(k)[0], len(ids) * times) for k in keys]
+            return pa.Table.from_arrays([*same, *columns], [*keys, "cell_id", "eps", "min_samples", "cluster_id"])
+
+        kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
+        parts.append(small.groupBy(*keys).applyInArrow(run, f"{kinds}, cell_id long, eps double, min_samples int, cluster_id int"))
+    if large is not None:
+        parts.append(_spread(_near(large, params, keys), params, keys))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _near(cells: DataFrame, params, keys, method: str = "auto") -> DataFrame:
     return pairs(cells, max(p[0] for p in params), keys=keys, keep=("cell_id",), method=method).select(*keys, "a_cell_id", "b_cell_id", "d2")
 
 
-def _in_tasks(near: DataFrame, params, keys) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for eps, least in params:
-            q = pdf[pdf["d2"] <= eps * eps]
-            ids, number = label(q["a_cell_id"].to_numpy(), q["b_cell_id"].to_numpy(), least)
-            part = pd.DataFrame({"cell_id": ids, "eps": float(eps), "min_samples": int(least), "cluster_id": number})
-            for k in keys:
-                part[k] = pdf[k].iloc[0]
-            out.append(part)
-        return pd.concat(out)[[*keys, "cell_id", "eps", "min_samples", "cluster_id"]]
-
-    kinds = ", ".join(f"{k} {near.schema[k].dataType.simpleString()}" for k in keys)
-    return near.groupBy(*keys).applyInPandas(run, f"{kinds}, cell_id long, eps double, min_samples int, cluster_id int")
-
-
 def _spread(near: DataFrame, params, keys) -> DataFrame:
     """Core cells by counting, their components by contraction, border cells by the least number among core neighbours."""
     rounds = Rounds(near.sparkSession)

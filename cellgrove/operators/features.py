@@ -12,9 +12,8 @@ from cellgrove.schema import ENDO, EPS, FEATURES, META, MIN_SAMPLES, NMS_RADIUS,
 def feature_matrix(cells: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES, radius: float = NMS_RADIUS, touch: float = TOUCH) -> DataFrame:
     keep = ["organoid_id", *[c for c in META if c in cells.columns]]
     out = cells.select(*keep).distinct()
-    lineages = cells.where(F.col("cell_type").isin(2.0, 3.0))
-    clustered = clusters.dbscan(lineages, eps, min_samples)
-    clustered = stored(clustered.select("organoid_id", "cell_type", "cell_id", "x", "y", "z", "cluster_id"), "clustered")
+    lineages = cells.where(F.col("cell_type").isin(2.0, 3.0)).select("organoid_id", "cell_type", "cell_id", "x", "y", "z")
+    clustered = stored(clusters.dbscan(lineages, eps, min_samples), "clustered")
 
     def wide(df, value, name):
         e, m = (F.max(F.when(F.col("cell_type") == t, F.col(value))) for t in (ENDO, 3.0))
