@@ -60,7 +60,7 @@ def dbscan(cells: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES, k
             found = np.where(ids[at] == all_ids, number[0][at], -1) if len(ids) else np.full(len(all_ids), -1)
             return table.append_column("cluster_id", pa.array(found.astype(np.int32)))
 
-        parts.append(small.groupBy(*keys).applyInArrow(run, StructType([*small.schema.fields, StructField("cluster_id", IntegerType())])))
+        parts.append(dealt(small, keys).groupBy(*keys).applyInArrow(run, StructType([*small.schema.fields, StructField("cluster_id", IntegerType())])))
     if large is not None:
         swept = _spread(_near(large.where(F.col(keys[-1]).isNotNull()), [(eps, min_samples)], list(keys)), [(eps, min_samples)], list(keys)).drop("eps", "min_samples")
         parts.append(large.join(swept, [*keys, "cell_id"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1))).select(*cells.columns, "cluster_id"))
@@ -82,6 +82,11 @@ def _by_size(cells: DataFrame, keys, method: str):
     return cells.join(large, list(keys), "left_anti"), cells.join(large, list(keys), "left_semi")
 
 
+def dealt(cells: DataFrame, keys) -> DataFrame:
+    """``cells`` by sample over all shuffle partitions: a search costs more than its bytes, by which adaptive execution would draw samples together."""
+    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def labels(table: pa.Table, keys, params) -> tuple[np.ndarray, list[np.ndarray]]:
     """Cells of one sample that have a place, in order, and their clusters by each of ``params``; none where the last key is missing."""
     p = places(table)
@@ -120,7 +125,7 @@ def dbscan_sweep(cells: DataFrame, params, keys=KEYS, method: str = "auto") -> D
             return pa.Table.from_arrays([*same, *columns], [*keys, "cell_id", "eps", "min_samples", "cluster_id"])
 
         kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
-        parts.append(small.groupBy(*keys).applyInArrow(run, f"{kinds}, cell_id long, eps double, min_samples int, cluster_id int"))
+        parts.append(dealt(small, keys).groupBy(*keys).applyInArrow(run, f"{kinds}, cell_id long, eps double, min_samples int, cluster_id int"))
     if large is not None:
         parts.append(_spread(_near(large, params, keys), params, keys))
     return reduce(DataFrame.unionByName, parts)

@@ -80,3 +80,10 @@ def test_counts_and_labels_are_the_same_by_every_method(cloud):
 def test_a_grid_sends_few_copies(cloud):
     b = neighbors.reached(cloud.where("organoid_id = 3 AND x IS NOT NULL"), {f"_{c}": F.col(c) for c in "xyz"}, 1.0)
     assert b.count() < 700 * 8  # 27 before
+
+
+def test_samples_are_not_drawn_together_for_their_few_bytes(spark):
+    cells = spark.range(4000).select((F.col("id") % 50).alias("organoid_id"), F.col("id").alias("cell_id"), F.lit(2.0).alias("cell_type"), *(F.rand(i).alias(x) for i, x in enumerate("xyz")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n > 1 and clusters.dbscan(cells, 0.1, 3).rdd.getNumPartitions() == n
+    assert clusters.dbscan_sweep(cells, [(0.1, 3)]).rdd.getNumPartitions() == n
