@@ -165,8 +165,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, budget: int = BUDGET, segments: i
     """
     rows = stored(fingerprints(docs, k), "prints")
     ids = stored(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
-    edges = stored(links(ids.select("print"), budget, segments, crowd), "links")
-    found = connected_components(edges).select(F.col("node").alias("print"), "component")
+    found = connected_components(links(ids.select("print"), budget, segments, crowd)).select(F.col("node").alias("print"), "component")
     named = stored(ids.join(found, "print", "left").withColumn("component", F.coalesce("component", "print")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stored(named.join(least, "component").select("print", "component_id"), "components")

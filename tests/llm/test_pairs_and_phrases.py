@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 from itertools import combinations
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -11,7 +12,7 @@ import xxhash
 from oracle import connection, difference
 from pyspark.sql import functions as F
 
-from cellgrove.llm import decontaminate, line_dedup, phrases, simhash, spelling, token_counts
+from cellgrove.llm import common, decontaminate, line_dedup, phrases, simhash, spelling, token_counts
 from cellgrove.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -122,6 +123,15 @@ def test_links_connect_what_is_near(spark, crowd):
     assert parts(got) == parts(true)
 
 
+def test_simhash_stores_few_tables_and_marks_none(spark):
+    rows = [(i, text(i // 3, 60) + " x" * (i % 3)) for i in range(60)]
+    with common.intermediates(spark) as path:
+        assert simhash.classes(frame(spark, rows)).count() == 60
+        found = list(Path(path.removeprefix("file:")).rglob("*"))
+    # the driver forks for each table and for each mark
+    assert found and not [p for p in found if "_SUCCESS" in p.name or p.name.startswith(("least-", "links-"))]
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.classes(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
