@@ -5,6 +5,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,14 +54,13 @@ def dbscan(cells: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES, k
     small, large = _by_size(cells, keys, method)
     parts = []
     if small is not None:
-        def run(table: pa.Table) -> pa.Table:
-            ids, number = labels(table, keys, [(eps, min_samples)])
-            all_ids = table.column("cell_id").to_numpy()
-            at = np.minimum(np.searchsorted(ids, all_ids), max(len(ids) - 1, 0))
-            found = np.where(ids[at] == all_ids, number[0][at], -1) if len(ids) else np.full(len(all_ids), -1)
-            return table.append_column("cluster_id", pa.array(found.astype(np.int32)))
-
-        parts.append(dealt(small, keys).groupBy(*keys).applyInArrow(run, StructType([*small.schema.fields, StructField("cluster_id", IntegerType())])))
+        def run(table: pa.Table, sample: np.ndarray) -> pa.Table:
+            row, cells, numbers = labels(table, sample, keys, [(eps, min_samples)])
+            number = np.full(len(table) + 1, -1)  # the last one is of rows without an id
+            number[cells] = numbers[0]
+            return table.append_column("cluster_id", pa.array(number[row].astype(np.int32)))
+
+        parts.append(by_sample(small, keys, run, StructType([*small.schema.fields, StructField("cluster_id", IntegerType())])))
     if large is not None:
         swept = _spread(_near(large.where(F.col(keys[-1]).isNotNull()), [(eps, min_samples)], list(keys)), [(eps, min_samples)], list(keys)).drop("eps", "min_samples")
         parts.append(large.join(swept, [*keys, "cell_id"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1))).select(*cells.columns, "cluster_id"))
@@ -87,22 +87,65 @@ def dealt(cells: DataFrame, keys) -> DataFrame:
     return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def labels(table: pa.Table, keys, params) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Cells of one sample that have a place, in order, and their clusters by each of ``params``; none where the last key is missing."""
-    p = places(table)
-    ids = table.column("cell_id")
-    there = np.isfinite(p).all(axis=1) & ids.is_valid().to_numpy()
-    if not there.any() or not table.column(keys[-1])[0].is_valid:
-        return np.array([], np.int64), [np.array([], np.int64) for _ in params]
-    p, ids = p[there], ids.to_numpy()[there].astype(np.int64)
-    a, b, d2 = near(p, max(eps for eps, _ in params))
-    a, b = ids[a], ids[b]
+def by_sample(cells: DataFrame, keys, run, schema) -> DataFrame:
+    """``run`` (table, number of each row's sample from 0) over whole samples, as many at a time as a batch holds: most have too few cells to be worth a call each."""
+    def first_rows(b: pa.Table) -> np.ndarray:
+        """Whether a row is of another sample than the one before."""
+        new = np.zeros(len(b), bool)
+        for k in keys:
+            c = b.column(k).combine_chunks()
+            c = pc.add(c, 0.0) if pa.types.is_floating(c.type) else c  # one zero only
+            code = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return new
+
+    def whole(batches):
+        held = []
+        for b in batches:
+            b = pa.Table.from_batches([b])
+            if not len(b):
+                continue
+            new = first_rows(pa.concat_tables([held[-1].slice(len(held[-1]) - 1), b]) if held else b)
+            at = np.flatnonzero(new[1:] if held else new)
+            if len(at):
+                yield pa.concat_tables([*held, b.slice(0, at[-1])])
+                held, b = [], b.slice(at[-1])
+            held.append(b)
+        if held:
+            yield pa.concat_tables(held)
+
+    def each(batches):
+        for table in whole(batches):
+            yield from run(table.combine_chunks(), np.cumsum(first_rows(table))).to_batches()
+
+    return dealt(cells, keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
+
+
+def labels(table: pa.Table, sample: np.ndarray, keys, params) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The cell of each row (a number by sample and id, -1 without an id), the cells that have a place, and their clusters by each of ``params``; none where the last key is missing."""
+    p, ids = places(table), table.column("cell_id")
+    named = ids.is_valid().to_numpy()
+    ids = ids.fill_null(0).to_numpy().astype(np.int64)
+    order = np.lexsort((ids, sample, ~named))
+    row = np.full(len(table), -1)
+    row[order] = np.cumsum(np.r_[False, (np.diff(ids[order]) != 0) | (np.diff(sample[order]) != 0)][:len(order)])
+    row[~named] = -1
+    there = np.flatnonzero(np.isfinite(p).all(axis=1) & named & table.column(keys[-1]).is_valid().to_numpy())
+    if not len(there):
+        return row, there, [there for _ in params]
+    a, b, d2 = near(p[there], max(eps for eps, _ in params), sample[there])
+    a, b = row[there][a], row[there][b]
+    of = np.zeros(len(table), np.int64)
+    of[row[there]] = sample[there]
     out = []
     for eps, least in params:
         kept = d2 <= eps * eps
         cells, number = label(a[kept], b[kept], least)
-        out.append(number)
-    return cells, out
+        # clusters are numbered through all samples, in their order
+        first = np.full(int(sample[-1]) + 1, len(table))
+        np.minimum.at(first, of[cells[number >= 0]], number[number >= 0])
+        out.append(np.where(number >= 0, number - first[of[cells]], -1))
+    return row, cells, out
 
 
 def dbscan_sweep(cells: DataFrame, params, keys=KEYS, method: str = "auto") -> DataFrame:
@@ -117,15 +160,16 @@ def dbscan_sweep(cells: DataFrame, params, keys=KEYS, method: str = "auto") -> D
     small, large = _by_size(cells, keys, method)
     parts = []
     if small is not None:
-        def run(table: pa.Table) -> pa.Table:
-            ids, numbers = labels(table, keys, params)
-            times = len(params)
-            columns = [pa.array(np.tile(ids, times)), pa.array(np.repeat([float(e) for e, _ in params], len(ids))), pa.array(np.repeat([int(m) for _, m in params], len(ids)).astype(np.int32)), pa.array(np.concatenate(numbers).astype(np.int32))]
-            same = [pa.repeat(table.column(k)[0], len(ids) * times) for k in keys]
-            return pa.Table.from_arrays([*same, *columns], [*keys, "cell_id", "eps", "min_samples", "cluster_id"])
+        def run(table: pa.Table, sample: np.ndarray) -> pa.Table:
+            row, cells, numbers = labels(table, sample, keys, params)
+            rows = np.zeros(len(table), np.int64)
+            rows[row[row >= 0]] = np.flatnonzero(row >= 0)
+            same, n = table.select([*keys, "cell_id"]).take(np.tile(rows[cells], len(params))), len(cells)
+            columns = [pa.array(np.repeat([float(e) for e, _ in params], n)), pa.array(np.repeat([int(m) for _, m in params], n).astype(np.int32)), pa.array(np.concatenate(numbers).astype(np.int32))]
+            return pa.Table.from_arrays([*same.columns, *columns], [*keys, "cell_id", "eps", "min_samples", "cluster_id"])
 
         kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
-        parts.append(dealt(small, keys).groupBy(*keys).applyInArrow(run, f"{kinds}, cell_id long, eps double, min_samples int, cluster_id int"))
+        parts.append(by_sample(small, keys, run, f"{kinds}, cell_id long, eps double, min_samples int, cluster_id int"))
     if large is not None:
         parts.append(_spread(_near(large, params, keys), params, keys))
     return reduce(DataFrame.unionByName, parts)

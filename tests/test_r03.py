@@ -87,3 +87,27 @@ def test_samples_are_not_drawn_together_for_their_few_bytes(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert n > 1 and clusters.dbscan(cells, 0.1, 3).rdd.getNumPartitions() == n
     assert clusters.dbscan_sweep(cells, [(0.1, 3)]).rdd.getNumPartitions() == n
+
+
+def test_many_samples_are_clustered_in_one_call(spark, cloud, monkeypatch):
+    calls = []
+    found = clusters.labels
+    monkeypatch.setattr(clusters, "labels", lambda *a: calls.append(1) or found(*a))
+    r = np.random.default_rng(8)
+    n, sample = 3000, np.repeat(np.arange(150), 20)
+    import pyarrow as pa
+    table = pa.table({"organoid_id": sample, "cell_type": np.full(n, 2.0), "cell_id": r.permutation(n), **{x: r.integers(0, 9, n).astype(float) for x in "xyz"}})
+    row, cells, (number,) = clusters.labels(table, sample, clusters.KEYS, [(2.0, 3)])
+    assert len(cells) == n and len(calls) == 1
+    for s in range(150):
+        at = slice(20 * s, 20 * s + 20)
+        one = clusters.labels(table.slice(20 * s, 20), np.zeros(20, int), clusters.KEYS, [(2.0, 3)])
+        assert number[row[at]].tolist() == one[2][0][one[0]].tolist()
+    # samples that go over several batches, null and two zeros as keys
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        odd = cloud.unionByName(cloud.where("organoid_id = 1").withColumn("cell_type", F.when(F.col("cell_id") % 2 == 0, 0.0).otherwise(-0.0)).withColumn("organoid_id", F.lit(9)))
+        rows = lambda df: sorted(map(repr, map(tuple, df.select("organoid_id", "cell_id", "cluster_id").collect())))
+        assert rows(clusters.dbscan(odd, 2.0, 4)) == rows(clusters.dbscan(odd, 2.0, 4, method="spread"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
