@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from cellgrove.operators.closest import closest
 from cellgrove.operators.local import near, places
 from cellgrove.operators.neighbors import pairs, squared, within
-from cellgrove.operators.rounds import Rounds, components
+from cellgrove.operators.rounds import Rounds, components, stored
 from cellgrove.schema import ENDO, EPS, MESO, MIN_SAMPLES
 
 KEYS = ("organoid_id", "cell_type")
@@ -62,6 +62,7 @@ def dbscan(cells: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES, k
 
         parts.append(by_sample(small, keys, run, StructType([*small.schema.fields, StructField("cluster_id", IntegerType())])))
     if large is not None:
+        large = stored(large, "cells")  # read twice: searched, and given their labels
         swept = _spread(_near(large.where(F.col(keys[-1]).isNotNull()), [(eps, min_samples)], list(keys)), [(eps, min_samples)], list(keys)).drop("eps", "min_samples")
         parts.append(large.join(swept, [*keys, "cell_id"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1))).select(*cells.columns, "cluster_id"))
     return reduce(DataFrame.unionByName, parts)
@@ -182,21 +183,24 @@ def _near(cells: DataFrame, params, keys, method: str = "auto") -> DataFrame:
 def _spread(near: DataFrame, params, keys) -> DataFrame:
     """Core cells by counting, their components by contraction, border cells by the least number among core neighbours."""
     rounds = Rounds(near.sparkSession)
-    near = rounds.store("near", near.withColumnsRenamed({"a_cell_id": "a", "b_cell_id": "b"}))
+    near = near.withColumnsRenamed({"a_cell_id": "a", "b_cell_id": "b"}).where("a IS NOT NULL AND b IS NOT NULL")
+    near = rounds.store("near", near) if len(params) > 1 else near
     parts = []
     for i, (eps, least) in enumerate(params):
-        n = near.where(F.col("d2") <= eps * eps)
-        cells = rounds.store(f"cells{i}", n.groupBy(*keys, F.col("a").alias("cell_id")).agg((F.count("*") >= least).alias("core")))
+        # counted where the pairs were made, and only pairs with a core cell are sent on
+        core_a = F.count("*").over(W.partitionBy(*keys, "a")) >= least
+        n = rounds.store(f"near{i}", near.where(F.col("d2") <= eps * eps).select(*keys, "a", "b").withColumn("core_a", core_a))
+        cells = rounds.store(f"cells{i}", n.where("a = b").select(*keys, F.col("a").alias("cell_id"), F.col("core_a").alias("core")).distinct())
         core = cells.where("core").select(*keys, "cell_id")
-        side = lambda c: core.withColumnRenamed("cell_id", c)  # noqa: B023,E731
-        edges = n.where("a < b").join(side("a"), [*keys, "a"], "left_semi").join(side("b"), [*keys, "b"], "left_semi")
+        met = rounds.store(f"met{i}", n.where("a <> b AND (a < b OR NOT core_a)").join(core.withColumnRenamed("cell_id", "b"), [*keys, "b"], "left_semi"))
+        edges = met.where("core_a AND a < b")
         found = components(edges.select(*keys, F.col("a").alias("src"), F.col("b").alias("dst")), keys, rounds).withColumnRenamed("node", "cell_id")
         rooted = core.join(found, [*keys, "cell_id"], "left").withColumn("component", F.coalesce("component", "cell_id"))
         # one row for each cluster: numbers follow their first core cells
         number = F.row_number().over(W.partitionBy(*keys).orderBy("component")) - 1
         numbers = rooted.select(*keys, "component").distinct().withColumn("cluster_id", number)
         numbered = rounds.store(f"core{i}", rooted.join(numbers, [*keys, "component"]).select(*keys, "cell_id", "cluster_id"))
-        rim = n.join(side("a"), [*keys, "a"], "left_anti").join(numbered.withColumnRenamed("cell_id", "b"), [*keys, "b"])
+        rim = met.where("NOT core_a").join(numbered.withColumnRenamed("cell_id", "b"), [*keys, "b"])
         rim = rim.groupBy(*keys, F.col("a").alias("cell_id")).agg(F.min("cluster_id").alias("cluster_id"))
         labelled = cells.join(numbered.unionByName(rim), [*keys, "cell_id"], "left")
         parts.append(labelled.select(*keys, "cell_id", F.lit(float(eps)).alias("eps"), F.lit(int(least)).alias("min_samples"), F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")))

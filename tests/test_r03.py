@@ -111,3 +111,13 @@ def test_many_samples_are_clustered_in_one_call(spark, cloud, monkeypatch):
         assert rows(clusters.dbscan(odd, 2.0, 4)) == rows(clusters.dbscan(odd, 2.0, 4, method="spread"))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_spread_clusters_send_no_pair_without_a_core_cell(cloud, monkeypatch):
+    kept = {}
+    store = clusters.Rounds.store
+    monkeypatch.setattr(clusters.Rounds, "store", lambda self, name, df: kept.update({name: store(self, name, df)}) or kept[name])
+    spread = clusters.dbscan(cloud, 2.0, 4, method="spread").where("cluster_id >= 0").count()
+    pairs, met = kept["near0"].count(), kept["met0"].count()
+    assert "d2" not in kept["near0"].columns and met < pairs / 2
+    assert spread == clusters.dbscan(cloud, 2.0, 4, method="task").where("cluster_id >= 0").count() > 0
