@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrove.llm.common import connected_components, picked, plain, slices, stored
@@ -148,10 +148,14 @@ def links(prints: DataFrame, budget: int = BUDGET, segments: int = SEGMENTS, cro
     met = asked.hint("merge").join(exact, "key").where("src <> dst").where(chain & (F.bit_count(apart) <= budget))
     found = met.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
     if heavy is not None:
-        around = F.array(*(F.col("print").bitwiseXOR(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)) for m in _flips(BITS, budget // 2)))
-        near = heavy.select("print", F.explode(around).alias("at"))
-        least = near.groupBy("at").agg(F.min("print").alias("dst"))
-        found = found.unionByName(near.join(least, "at").where("print <> dst").select(F.col("print").alias("src"), "dst"))
+        # a table of masks: as expressions they are code that the compiler gives up on, after it took hundreds of MB of the driver
+        spark = prints.sparkSession
+        masks = spark.createDataFrame([(m - (1 << BITS) if m >> (BITS - 1) else m,) for m in _flips(BITS, budget // 2)], "mask long")
+        dealt = heavy.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "print")
+        near = dealt.crossJoin(F.broadcast(masks)).select("print", F.col("print").bitwiseXOR(F.col("mask")).alias("at"))
+        # no pattern has more prints than there are masks
+        near = near.withColumn("dst", F.min("print").over(Window.partitionBy("at")))
+        found = found.unionByName(near.where("print <> dst").select(F.col("print").alias("src"), "dst"))
     return found.distinct()
 
 

@@ -123,6 +123,16 @@ def test_links_connect_what_is_near(spark, crowd):
     assert parts(got) == parts(true)
 
 
+def test_links_of_crowded_prints_are_code_that_compiles(spark):
+    key, before = "spark.sql.codegen.fallback", spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set(key, "false")  # else Spark tries, at the cost of the driver's memory, and goes on without
+    try:
+        rows = spark.createDataFrame([(1 << i,) for i in range(8)], "print long")
+        assert {x["src"] for x in simhash.links(rows, crowd=0).collect()} == {1 << i for i in range(1, 8)}
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_simhash_stores_few_tables_and_marks_none(spark):
     rows = [(i, text(i // 3, 60) + " x" * (i % 3)) for i in range(60)]
     with common.intermediates(spark) as path:
