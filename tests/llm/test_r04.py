@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cellgrove.llm import quality
 from cellgrove.llm.common import Words
 
@@ -74,3 +75,12 @@ def test_quality_knows_every_word(spark):
         for i in texts:
             assert found[i][0] == pytest.approx(whole[i], rel=1e-6)
             assert found[i][1] == (pytest.approx(held[i], rel=1e-6) if i < 40 else None)
+
+
+def test_short_items_remove_documents_from_the_pipeline(spark, tmp_path):
+    items = [(1, "What is 12 times 7?"), (2, "plain words only here"), (None, "a boat sails to 7 far islands in a day and back"), (4, None), (5, " ?")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = ["Asked. What is 12 times 7? Who knows", "Asked. What is 13 times 8? Who knows", "so plain words only here it says", "plain words are only here", "a boat sails to 7 far islands in a day and back", "nothing ?", "", None]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(docs)]
+    got = corpus_pipeline.leak_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path))
+    assert {r["doc_id"] for r in got.collect()} == {3, 5, 6, 7}
