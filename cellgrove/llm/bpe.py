@@ -24,7 +24,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cellgrove.llm.common import plain, slices
+from cellgrove.llm.common import give_back, plain, slices
 
 #: Entries of one generation of a worker's memory (two are held); longer runs are not remembered.
 GENERATION, LONGEST = 150_000, 64
@@ -190,6 +190,7 @@ def _map(df: DataFrame, path: str, id_col: str, text_col: str, fields: list[tupl
     names, kinds = [f[0] for f in fields], [f[2] for f in fields]
 
     def run(batches):
+        give_back()
         own = None
         for b in batches:
             own = own or encoder(path)
